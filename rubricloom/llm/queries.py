@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubricloom.llm import leakage, survivor, tokenize
+from rubricloom.llm import canonical, leakage, survivor, tokenize
 from rubricloom.session import table
 
 #: What a usable lane and confidence may be.
@@ -42,6 +42,25 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("run_id", "finding_no", "rec_id", "producer", "n_usable")
 
 
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every typed location of findings and defects in one shape."""
+    f = table(spark, sf_dir, "findings").where("location IS NOT NULL")
+    f = f.select(F.lit("findings").alias("origin"), "row_id", "artifact_id", F.col("location").alias("text"), F.lit(None).cast("array<string>").alias("path"))
+    d = table(spark, sf_dir, "defects").where("location_text IS NOT NULL OR heading_path IS NOT NULL")
+    return f.unionByName(d.select(F.lit("defects").alias("origin"), F.col("defect_id").alias("row_id"), "artifact_id", F.col("location_text").alias("text"), F.col("heading_path").alias("path")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.to_entries(_typed(spark, sf_dir), table(spark, sf_dir, "sections")).select("origin", "row_id", "section_id")
+
+
+def p3_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of each origin that name an entry exactly, by a near spelling, or not at all."""
+    found = canonical.to_entries(_typed(spark, sf_dir), table(spark, sf_dir, "sections"))
+    kind = F.when(F.col("section_id") < 0, "none").when(F.col("cost") == 0, "exact").otherwise("near")
+    return found.groupBy("origin", kind.alias("match")).agg(F.count(F.lit(1)).alias("n_values"), F.countDistinct("section_id").alias("n_sections"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"))
 
@@ -56,7 +75,7 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", "item_id", "longest", "tiled_words", "item_words", "n_tiles")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p7_ids, p8_found, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_misses, p7_ids, p8_found, p8_coverage)}
 
 _USABLE = r"""WITH u AS (SELECT m.rec_id, m.run_id, CAST(regexp_extract(m.finding_id, '([0-9]+)', 1) AS BIGINT) AS finding_no, m.producer, p.trust, m.received_at, m.severity, c.criterion AS criterion_ok,
  CASE WHEN lower(regexp_replace(m.lane, '^\s+|\s+$', '', 'g')) IN ('scripted', 'judged') THEN lower(regexp_replace(m.lane, '^\s+|\s+$', '', 'g')) END AS lane_ok,
