@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubricloom.llm import canonical, leakage, survivor, tokenize
+from rubricloom.llm import canonical, leakage, neardup, survivor, tokenize
 from rubricloom.session import table
 
 #: What a usable lane and confidence may be.
@@ -61,6 +61,18 @@ def p3_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("origin", kind.alias("match")).agg(F.count(F.lit(1)).alias("n_values"), F.countDistinct("section_id").alias("n_sections"))
 
 
+def _near_findings(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
+    return neardup.NearDuplicates(table(spark, sf_dir, "findings"), "row_id", ["evidence", "violation", "fix"])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near_findings(spark, sf_dir).pairs().select(F.col("x").alias("row_id_a"), F.col("y").alias("row_id_b"))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near_findings(spark, sf_dir).classes()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"))
 
@@ -75,7 +87,7 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", "item_id", "longest", "tiled_words", "item_words", "n_tiles")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_misses, p7_ids, p8_found, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_misses, p4_found, p4_groups, p7_ids, p8_found, p8_coverage)}
 
 _USABLE = r"""WITH u AS (SELECT m.rec_id, m.run_id, CAST(regexp_extract(m.finding_id, '([0-9]+)', 1) AS BIGINT) AS finding_no, m.producer, p.trust, m.received_at, m.severity, c.criterion AS criterion_ok,
  CASE WHEN lower(regexp_replace(m.lane, '^\s+|\s+$', '', 'g')) IN ('scripted', 'judged') THEN lower(regexp_replace(m.lane, '^\s+|\s+$', '', 'g')) END AS lane_ok,
