@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubricloom.llm import canonical, leakage, neardup, survivor, tokenize
-from rubricloom.session import table
+from rubricloom.llm import canonical, consensus, leakage, neardup, survivor, tokenize
+from rubricloom.session import broadcast_if_small, table
 
 #: What a usable lane and confidence may be.
 LANES = ["scripted", "judged"]
@@ -73,6 +73,39 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_findings(spark, sf_dir).classes()
 
 
+_FIELDS = ["criterion", "severity", "location"]
+
+
+def _consensus(spark: SparkSession, sf_dir: str) -> consensus.Consensus:
+    """Labels in the spelling of the reference tables, the latest of each annotator and item, with the items' own values."""
+    key = lambda c: F.lower(F.regexp_replace(F.regexp_replace(F.col(c), _TRIM, ""), r"\s+", " "))
+    criteria, sections = table(spark, sf_dir, "criteria"), table(spark, sf_dir, "sections")
+    a = consensus.latest(table(spark, sf_dir, "annotations"), "item_id", "annotator_id", ["labelled_at", "received_at", "annotation_id"], _FIELDS)
+    names = criteria.groupBy(key("criterion").alias("_c")).agg(F.min("criterion").alias("criterion_ok"))
+    heads = sections.groupBy(key("heading").alias("_h")).agg(F.min("heading").alias("location_ok"))
+    a = a.withColumn("_c", key("criterion")).withColumn("_h", key("location")).join(F.broadcast(names), "_c", "left").join(broadcast_if_small(heads, 200_000), "_h", "left")
+    stack = "stack(3, 'criterion', criterion_ok, 'severity', cast(severity AS string), 'location', location_ok) AS (field, label)"
+    votes = a.selectExpr("item_id", "annotator_id", stack)
+    items = a.select("item_id").distinct()
+    f = table(spark, sf_dir, "findings").select(F.col("row_id").alias("item_id"), "criterion", "severity", "location").join(items, "item_id", "left_semi")
+    own = f.selectExpr("item_id", "stack(3, 'criterion', criterion, 'severity', cast(severity AS string), 'location', location) AS (field, own)")
+    n_c, n_d = criteria.agg(F.count("criterion"), F.countDistinct("domain")).first()
+    n_s, n_a = sections.agg(F.count("heading"), F.countDistinct("artifact_id")).first()
+    return consensus.Consensus(votes, own, {"criterion": n_c / max(n_d, 1), "severity": 5.0, "location": n_s / max(n_a, 1)})
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).labels().select("item_id", "field", "label")
+
+
+def p5_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).labels().select("item_id", "field", "n_votes", "agreement", F.round("probability", 6).alias("probability"))
+
+
+def p5_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).reliability.select("annotator_id", "field", F.round("n_labels").cast("long").alias("n_labels"), F.round("reliability", 6).alias("reliability"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"))
 
@@ -87,7 +120,7 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", "item_id", "longest", "tiled_words", "item_words", "n_tiles")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_misses, p4_found, p4_groups, p7_ids, p8_found, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_misses, p4_found, p4_groups, p5_found, p5_agreement, p5_reliability, p7_ids, p8_found, p8_coverage)}
 
 _USABLE = r"""WITH u AS (SELECT m.rec_id, m.run_id, CAST(regexp_extract(m.finding_id, '([0-9]+)', 1) AS BIGINT) AS finding_no, m.producer, p.trust, m.received_at, m.severity, c.criterion AS criterion_ok,
  CASE WHEN lower(regexp_replace(m.lane, '^\s+|\s+$', '', 'g')) IN ('scripted', 'judged') THEN lower(regexp_replace(m.lane, '^\s+|\s+$', '', 'g')) END AS lane_ok,
