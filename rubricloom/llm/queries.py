@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubricloom.llm import canonical, consensus, leakage, neardup, survivor, tokenize
+from rubricloom.llm import canonical, consensus, leakage, neardup, survivor, tokenize, truncation
 from rubricloom.session import broadcast_if_small, table
 
 #: What a usable lane and confidence may be.
@@ -120,7 +120,17 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", "item_id", "longest", "tiled_words", "item_words", "n_tiles")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_misses, p4_found, p4_groups, p5_found, p5_agreement, p5_reliability, p7_ids, p8_found, p8_coverage)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.scores(table(spark, sf_dir, "documents")).where(F.col("p_cut") > truncation.CUT).select("doc_id")
+
+
+def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source cuts its texts."""
+    cut = F.count_if(F.col("p_cut") > truncation.CUT)
+    return truncation.scores(table(spark, sf_dir, "documents")).groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), cut.alias("n_cut"), F.round(cut / F.count(F.lit(1)), 6).alias("share_cut"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_misses, p4_found, p4_groups, p5_found, p5_agreement, p5_reliability, p7_ids, p8_found, p8_coverage, p9_found, p9_sources)}
 
 _USABLE = r"""WITH u AS (SELECT m.rec_id, m.run_id, CAST(regexp_extract(m.finding_id, '([0-9]+)', 1) AS BIGINT) AS finding_no, m.producer, p.trust, m.received_at, m.severity, c.criterion AS criterion_ok,
  CASE WHEN lower(regexp_replace(m.lane, '^\s+|\s+$', '', 'g')) IN ('scripted', 'judged') THEN lower(regexp_replace(m.lane, '^\s+|\s+$', '', 'g')) END AS lane_ok,
