@@ -27,8 +27,8 @@ SMOOTH = 30.0
 SAMPLE_ITEMS = 20_000
 L2 = 1.0
 ROUNDS = 8
-#: Most cells of confusion matrices (or annotators, beyond that) that are sent to the executors.
-MAX_CELLS = 3_000_000
+#: Fields with more labels keep one reliability for each annotator: a matrix would hold less than a label a row.
+MATRIX_LABELS = 200
 FEATURES = ["own", "near", "share"]
 _VOTE = ["f", "item_id", "k", "annotator_id", "l", *FEATURES]
 
@@ -50,13 +50,13 @@ def _starts(*cols: np.ndarray) -> np.ndarray:
 class Params:
     """Parameters of one round, as sorted arrays for look-ups."""
 
-    def __init__(self, fields: list[str], choices: list[float]) -> None:
-        self.fields, self.choices = fields, np.array(choices)
+    def __init__(self, fields: list[str], choices: list[float], matrix: np.ndarray) -> None:
+        self.fields, self.choices, self.matrix = fields, np.array(choices), matrix
         self.theta = np.zeros((len(fields), len(FEATURES)))
         self.cells: pd.DataFrame | None = None
 
     def update(self, cells: pd.DataFrame) -> None:
-        """New counts (f, a, k, l, c), with k = l = -1 for matrices that are kept as reliabilities only."""
+        """New counts (f, a, k, l, c); fields without a matrix count k = l (right) against others only."""
         cells = cells.astype({"f": int, "a": np.int64, "k": int, "l": int, "c": float})
         same = cells["k"] == cells["l"]
         right = cells["c"].where(same, 0.0)
@@ -66,6 +66,9 @@ class Params:
         self.annotators = np.unique(rel["a"].to_numpy())
         self.acc = np.full((len(self.fields), len(self.annotators)), 2.0 / 3.0)
         self.acc[rel["f"].to_numpy(), np.searchsorted(self.annotators, rel["a"].to_numpy())] = rel["reliability"]
+        cells = cells[self.matrix[cells["f"].to_numpy()]]
+        if not len(cells):
+            cells = pd.DataFrame({"f": [0], "a": self.annotators[:1], "k": [0], "l": [0], "c": [0.0]})
         self.width = int(max(cells["k"].max(), cells["l"].max())) + 2
         a = np.searchsorted(self.annotators, cells["a"].to_numpy())
         key = self._key(cells["f"].to_numpy(), a, cells["k"].to_numpy(), cells["l"].to_numpy())
@@ -88,8 +91,8 @@ class Params:
         at = np.searchsorted(self.annotators, a)
         acc = self.acc[f, at]
         base = np.where(k == l, acc, (1.0 - acc) / (self.choices[f] - 1.0))
-        key = self._key(f, at, k, l)
-        return np.log((self._get(self.cell_keys, self.cell_counts, key) + SMOOTH * base) / (self._get(self.row_keys, self.row_counts, key // self.width) + SMOOTH))
+        key = np.where(self.matrix[f], self._key(f, at, k, l), -1)
+        return np.log((self._get(self.cell_keys, self.cell_counts, key) + SMOOTH * base) / (self._get(self.row_keys, self.row_counts, np.where(key < 0, -1, key // self.width)) + SMOOTH))
 
 
 class Votes:
@@ -154,14 +157,13 @@ class Consensus:
         zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
         flat = wide.select(F.col("f").cast("int").alias("f"), "item_id", F.col("c.k").cast("int").alias("k"), F.explode("v").alias("x"), zero(F.col("own") == label).alias("own"), zero(near).alias("near"), F.col("c.share").alias("share"))
         self.votes = flat.select("f", "item_id", "k", F.col("x.annotator_id").alias("annotator_id"), F.col("x.l").cast("int").alias("l"), *FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
-        cells = self.votes.select("f", "annotator_id", "k", "l").distinct().count()
-        self.full = cells <= MAX_CELLS
+        self.matrix = names.groupby("f")["code"].count().reindex(range(len(self.fields)), fill_value=0).to_numpy() <= MATRIX_LABELS
         edge = self.votes.select("item_id").distinct().select(F.xxhash64("item_id").alias("h")).orderBy("h").limit(SAMPLE_ITEMS).agg(F.max("h")).first()[0]
         sample = self.votes.where(F.xxhash64("item_id") <= edge)
         fit_on = Votes(iter(sample.toArrow().to_batches()))
         params: Params | None = None
         for _ in range(rounds):
-            nxt = Params(self.fields, [max(float(v), 2.0) for v in choices.values()])
+            nxt = Params(self.fields, [max(float(v), 2.0) for v in choices.values()], self.matrix)
             nxt.update(self._count(params))
             nxt.theta = _fit(fit_on, fit_on.posterior(params), params.theta if params else nxt.theta)
             params = nxt
@@ -169,14 +171,15 @@ class Consensus:
 
     def _count(self, params: Params | None) -> pd.DataFrame:
         """Expected counts of each annotator's labels by true label, under ``params``."""
-        sent, full = self.votes.sparkSession.sparkContext.broadcast(params), self.full
+        sent, matrix = self.votes.sparkSession.sparkContext.broadcast(params), self.matrix
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v = Votes(batches)
             if not v.n:
                 return
             c = np.repeat(v.posterior(sent.value), v.votes)
-            k, l = (v.k, v.l) if full else (np.where(v.k == v.l, 0, 1), np.zeros(v.n, np.int32))
+            full = matrix[v.f]
+            k, l = np.where(full, v.k, np.where(v.k == v.l, 0, 1)), np.where(full, v.l, 0)
             rows = pd.DataFrame({"f": v.f, "a": v.a, "k": k, "l": l, "c": c}).groupby(["f", "a", "k", "l"], as_index=False).sum()
             yield pa.RecordBatch.from_pandas(rows.astype({"f": "int32", "a": "int64", "k": "int32", "l": "int32"}), preserve_index=False)
 
