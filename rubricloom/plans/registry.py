@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rubricloom.plans import records
+from rubricloom.plans import checks, records
 
-_MODULES = [records]
+_MODULES = [records, checks]
 
 
 def queries() -> dict:
