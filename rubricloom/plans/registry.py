@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rubricloom.plans import checks, records
+from rubricloom.plans import checks, envelopes, records
 
-_MODULES = [records, checks]
+_MODULES = [records, checks, envelopes]
 
 
 def queries() -> dict:
