@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rubricloom.plans import checks, envelopes, records
+from rubricloom.plans import checks, envelopes, records, scoring
 
-_MODULES = [records, checks, envelopes]
+_MODULES = [records, checks, envelopes, scoring]
 
 
 def queries() -> dict:
