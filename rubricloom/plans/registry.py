@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rubricloom.plans import checks, envelopes, pages, records, scoring
+from rubricloom.plans import checks, corpora, envelopes, pages, records, scoring
 
-_MODULES = [records, checks, pages, envelopes, scoring]
+_MODULES = [records, checks, pages, envelopes, scoring, corpora]
 
 
 def queries() -> dict:
