@@ -29,7 +29,7 @@ ROUNDS = 3
 #: Records scored above this are reported as cut.
 CUT = 0.7
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+|\s+|[^\w\s]|_")
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^<>]*?(/?)>")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _TAIL = 400
