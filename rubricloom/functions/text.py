@@ -21,8 +21,17 @@ def lexicon(phrases: list[str]) -> str:
     return rf"(?i)\b(?:{alternation(phrases)})\b"
 
 
+#: What \s matches; trimming by characters is linear, where a pattern with \s+$ tries every run of white space.
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; a column used inside a lambda may else be made again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def has(c: Column, pattern: str) -> Column:
@@ -55,7 +64,7 @@ def first_words(c: Column, n: int) -> Column:
 
 def series(c: Column) -> Column:
     """Items of an and/or-joined series; one item where there is no comma or no coordinator."""
-    t = F.regexp_replace(F.regexp_replace(strip(c), r"[.!?]+$", ""), ";", ",")
+    t = F.replace(F.rtrim(strip(c), F.lit(".!?")), F.lit(";"), F.lit(","))
     joined = F.regexp_replace(t, r"(?i),?\s+(?:and|or)\s+", ", ")
     many = F.filter(F.transform(F.split(joined, ","), strip), lambda x: x != "")
     return F.when(t == "", F.array().cast("array<string>")).when(t.contains(",") & has(t, r"(?i),?\s+(?:and|or)\s+"), many).otherwise(F.array(t))
@@ -76,13 +85,13 @@ def normal_loose(c: Column) -> Column:
 
 
 def normal_heading(c: Column) -> Column:
-    return F.regexp_replace(normal_loose(c), r"[.,:;!?]+$", "")
+    return F.rtrim(normal_loose(c), F.lit(".,:;!?"))
 
 
 def sanitize(c: Column, limit: int) -> Column:
     """Dashes to spaced hyphens, white space collapsed, cut to ``limit`` characters, right end trimmed."""
-    t = F.regexp_replace(c, r"\s*[—–]\s*", " - ")
-    return F.regexp_replace(F.left(strip(F.regexp_replace(t, r"\s+", " ")), F.lit(limit)), r"\s+$", "")
+    t = F.regexp_replace(F.regexp_replace(c, r"\s+", " "), " ?[—–] ?", " - ")
+    return F.rtrim(F.left(strip(F.regexp_replace(t, " +", " ")), F.lit(limit)), F.lit(SPACE))
 
 
 def slug(c: Column) -> Column:
@@ -98,6 +107,10 @@ def tokens(c: Column) -> Column:
 
 def shingles(tokens_: Column, n: int) -> Column:
     """Distinct runs of n consecutive tokens."""
-    last = F.size(tokens_) - n + 1
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens_, i, n), " "))
-    return F.when(last >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        last = F.size(t) - n + 1
+        every = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(last >= 1, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens_, runs)

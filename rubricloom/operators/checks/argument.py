@@ -15,8 +15,8 @@ CRITERIA = ["TOULMIN-CLAIM-MARKER", "TOULMIN-HEDGE-DENSITY"]
 def _documents(df: DataFrame, key: str, text: str) -> DataFrame:
     """Each text's prose (headings without marks), its paragraphs' sentences and where it is found."""
     t = F.coalesce(T.unix_lines(F.col(text)), F.lit(""))
-    blocks = F.filter(F.split(F.regexp_replace(t, HEADING, "\n\n$1\n\n"), r"\n(?:[^\S\n]*\n)+"), lambda b: T.strip(b) != "")
-    flat = F.transform(blocks, lambda b: T.strip(F.regexp_replace(F.regexp_replace(b, r"^\n+|\n+$", ""), "\n", " ")))
+    blocks = F.filter(F.split(F.regexp_replace(t, HEADING, "\n\n$1\n\n"), r"\n(?:[^\S\n]*\n)++"), lambda b: T.strip(b) != "")
+    flat = F.transform(blocks, lambda b: T.strip(F.regexp_replace(F.btrim(b, F.lit("\n")), "\n", " ")))
     d = df.select(F.col(key).alias("doc_id"), flat.alias("b"))
     is_head = lambda b: T.has(b, r"^#{1,6}[ \t]+|^#{1,6}$")
     top = F.filter("b", lambda b: T.has(b, r"^#[ \t]+"))

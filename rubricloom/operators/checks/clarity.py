@@ -64,8 +64,8 @@ def headings(s: DataFrame) -> DataFrame:
 
 def jargon(p: DataFrame) -> DataFrame:
     pattern = T.lexicon(L.JARGON)
-    near = F.transform("sentences", lambda s, i: F.struct(s.alias("s"), F.lower(F.concat_ws(" ", F.slice("sentences", i + 1, 2))).alias("w")))
-    ok = F.filter(near, lambda x: T.has(x["s"], pattern) & ~reduce(lambda a, b: a | b, [x["w"].contains(d) for d in L.DEFINITIONS]) & ~x["s"].contains("("))
+    near = lambda ss: F.transform(ss, lambda s, i: F.struct(s.alias("s"), F.lower(F.concat_ws(" ", F.slice(ss, i + 1, 2))).alias("w")))
+    ok = F.filter(T.let(F.col("sentences"), near), lambda x: T.has(x["s"], pattern) & ~reduce(lambda a, b: a | b, [x["w"].contains(d) for d in L.DEFINITIONS]) & ~x["s"].contains("("))
     q = p.withColumn("hits", ok).where(F.size("hits") > 0).withColumn("k", F.size("hits")).withColumn("s", F.explode("hits.s"))
     return _out(q, "PLAIN-JARGON", F.when(F.col("k") >= 3, 3).otherwise(2), F.col("s"))
 
@@ -120,8 +120,8 @@ def transitions(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """
     start = rf"(?i)^(?:{T.alternation(L.TRANSITIONS)})\b"
     s = prose.sections(df, key, text)
-    blocks = F.filter(F.split("body", r"\n(?:[^\S\n]*\n)+"), lambda b: T.strip(b) != "")
-    texts = F.transform(blocks, lambda b: T.strip(F.regexp_replace(F.regexp_replace(b, r"^\n+|\n+$", ""), "\n", " ")))
+    blocks = F.filter(F.split("body", r"\n(?:[^\S\n]*\n)++"), lambda b: T.strip(b) != "")
+    texts = F.transform(blocks, lambda b: T.strip(F.regexp_replace(F.btrim(b, F.lit("\n")), "\n", " ")))
     s = s.withColumn("ps", texts).where(F.size("ps") > 1)
     marks = F.array_join(F.transform("ps", lambda b, i: F.when((i == 0) | T.has(b, start), "T").otherwise("F")), "")
     q = s.withColumn("marks", marks).select("doc_id", "sec", "level", "heading", "marks", F.posexplode("ps").alias("i", "text")).withColumn("n", F.col("i") + 1)

@@ -36,9 +36,9 @@ def heading_depth(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """Headings more than one level below the heading before; severity 3 from two on a page."""
     h = F.regexp_extract_all("text", F.lit(r"(?m)^(#{1,6}[ \t]+[^\n]*)$"), 1)
     hs = F.transform(h, lambda x: F.struct(F.length(F.regexp_extract(x, "^#+", 0)).alias("level"), T.strip(F.regexp_replace(x, "^#+", "")).alias("title")))
-    p = _pages(df, key, text).withColumn("h", hs)
-    jump = F.filter(F.transform("h", lambda x, i: F.struct(F.when(i > 0, F.try_element_at("h", F.greatest(i, F.lit(1)))).alias("a"), x.alias("b"), i.alias("i"))), lambda z: z["b"]["level"] > z["a"]["level"] + 1)
-    q = p.withColumn("j", jump).where(F.size("j") > 0).withColumn("k", F.size("j")).withColumn("x", F.explode("j"))
+    p = _pages(df, key, text)
+    jump = lambda h: F.filter(F.transform(h, lambda x, i: F.struct(F.when(i > 0, F.try_element_at(h, F.greatest(i, F.lit(1)))).alias("a"), x.alias("b"), i.alias("i"))), lambda z: z["b"]["level"] > z["a"]["level"] + 1)
+    q = p.withColumn("j", T.let(hs, jump)).where(F.size("j") > 0).withColumn("k", F.size("j")).withColumn("x", F.explode("j"))
     evidence = F.concat(F.lit("level "), F.col("x.a.level").cast("string"), F.lit(" to "), F.col("x.b.level").cast("string"))
     return q.select("doc_id", F.col("x.i").alias("at"), F.lit("DIATAXIS-HEADING-DEPTH").alias("criterion"), F.when(F.col("k") >= 2, 3).otherwise(2).alias("severity"), F.concat(F.lit("the "), F.col("x.b.title"), F.lit(" heading")).alias("location"), evidence.alias("evidence"))
 
@@ -49,12 +49,12 @@ def lists(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     A list goes on over blank lines before another item, and over lines indented deeper than its first item.
     """
     s = prose.sections(_pages(df, key, text), "doc_id", "text")
-    run = r"(?m)^[^\S\n]*(?:[-*+]|\d+[.)])[^\S\n]+[^\n]*(?:\n(?:[^\S\n]*\n)*[^\S\n]*(?:[-*+]|\d+[.)])[^\S\n]+[^\n]*|\n[^\S\n]+[^\s][^\n]*)*"
+    run = r"(?m)^[^\S\n]*(?:[-*+]|\d+[.)])[^\S\n]+[^\n]*(?:\n(?:[^\S\n]*\n)*+[^\S\n]*(?:[-*+]|\d+[.)])[^\S\n]+[^\n]*|\n[^\S\n]+[^\s][^\n]*)*+"
     x = s.select("doc_id", "sec", "heading", F.posexplode(F.regexp_extract_all("body", F.lit(run), 0)).alias("n", "block"))
     items = F.filter(F.split("block", "\n"), lambda l: F.rlike(l, F.lit(_ITEM)))
     dents = F.transform(items, lambda l: F.length(F.regexp_extract(l, r"^(\s*)", 1)))
-    x = x.withColumn("d", dents)
-    return x.select("doc_id", "sec", "heading", "n", F.size(F.filter("d", lambda v: v <= F.col("d")[0])).alias("top"), F.size(F.filter("d", lambda v: v > F.col("d")[0])).alias("nested"))
+    x = x.withColumn("k", T.let(dents, lambda d: F.struct(F.size(F.filter(d, lambda v: v <= d[0])).alias("top"), F.size(F.filter(d, lambda v: v > d[0])).alias("nested"))))
+    return x.select("doc_id", "sec", "heading", "n", "k.top", "k.nested")
 
 
 def nav_length(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -68,7 +68,7 @@ def mode(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Sentences of paragraphs and list items that open in another register than the page declares; 3 from two on a page."""
     p = _pages(df, key, text).where("mode IS NOT NULL")
     body = F.regexp_replace("text", prose.HEADING, "\n\n")
-    units = F.filter(F.split(F.regexp_replace(body, r"(?m)^[^\S\n]*(?:[-*+]|\d+[.)])[^\S\n]+", "\n\n"), r"\n(?:[^\S\n]*\n)+"), lambda b: T.strip(b) != "")
+    units = F.filter(F.split(F.regexp_replace(body, r"(?m)^[^\S\n]*(?:[-*+]|\d+[.)])[^\S\n]+", "\n\n"), r"\n(?:[^\S\n]*\n)++"), lambda b: T.strip(b) != "")
     sents = F.flatten(F.transform(units, lambda u: T.sentences(F.regexp_replace(u, r"\s*\n\s*", " "))))
 
     def foreign(s: Column) -> Column:

@@ -40,7 +40,7 @@ def messages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     any_ = F.rlike(t, F.lit(rf"(?m)(?:\A|\n[^\S\n]*\n|^#{{1,6}}[ \t][^\n]*\n)[^\S\n]*(?:{_LABEL}):"))
     d = df.select(F.struct(F.col(key).alias("id"), any_.alias("mode")).alias("k"), F.col(text).alias("text"))
     s = prose.sections(d, "k", "text")
-    blocks = F.filter(F.split("body", r"\n(?:[^\S\n]*\n)+"), lambda b: T.strip(b) != "")
+    blocks = F.filter(F.split("body", r"\n(?:[^\S\n]*\n)++"), lambda b: T.strip(b) != "")
     item = r"^[-*+]\s+"
     lines = lambda b: F.filter(F.transform(F.split(b, "\n"), T.strip), lambda x: x != "")
     # in bare mode a list's items are messages of their own, other lines of a block stay together

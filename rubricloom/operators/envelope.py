@@ -95,7 +95,7 @@ def baseline(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     without all four are dropped. Every finding takes the fixed criterion, severity, lane and confidence.
     """
     t = T.unix_lines(F.col(text))
-    blocks = df.select(F.col(key).alias("doc_id"), F.posexplode(F.split(t, r"\n(?:[^\S\n]*\n)+")).alias("block", "b"))
+    blocks = df.select(F.col(key).alias("doc_id"), F.posexplode(F.split(t, r"\n(?:[^\S\n]*\n)++")).alias("block", "b"))
     label = lambda n: F.nullif(T.strip(F.regexp_replace(F.regexp_extract("b", rf"(?s)(?:^|\n)\s*{n}:[ \t]*(.*?)(?=\n\s*(?:Location|Evidence|Problem|Fix):|$)", 1), r"\s*\n\s*", " ")), F.lit(""))
     out = blocks.select("doc_id", "block", label("Location").alias("location"), label("Evidence").alias("evidence"), label("Problem").alias("violation"), label("Fix").alias("fix")).where("location IS NOT NULL AND evidence IS NOT NULL AND violation IS NOT NULL AND fix IS NOT NULL")
     return out.withColumns({k: F.lit(v) for k, v in BASELINE.items()})

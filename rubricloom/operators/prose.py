@@ -31,9 +31,9 @@ def sections(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def paragraphs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each paragraph: doc_id, sec, level, heading, n (from 1 under its heading), text (lines joined), sentences."""
     s = sections(df, key, text)
-    blocks = F.filter(F.split("body", r"\n(?:[^\S\n]*\n)+"), lambda b: T.strip(b) != "")
+    blocks = F.filter(F.split("body", r"\n(?:[^\S\n]*\n)++"), lambda b: T.strip(b) != "")
     p = s.select("doc_id", "sec", "level", "heading", F.posexplode(blocks).alias("i", "b"))
-    p = p.select("doc_id", "sec", "level", "heading", (F.col("i") + 1).alias("n"), T.strip(F.regexp_replace(F.regexp_replace("b", r"^\n+|\n+$", ""), "\n", " ")).alias("text"))
+    p = p.select("doc_id", "sec", "level", "heading", (F.col("i") + 1).alias("n"), T.strip(F.regexp_replace(F.btrim("b", F.lit("\n")), "\n", " ")).alias("text"))
     return p.withColumn("sentences", T.sentences(F.col("text")))
 
 
@@ -41,3 +41,40 @@ def location(heading: str = "heading", n: str = "n"):
     """Where a paragraph is: numbered under its heading, or in the document where it has none."""
     where = F.concat(F.lit("paragraph "), F.col(n).cast("string"))
     return F.when(F.coalesce(F.col(heading), F.lit("")) != "", F.concat(F.col(heading), F.lit(", "), where)).otherwise(where)
+
+
+_FENCE = r" {0,3}(?:```|~~~)"
+_LINE = r"[^\S\n]*\S[^\n]*"
+#: A fenced block up to its closing fence (any fence line, or the end of the text), else a run of lines that are not blank.
+#: Possessive, so that neither a long block nor a long text recurses.
+_BLOCK = rf"(?m)^{_FENCE}[^\n]*+(?:\n(?!{_FENCE})[^\n]*+)*+(?:\n{_FENCE}[^\n]*+)?+|^{_LINE}(?:\n{_LINE})*+"
+
+
+def blocks(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The scoring grammar's blocks: doc_id, pos (from 0), kind (heading, paragraph or other), level, title, number of
+    lines and text.
+
+    Lines end at LF only. A fence opened by three backticks or tildes runs through blank lines to any closing fence.
+    Indented code, lists, quotes, fences, tables and HTML are ``other``; ATX and two-line setext headings are headings.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    b = df.select(F.col(key).alias("doc_id"), F.regexp_extract_all(t, F.lit(_BLOCK), 0).alias("_b"))
+    first = lambda x: F.substring_index(x, "\n", 1)
+    n_lines = lambda x: F.regexp_count(x, F.lit("\n")) + 1
+
+    def kind(x):
+        h, lines = first(x), n_lines(x)
+        return (
+            F.when(F.rlike(h, F.lit(r"^(?: {4}|\t)")), "other")
+            .when(F.rlike(h, F.lit(r"^ {0,3}#{1,6}(?:[ \t]|$)")), "heading")
+            .when(F.rlike(h, F.lit(r"^ {0,3}(?:(?:[-*+]|\d{1,9}[.)])[ \t]|>|```|~~~|\||<)")), "other")
+            .when((lines == 2) & F.rlike(x, F.lit(r"\n {0,3}(?:=+|-+)[ \t]*\z")), "heading")
+            .otherwise("paragraph")
+        )
+
+    out = b.select("doc_id", F.posexplode("_b").alias("pos", "text")).withColumn("kind", kind(F.col("text")))
+    atx = F.rlike("text", F.lit(r"^ {0,3}#"))
+    level = F.when(atx, F.length(F.regexp_extract("text", r"^ {0,3}(#+)", 1))).otherwise(F.when(F.rlike("text", F.lit(r"\n {0,3}=")), 1).otherwise(2))
+    title = F.when(atx, T.strip(F.regexp_replace(F.regexp_extract("text", r"^ {0,3}#{1,6}([^\n]*)", 1), r"[ \t]+#+[ \t]*$|^[ \t]*#+[ \t]*$", ""))).otherwise(T.strip(first(F.col("text"))))
+    head = F.col("kind") == "heading"
+    return out.select("doc_id", "pos", "kind", F.when(head, level).alias("level"), F.when(head, title).alias("title"), n_lines(F.col("text")).alias("n_lines"), "text")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rubricloom.functions import text as T
 from rubricloom.operators import prose
-from rubricloom.operators.checks import argument, clarity
+from rubricloom.operators.checks import argument, clarity, toy
 from rubricloom.operators.checks import lexicons as L
 from rubricloom.session import table
 
@@ -40,7 +40,20 @@ def blocks_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "sec", "heading", "n", "text", F.size("sentences").alias("n_sentences"))
 
 
-QUERIES = {_name(c): partial(_clarity, criterion=c) for c in clarity.CRITERIA} | {f.__name__: f for f in (check_toulmin_claim_marker, check_toulmin_hedge_density, blocks_sections, blocks_paragraphs)}
+def blocks_normative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the scoring grammar by document and kind."""
+    return prose.blocks(table(spark, sf_dir, "documents")).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("n_lines").alias("n_lines"))
+
+
+def check_toy_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toy.first_sentences(table(spark, sf_dir, "documents"))
+
+
+def check_toy_orphan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toy.orphans(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {_name(c): partial(_clarity, criterion=c) for c in clarity.CRITERIA} | {f.__name__: f for f in (check_toulmin_claim_marker, check_toulmin_hedge_density, blocks_sections, blocks_paragraphs, blocks_normative, check_toy_first, check_toy_orphan)}
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 BLOCKS = r"""WITH t AS (SELECT doc_id, regexp_replace(text, '\r\n?|[\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]', chr(10), 'g') AS u, text FROM documents WHERE text IS NOT NULL),
@@ -124,3 +137,7 @@ loc AS (SELECT doc_id, CASE WHEN len(tops) > 0 THEN 'the whole document, under i
 """
 SQL["check_toulmin_claim_marker"] = _DOCS + rf"SELECT doc_id, 'TOULMIN-CLAIM-MARKER' AS criterion, CASE WHEN len(regexp_extract_all(prose, '\S*\w\S*')) >= 300 THEN 3 ELSE 2 END AS severity, location, 'no conclusion marker in ' || len(regexp_extract_all(prose, '\S*\w\S*')) || ' words' AS evidence FROM prose JOIN loc USING (doc_id) WHERE regexp_replace(prose, '^\s+|\s+$', '', 'g') <> '' AND NOT regexp_matches(prose, '{_q(T.lexicon(L.CLAIM_MARKERS))}')"
 SQL["check_toulmin_hedge_density"] = _DOCS + f", d AS (SELECT doc_id, count(*) AS k, count(*) FILTER (regexp_matches(s, '{_q(T.lexicon(L.HEDGES))}')) AS h FROM ss GROUP BY doc_id) SELECT doc_id, 'TOULMIN-HEDGE-DENSITY' AS criterion, CASE WHEN h / k > 0.5 THEN 3 ELSE 2 END AS severity, location, h || ' of ' || k || ' sentences hedge' AS evidence FROM d JOIN loc USING (doc_id) WHERE h / k > 0.35"
+_TOY = "CASE WHEN coalesce(heading, '') <> '' THEN heading || ', ' ELSE '' END || 'paragraph ' || k || ', first sentence'"
+SQL["check_toy_first"] = BLOCKS + f", f AS (SELECT doc_id, sec, n, heading, ss[1] AS s, row_number() OVER (PARTITION BY doc_id ORDER BY sec, n) AS k FROM ps) SELECT doc_id, sec, n, 'TOY-ACTIVE' AS criterion, 2 AS severity, {_TOY} AS location, s AS evidence FROM f WHERE {' OR '.join(f"contains(s, '{x}')" for x in toy.PASSIVES)} UNION ALL SELECT doc_id, sec, n, 'TOY-HEDGE', 2, {_TOY}, s FROM f WHERE {' OR '.join(f"starts_with(lower(s), '{x}')" for x in toy.HEDGES)}"
+SQL["check_toy_orphan"] = BLOCKS + r""", w AS (SELECT *, len(regexp_extract_all(body, '\S+')) AS k FROM secs WHERE heading IS NOT NULL)
+SELECT doc_id, sec, 'TOY-ORPHAN' AS criterion, 3 AS severity, 'the ' || heading || ' heading' AS location FROM w x WHERE level > 1 AND (SELECT sum(k) FROM w y WHERE y.doc_id = x.doc_id AND y.sec >= x.sec AND y.sec < coalesce((SELECT min(z.sec) FROM w z WHERE z.doc_id = x.doc_id AND z.sec > x.sec AND z.level <= x.level), 1000000000)) = 0"""

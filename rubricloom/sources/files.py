@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 def artifacts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Artifacts under ``root``: relative path, text without a byte-order mark, SHA-256 of the raw bytes, and an error
-    (not UTF-8, or empty) in place of an exception."""
+    (not UTF-8) in place of an exception. Files without a byte are not listed by the reader."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     base = re.escape(os.path.abspath(root).strip("/") + "/")
     text = F.regexp_replace(F.expr("try_validate_utf8(cast(content AS string))"), "^\ufeff", "")
-    error = F.when(F.length("content") == 0, "empty").when(text.isNull(), "not UTF-8")
+    error = F.when(text.isNull(), "not UTF-8")
     return raw.select(F.regexp_replace("path", f"^(?:file:)?/*{base}", "").alias("path"), text.alias("text"), F.sha2("content", 256).alias("sha256"), error.alias("error"))
 
 

@@ -52,3 +52,28 @@ def test_argument(spark):
 
 def test_all_rules_run(spark):
     assert clarity.check(docs(spark, "# General\n\nThe form was signed by it in order to go.")).where("criterion IN ('PLAIN-HEADINGS', 'PLAIN-CONCISE')").count() == 2
+
+
+def test_normative_blocks(spark):
+    text = "# A #\n\npara\nmore\n\n```\ncode\n\nstill\n~~~\nafter\n\nSetext\n---\n\n- item\n\n    code\n\n#\n\n> q\n\n| t |\n\n#x\n\n~~~ open\n\nrest"
+    rows = prose.blocks(docs(spark, text, None, "")).orderBy("pos").collect()
+    assert [(r.kind, r.level, r.title) for r in rows] == [("heading", 1, "A"), ("paragraph", None, None), ("other", None, None), ("paragraph", None, None), ("heading", 2, "Setext"), ("other", None, None), ("other", None, None), ("heading", 1, ""), ("other", None, None), ("other", None, None), ("paragraph", None, None), ("other", None, None)]
+    assert rows[2].text == "```\ncode\n\nstill\n~~~" and rows[2].n_lines == 5 and rows[-1].text == "~~~ open\n\nrest"
+
+
+def test_very_long_texts(spark):
+    from rubricloom.operators.checks import docs as D
+
+    d = docs(spark, "a" + "\n" * 200_000 + "b", "\n".join(["- item"] * 50_000), "word " * 200_000, "line\n" * 100_000)
+    assert prose.paragraphs(d).groupBy("doc_id").count().count() == 4
+    assert prose.blocks(d).count() == 5
+    assert [r.severity for r in D.nav_length(d).collect()] == [3]
+    assert clarity.run(d, "PLAIN-SENTENCE-LENGTH").count() == 3
+
+
+def test_toy(spark):
+    from rubricloom.operators.checks import toy
+
+    d = docs(spark, "# A\n\n## B\n\nIt is filed. ok\n\n# C\n\n## D\n\n# E\n\nIt may possibly be the case that so.")
+    assert sorted((r.criterion, r.location) for r in toy.first_sentences(d).collect()) == [("TOY-ACTIVE", "B, paragraph 1, first sentence"), ("TOY-HEDGE", "E, paragraph 2, first sentence")]
+    assert sorted((r.location, r.severity) for r in toy.orphans(d).collect()) == [("the D heading", 3)]
