@@ -64,12 +64,15 @@ def resolve(df: DataFrame, sections: DataFrame, max_artifacts: int = 100_000) ->
     quoted = F.transform(F.regexp_extract_all("_t", F.lit('[`"“]([^`"”]{1,200})[`"”]'), 1), T.normal_heading)
     exact = F.filter(F.transform(quoted, lambda q: F.filter("_s", lambda s: s["title"] == q)), lambda m: F.size(m) == 1)
     norm = T.normal_loose(F.col("_t"))
-    held = F.filter("_s", lambda s: (F.length(s["title"]) >= 4) & F.contains(norm, s["title"]))
-    d = d.withColumns({"_held": held, "_q": F.try_element_at(F.try_element_at(exact, F.lit(1)), F.lit(1)), "_nth": F.when(F.col("_n") >= 1, F.try_element_at(second, F.greatest("_n", F.lit(1))))})
-    longest = F.array_max(F.transform("_held", lambda s: F.length(s["title"])))
-    best = F.filter("_held", lambda s: F.length(s["title"]) == longest)
-    title = F.when((F.size(best) >= 1) & (F.size(F.filter(best, lambda s: s["title"] == best[0]["title"])) == 1), best[0])
-    d = d.withColumn("_sec", F.when(F.col("_n").isNotNull(), F.col("_nth")).otherwise(F.coalesce("_q", title)))
+    held = T.let(norm, lambda n: F.filter("_s", lambda s: (F.length(s["title"]) >= 4) & F.contains(n, s["title"])))
+
+    def longest(h: Column) -> Column:
+        """The longest title, if only one entry has it."""
+        best = T.let(F.array_max(F.transform(h, lambda s: F.length(s["title"]))), lambda n: F.filter(h, lambda s: F.length(s["title"]) == n))
+        return T.let(best, lambda x: F.when((F.size(x) >= 1) & (F.size(F.filter(x, lambda s: s["title"] == x[0]["title"])) == 1), x[0]))
+
+    d = d.withColumns({"_title": T.let(held, longest), "_q": F.try_element_at(F.try_element_at(exact, F.lit(1)), F.lit(1)), "_nth": F.when(F.col("_n") >= 1, F.try_element_at(second, F.greatest("_n", F.lit(1))))})
+    d = d.withColumn("_sec", F.when(F.col("_n").isNotNull(), F.col("_nth")).otherwise(F.coalesce("_q", "_title")))
     ask = lambda p: F.nullif(F.regexp_extract("_t", p, 1), F.lit(""))
     total = F.when(F.col("_sec").isNotNull(), F.col("_sec.hi") - F.col("_sec.lo") + 1).otherwise(F.coalesce("n_paragraphs", F.lit(0)))
     words = F.array(*[F.lit(o) for o in [*ORDINALS, "last"]])
@@ -86,7 +89,7 @@ def resolve(df: DataFrame, sections: DataFrame, max_artifacts: int = 100_000) ->
     key = F.when(F.col("exact").isNotNull(), F.col("exact").cast("string")).when(F.col("title").isNotNull(), F.concat(F.lit("H:"), F.col("title"))).otherwise(F.concat(F.lit("?:"), norm))
     window = F.col("lo").isNotNull() & (F.col("lo") <= F.col("hi"))
     d = d.withColumns({"canonical": key, "resolvable": window | has})
-    return d.drop("_s", "_t", "_n", "_held", "_q", "_nth", "_sec", "_total", "_p", "_w", "secs", "n_paragraphs")
+    return d.drop("_s", "_t", "_n", "_title", "_q", "_nth", "_sec", "_total", "_p", "_w", "secs", "n_paragraphs")
 
 
 def truth(defects: DataFrame, sections: DataFrame) -> DataFrame:
