@@ -76,7 +76,7 @@ def contract_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "runs")
-    return C.report(C.unique_ids(table(spark, sf_dir, "findings")).unionByName(C.gates(r, table(spark, sf_dir, "findings"))).unionByName(C.low_findings(table(spark, sf_dir, "findings"))), r)
+    return C.report(C.violations(r, table(spark, sf_dir, "findings")), r)
 
 
 def contract_json_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
