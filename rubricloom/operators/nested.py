@@ -60,13 +60,32 @@ def _examples(texts: Column) -> Column:
     return F.transform(ex, lambda x: F.struct(*[x["o"][n].alias(n) for n in _EXAMPLE], x["o"]["expected_envelope"].isNotNull().alias("has_envelope"), *[x["run"][n].alias(n) for n in _RUN], F.transform(x["f"], _finding).alias("findings")))
 
 
-def regular(df: DataFrame, key: str = "record_id", record: str = "record") -> DataFrame:
-    """``record_id`` and the record's examples in one regular nested shape, by built-in functions only."""
+def _texts(df: DataFrame, key: str, record: str) -> DataFrame:
+    """``record_id`` and the texts of the record's examples (``_t``)."""
     r = F.ltrim(F.col(record).cast("string"))
     r = F.when(r.startswith('"'), F.from_json(F.concat(F.lit("["), r, F.lit("]")), "array<string>")[0]).otherwise(r)
     batch = _object(r, ["examples"])["examples"]
     texts = F.when(r.isNull(), F.array().cast("array<string>")).otherwise(_many(F.coalesce(batch, r)))
-    return df.select(F.col(key).cast("long").alias("record_id"), texts.alias("_t")).select("record_id", _examples(F.col("_t")).alias("examples"))
+    return df.select(F.col(key).cast("long").alias("record_id"), texts.alias("_t"))
+
+
+def regular(df: DataFrame, key: str = "record_id", record: str = "record") -> DataFrame:
+    """``record_id`` and the record's examples in one regular nested shape, by built-in functions only."""
+    return _texts(df, key, record).select("record_id", _examples(F.col("_t")).alias("examples"))
+
+
+def envelopes(df: DataFrame, key: str = "record_id", record: str = "record") -> DataFrame:
+    """``record_id``, ``example_no`` and each example's envelope as JSON text (``doc``) with a list of findings and a summary.
+
+    Shapes vary as in ``flatten``; a finding that is no object is null, so that it still counts. Examples without an
+    envelope object give no row.
+    """
+    e = _texts(df, key, record).select("record_id", F.posexplode("_t").alias("example_no", "t"))
+    e = e.select("record_id", "example_no", _object(F.col("t"), ["expected_envelope"])["expected_envelope"].alias("t")).where(F.ltrim("t").startswith("{"))
+    e = e.select("record_id", "example_no", _object(F.col("t"), ["findings", "summary"]).alias("e"))
+    whole = lambda t: F.when(F.ltrim(t).startswith("{") & F.get_json_object(t, "$").isNotNull(), t).otherwise("null")
+    doc = F.concat(F.lit('{"findings":['), F.array_join(F.transform(_many(F.col("e.findings")), whole), ","), F.lit('],"summary":'), whole(F.col("e.summary")), F.lit("}"))
+    return e.select("record_id", "example_no", doc.alias("doc"))
 
 
 def _children(lists: pa.Array, outer: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:

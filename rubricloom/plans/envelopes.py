@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rubricloom.operators import contract as C
 from rubricloom.operators import envelope as E
+from rubricloom.operators import nested
 from rubricloom.session import table
 
 
@@ -80,8 +81,9 @@ def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contract_json_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "golden_records").select(F.col("record_id").alias("run_id"), F.get_json_object("record", "$.expected_envelope").alias("doc"))
-    return C.histogram_sums(g.where("doc LIKE '{%'"))
+    e = nested.envelopes(table(spark, sf_dir, "golden_records"))
+    found = C.histogram_sums(e.select(F.struct("record_id", "example_no").alias("run_id"), "doc"))
+    return found.select(F.col("run_id.record_id").alias("run_id"), "run_id.example_no", *C.COLUMNS[1:])
 
 
 QUERIES = {f.__name__: f for f in (envelope_histogram, envelope_rank_and_bound, envelope_summary, envelope_assemble, envelope_merge, envelope_rubrics, envelope_pack, envelope_baseline, envelope_exit_code, contract_violations, contract_unique_ids, contract_gates, contract_instants, contract_namespaces, contract_report, contract_json_counts)}

@@ -1,3 +1,5 @@
+import json
+
 from rubricloom.plans import envelopes
 
 
@@ -18,3 +20,13 @@ def test_report_covers_every_error_rule(spark, tmp_path):
         findings=(found, "run_id long, finding_id string, criterion string, location string, evidence string, violation string, fix string, lane string, confidence string, severity int, instances array<string>"),
     )
     assert tuple(envelopes.contract_report(spark, d).first()) == (7, 6, 6, 0)
+
+
+def test_json_counts_cover_every_example(spark, tmp_path):
+    doc = lambda b3, found="[%s]": '{"expected_envelope": {"findings": ' + found % '{"severity": 3}' + ', "summary": {"by_severity": {"0": 0, "1": 0, "2": 0, "3": ' + b3 + ', "4": 0}, "suppressed_count": 0, "severity_3_threshold": 0}}}'
+    text = json.dumps({"expected_envelope": json.dumps(json.loads(doc("2"))["expected_envelope"])})
+    rows = [(1, doc("1")), (2, f'[{doc("1")}, {doc("2")}]'), (3, '{"examples": [%s, {"expected_envelope": null}, %s]}' % (doc("1.0"), doc("3"))), (4, doc("1", "%s")), (5, text), (6, None), (7, "no json"), (8, '{"kind": "anti"}')]
+    d = _tables(spark, tmp_path, golden_records=(rows, "record_id long, record string"))
+    got = {(r.run_id, r.example_no, r.rule) for r in envelopes.contract_json_counts(spark, d).collect()}
+    both = ("histogram-sum", "histogram-counts")
+    assert got == {(2, 1, r) for r in both} | {(3, 2, r) for r in both} | {(5, 0, r) for r in both} | {(3, 0, "integer-literals")}
