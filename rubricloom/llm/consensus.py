@@ -6,8 +6,10 @@ from the posteriors and refits the classifier. Matrices are smoothed towards an
 that rare labels borrow from frequent ones; the classifier is a conditional logistic regression with an L2 penalty on
 features of item and candidate.
 
-The votes are brought together once; a round is one narrow pass over them with the parameters of the round before,
-and moves only the partial counts of the matrices.
+Confusion counts are sparse, one cell for each annotator, true and given label that occur together, so there are at most
+as many as pairs of a vote and a candidate. They stay a distributed table: a round joins them to the votes, which lie
+by annotator and candidate, brings each item's votes together for the E-step, and sums the partial counts again. Only
+the annotators' reliabilities and the posteriors of the classifier's sample come to the driver.
 """
 
 from __future__ import annotations
@@ -18,19 +20,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rubricloom.session import checkpoint
+
 #: Pseudo-counts that pull a confusion row towards the annotator's overall reliability.
 SMOOTH = 30.0
 #: Items on which the classifier is fitted, taken by the hash of their id; everything else covers all items.
 SAMPLE_ITEMS = 20_000
 L2 = 1.0
 ROUNDS = 8
-#: Fields with more labels keep one reliability for each annotator: a matrix would hold less than a label a row.
-MATRIX_LABELS = 200
 FEATURES = ["own", "near", "share"]
-_VOTE = ["f", "item_id", "k", "annotator_id", "l", *FEATURES]
+_VOTE = ["f", "item_id", "k", "annotator_id", "l", *FEATURES, "cell", "total"]
 
 
 def latest(df: DataFrame, item: str, annotator: str, order: list[str], columns: Iterable[str]) -> DataFrame:
@@ -48,51 +50,24 @@ def _starts(*cols: np.ndarray) -> np.ndarray:
 
 
 class Params:
-    """Parameters of one round, as sorted arrays for look-ups."""
+    """Parameters of one round, without the confusion counts."""
 
-    def __init__(self, fields: list[str], choices: list[float], matrix: np.ndarray) -> None:
-        self.fields, self.choices, self.matrix = fields, np.array(choices), matrix
+    def __init__(self, fields: list[str], choices: list[float], reliability: pd.DataFrame) -> None:
+        """``reliability`` has the sums right and n by f and a."""
+        self.fields, self.choices = fields, np.array(choices)
         self.theta = np.zeros((len(fields), len(FEATURES)))
-        self.cells: pd.DataFrame | None = None
-
-    def update(self, cells: pd.DataFrame) -> None:
-        """New counts (f, a, k, l, c); fields without a matrix count k = l (right) against others only."""
-        cells = cells.astype({"f": int, "a": np.int64, "k": int, "l": int, "c": float})
-        same = cells["k"] == cells["l"]
-        right = cells["c"].where(same, 0.0)
-        rel = pd.DataFrame({"f": cells["f"], "a": cells["a"], "right": right, "n": cells["c"]}).groupby(["f", "a"], as_index=False).sum()
+        rel = reliability.astype({"f": int, "a": np.int64, "right": float, "n": float})
         rel["reliability"] = (rel["right"] + 2.0) / (rel["n"] + 3.0)
         self.reliability = rel
         self.annotators = np.unique(rel["a"].to_numpy())
         self.acc = np.full((len(self.fields), len(self.annotators)), 2.0 / 3.0)
         self.acc[rel["f"].to_numpy(), np.searchsorted(self.annotators, rel["a"].to_numpy())] = rel["reliability"]
-        cells = cells[self.matrix[cells["f"].to_numpy()]]
-        if not len(cells):
-            cells = pd.DataFrame({"f": [0], "a": self.annotators[:1], "k": [0], "l": [0], "c": [0.0]})
-        self.width = int(max(cells["k"].max(), cells["l"].max())) + 2
-        a = np.searchsorted(self.annotators, cells["a"].to_numpy())
-        key = self._key(cells["f"].to_numpy(), a, cells["k"].to_numpy(), cells["l"].to_numpy())
-        order = np.argsort(key)
-        self.cell_keys, self.cell_counts = key[order], cells["c"].to_numpy()[order]
-        row = key // self.width
-        self.row_keys, inv = np.unique(row, return_inverse=True)
-        self.row_counts = np.bincount(inv, cells["c"].to_numpy())
-
-    def _key(self, f: np.ndarray, a: np.ndarray, k: np.ndarray, l: np.ndarray) -> np.ndarray:
-        return ((f.astype(np.int64) * len(self.annotators) + a) * self.width + k) * self.width + l
-
-    @staticmethod
-    def _get(keys: np.ndarray, values: np.ndarray, want: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        return np.where(keys[at] == want, values[at], 0.0)
-
-    def log_chance(self, f: np.ndarray, a: np.ndarray, k: np.ndarray, l: np.ndarray) -> np.ndarray:
-        """log P(annotator says l | truth is k), smoothed towards the overall reliability."""
-        at = np.searchsorted(self.annotators, a)
-        acc = self.acc[f, at]
-        base = np.where(k == l, acc, (1.0 - acc) / (self.choices[f] - 1.0))
-        key = np.where(self.matrix[f], self._key(f, at, k, l), -1)
-        return np.log((self._get(self.cell_keys, self.cell_counts, key) + SMOOTH * base) / (self._get(self.row_keys, self.row_counts, np.where(key < 0, -1, key // self.width)) + SMOOTH))
+
+    def log_chance(self, v: Votes) -> np.ndarray:
+        """log P(annotator says l | truth is k) of each vote, smoothed towards the overall reliability."""
+        acc = self.acc[v.f, np.searchsorted(self.annotators, v.a)]
+        base = np.where(v.k == v.l, acc, (1.0 - acc) / (self.choices[v.f] - 1.0))
+        return np.log((v.cell + SMOOTH * base) / (v.total + SMOOTH))
 
 
 class Votes:
@@ -105,9 +80,10 @@ class Votes:
             return
         t = pa.Table.from_batches(parts)
         c = {n: t[n].to_numpy() for n in _VOTE}
-        order = np.lexsort((c["k"], c["item_id"], c["f"]))
-        c = {n: v[order] for n, v in c.items()}
+        self.order = np.lexsort((c["k"], c["item_id"], c["f"]))
+        c = {n: v[self.order] for n, v in c.items()}
         self.f, self.item, self.k, self.a, self.l = (c[n] for n in _VOTE[:5])
+        self.cell, self.total = c["cell"], c["total"]  # counts of (annotator, k, l) and of (annotator, k)
         self.cand = _starts(self.f, self.item, self.k)  # first vote of each candidate
         self.votes = np.diff(np.append(self.cand, self.n))
         self.x = np.stack([c[n][self.cand] for n in FEATURES], axis=1)
@@ -119,7 +95,7 @@ class Votes:
         """Probability of each candidate; without parameters, its share of the votes."""
         if p is None:
             return np.add.reduceat((self.k == self.l).astype(float), self.cand) / self.votes
-        s = np.add.reduceat(p.log_chance(self.f, self.a, self.k, self.l), self.cand) + (self.x * p.theta[self.cf]).sum(axis=1)
+        s = np.add.reduceat(p.log_chance(self), self.cand) + (self.x * p.theta[self.cf]).sum(axis=1)
         e = np.exp(s - np.repeat(np.maximum.reduceat(s, self.group), self.size))
         return e / np.repeat(np.add.reduceat(e, self.group), self.size)
 
@@ -157,33 +133,63 @@ class Consensus:
         zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
         flat = wide.select(F.col("f").cast("int").alias("f"), "item_id", F.col("c.k").cast("int").alias("k"), F.explode("v").alias("x"), zero(F.col("own") == label).alias("own"), zero(near).alias("near"), F.col("c.share").alias("share"))
         self.votes = flat.select("f", "item_id", "k", F.col("x.annotator_id").alias("annotator_id"), F.col("x.l").cast("int").alias("l"), *FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
-        self.matrix = names.groupby("f")["code"].count().reindex(range(len(self.fields)), fill_value=0).to_numpy() <= MATRIX_LABELS
+        self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.by_cell = self.votes.repartition(self.parts, "f", "annotator_id", "k").persist(StorageLevel.MEMORY_AND_DISK)
         edge = self.votes.select("item_id").distinct().select(F.xxhash64("item_id").alias("h")).orderBy("h").limit(SAMPLE_ITEMS).agg(F.max("h")).first()[0]
-        sample = self.votes.where(F.xxhash64("item_id") <= edge)
-        fit_on = Votes(iter(sample.toArrow().to_batches()))
+        sampled = F.xxhash64("item_id") <= edge
+        zeros = {"cell": F.lit(0.0), "total": F.lit(0.0)}
+        fit_on = Votes(iter(self.votes.where(sampled).withColumns(zeros).toArrow().to_batches()))
+        self.counted: DataFrame | None = None
         params: Params | None = None
         for _ in range(rounds):
-            nxt = Params(self.fields, [max(float(v), 2.0) for v in choices.values()], self.matrix)
-            nxt.update(self._count(params))
-            nxt.theta = _fit(fit_on, fit_on.posterior(params), params.theta if params else nxt.theta)
+            step = self._expect(params, sampled).persist(StorageLevel.MEMORY_AND_DISK)
+            self.counted = checkpoint(self._cells(step))
+            rel = self.counted.groupBy("f", "a").agg(F.sum(F.when(F.col("k") == F.col("l"), F.col("cell")).otherwise(0.0)).alias("right"), F.sum("cell").alias("n")).toPandas()
+            p = step.where("item_id IS NOT NULL").select("f", "item_id", "k", "c").toPandas().sort_values(["f", "item_id", "k"])["c"].to_numpy()
+            nxt = Params(self.fields, [max(float(v), 2.0) for v in choices.values()], rel)
+            nxt.theta = _fit(fit_on, p, params.theta if params else nxt.theta)
             params = nxt
+            step.unpersist()
         self.params = params
 
-    def _count(self, params: Params | None) -> pd.DataFrame:
-        """Expected counts of each annotator's labels by true label, under ``params``."""
-        sent, matrix = self.votes.sparkSession.sparkContext.broadcast(params), self.matrix
+    def _joined(self, params: Params | None) -> DataFrame:
+        """The votes with their confusion counts (none without parameters), each item's in one partition."""
+        if params is None:
+            return self.votes.withColumns({"cell": F.lit(0.0), "total": F.lit(0.0)})
+        v = self.by_cell.join(self.counted.withColumnsRenamed({"a": "annotator_id"}).hint("merge"), ["f", "annotator_id", "k", "l"])
+        return v.select(*_VOTE).repartition(self.parts, "f", "item_id")
+
+    def _expect(self, params: Params | None, sampled: Column) -> DataFrame:
+        """Partial expected counts of each annotator's labels by true label, under ``params``, and, with an item_id, the
+        posteriors of the sampled items' candidates."""
+        sent = self.votes.sparkSession.sparkContext.broadcast(params)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            v = Votes(batches)
+            seen: list[np.ndarray] = []
+
+            def votes() -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    seen.append(b.column("sampled").to_numpy(zero_copy_only=False))
+                    yield b
+
+            v = Votes(votes())
             if not v.n:
                 return
-            c = np.repeat(v.posterior(sent.value), v.votes)
-            full = matrix[v.f]
-            k, l = np.where(full, v.k, np.where(v.k == v.l, 0, 1)), np.where(full, v.l, 0)
-            rows = pd.DataFrame({"f": v.f, "a": v.a, "k": k, "l": l, "c": c}).groupby(["f", "a", "k", "l"], as_index=False).sum()
-            yield pa.RecordBatch.from_pandas(rows.astype({"f": "int32", "a": "int64", "k": "int32", "l": "int32"}), preserve_index=False)
-
-        return self.votes.mapInArrow(run, "f int, a bigint, k int, l int, c double").groupBy("f", "a", "k", "l").agg(F.sum("c").alias("c")).toPandas()
+            p = v.posterior(sent.value)
+            rows = pd.DataFrame({"f": v.f, "a": v.a, "k": v.k, "l": v.l, "c": np.repeat(p, v.votes)}).groupby(["f", "a", "k", "l"], as_index=False).sum()
+            out = pa.RecordBatch.from_pandas(rows.astype({"f": "int32", "a": "int64", "k": "int32", "l": "int32"}), preserve_index=False)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(len(out), pa.int64())], names=names)
+            at = np.flatnonzero(np.concatenate(seen)[v.order][v.cand])
+            none = lambda kind: pa.nulls(len(at), kind)
+            yield pa.RecordBatch.from_arrays([pa.array(v.cf[at], pa.int32()), none(pa.int64()), pa.array(v.ck[at], pa.int32()), none(pa.int32()), pa.array(p[at]), pa.array(v.ci[at], pa.int64())], names=names)
+
+        names = ["f", "a", "k", "l", "c", "item_id"]
+        return self._joined(params).withColumn("sampled", sampled).mapInArrow(run, "f int, a bigint, k int, l int, c double, item_id bigint")
+
+    def _cells(self, step: DataFrame) -> DataFrame:
+        """f, a, k, l with the count of the cell and the total of its row (f, a, k)."""
+        c = step.where("item_id IS NULL").repartition(self.parts, "f", "a", "k").groupBy("f", "a", "k", "l").agg(F.sum("c").alias("cell"))
+        return c.withColumn("total", F.sum("cell").over(Window.partitionBy("f", "a", "k")))
 
     @property
     def reliability(self) -> DataFrame:
@@ -214,7 +220,7 @@ class Consensus:
             agree = np.add.reduceat(mine * (mine - 1), v.group) / np.maximum(pairs, 1)
             yield pa.RecordBatch.from_arrays([pa.array([fields[i] for i in v.cf[best]]), pa.array(v.ci[best]), pa.array([names[i] for i in v.ck[best]]), pa.array(p[best]), pa.array(n), pa.array(agree, mask=pairs == 0)], names=["field", "item_id", "label", "probability", "n_votes", "agreement"])
 
-        return self.votes.mapInArrow(run, schema)
+        return self._joined(self.params).mapInArrow(run, schema)
 
 
 def _fit(v: Votes, p: np.ndarray, theta: np.ndarray) -> np.ndarray:
