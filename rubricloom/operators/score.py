@@ -5,6 +5,13 @@ Ratios keep numerator and denominator until the last projection; a ratio over no
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,17 +102,41 @@ def repetitions(scores_: DataFrame, cell: list[str], rep: str = "rep") -> DataFr
     return g.select(*cell, F.col(rep).alias("rep"), long.alias("x")).select(*cell, "rep", "x.*")
 
 
+def _band(reps: list[tuple[int, int]], low: float, high: float) -> tuple[float, float, float]:
+    """Band and standard deviation over all k^k resamples of (num, den), counted in whole numbers."""
+    k, stride = len(reps), len(reps) * max(d for _, d in reps) + 1
+    kind = np.int64 if k**k < 2**63 else object
+    one, ways = np.unique(np.array([n * stride + d for n, d in reps], np.int64), return_counts=True)
+    ways = np.array(ways.tolist(), kind)
+    at, count = np.zeros(1, np.int64), np.ones(1, kind)
+    for _ in range(k):
+        s, c = (at[:, None] + one).ravel(), (count[:, None] * ways).ravel()
+        order = np.argsort(s, kind="stable")
+        s = s[order]
+        first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        at, count = s[first], np.add.reduceat(c[order], first)
+    num, den = at // stride, at % stride
+    v = np.where(den > 0, num / np.maximum(den, 1), 0.0)
+    order = np.argsort(v, kind="stable")
+    v, upto = v[order], list(accumulate(count[order].tolist()))
+    share = np.array([c / k**k for c in count[order].tolist()])
+    cut = lambda f: float(v[bisect_right(upto, round(Fraction(str(f)) * (k**k - 1)))])
+    mean = float((v * share).sum())
+    return cut(low), cut(high), float(np.sqrt((share * (v - mean) ** 2).sum()))
+
+
 def bands(reps: DataFrame, cell: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Range over repetitions and the exact bootstrap band of each cell and metric.
 
-    All k^k resamples of k repetitions (k at most 6) are enumerated as multisets with their multiplicities, so the band
-    needs no random draws. Percentiles take the nearest index, halves to even.
+    All k^k resamples of k repetitions count, so the band needs no random draws: up to 6 repetitions they are listed,
+    beyond that the joint distribution of numerator and denominator is convolved. Percentiles take the nearest index,
+    halves to even.
     """
     key = [*cell, "metric"]
-    g = reps.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rep", "num", "den"))).alias("r")).withColumn("k", F.size("r")).where("k BETWEEN 1 AND 6")
+    g = reps.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rep", "num", "den"))).alias("r")).withColumn("k", F.size("r"))
     one = F.try_divide(F.col("x.num").cast("double"), F.col("x.den"))
     span = g.select(*key, "k", F.explode("r").alias("x")).groupBy(*key).agg(F.max("k").alias("k"), F.sum("x.num").alias("num"), F.sum("x.den").alias("den"), F.min(one).alias("rep_min"), F.max(one).alias("rep_max"))
-    draws = g.select(*key, "k", "r", F.explode(F.expr("sequence(0L, cast(pow(k, k) AS bigint) - 1)")).alias("d"))
+    draws = g.where("k <= 6").select(*key, "k", "r", F.explode(F.expr("sequence(0L, cast(pow(k, k) AS bigint) - 1)")).alias("d"))
     pick = F.expr("transform(sequence(0, k - 1), i -> r[cast(cast(d AS bigint) div cast(pow(k, i) AS bigint) % k AS int)])")
     v = draws.select(*key, "k", pick.alias("p")).select(*key, F.expr("aggregate(p, 0L, (s, x) -> s + x.num)").alias("n"), F.expr("aggregate(p, 0L, (s, x) -> s + x.den)").alias("e"))
     v = v.select(*key, F.coalesce(F.try_divide(F.col("n").cast("double"), F.col("e")), F.lit(0.0)).alias("v"))
@@ -116,7 +147,16 @@ def bands(reps: DataFrame, cell: list[str], low: float = 0.025, high: float = 0.
     mean = F.sum(F.col("v") * F.col("c")) / F.sum("c")
     sd = F.sqrt(F.greatest(F.sum(F.col("v") * F.col("v") * F.col("c")) / F.sum("c") - mean * mean, F.lit(0.0)))
     b = hist.groupBy(*key).agg(at(low).alias("band_low"), at(high).alias("band_high"), sd.alias("bootstrap_sd"))
-    out = span.join(b, key)
+    more = g.where("k > 6").select(*key, "r")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in more.schema[:-1]) + ", band_low double, band_high double, bootstrap_sd double"
+
+    def convolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*key, "band_low", "band_high", "bootstrap_sd"]
+        for x in batches:
+            found = [_band([(d["num"], d["den"]) for d in r], low, high) for r in x.column(len(key)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*x.columns[: len(key)], *[pa.array([f[i] for f in found], pa.float64()) for i in range(3)]], names=names)
+
+    out = span.join(b.unionByName(more.mapInArrow(convolved, schema)), key)
     return out.withColumns({"pooled": F.try_divide(F.col("num").cast("double"), F.col("den")), "spread": F.col("rep_max") - F.col("rep_min"), "band_width": F.col("band_high") - F.col("band_low")})
 
 

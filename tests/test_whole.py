@@ -1,5 +1,8 @@
 import json
 
+import numpy as np
+
+from rubricloom.operators import score
 from rubricloom.plans import envelopes
 
 
@@ -30,3 +33,17 @@ def test_json_counts_cover_every_example(spark, tmp_path):
     got = {(r.run_id, r.example_no, r.rule) for r in envelopes.contract_json_counts(spark, d).collect()}
     both = ("histogram-sum", "histogram-counts")
     assert got == {(2, 1, r) for r in both} | {(3, 2, r) for r in both} | {(5, 0, r) for r in both} | {(3, 0, "integer-literals")}
+
+
+def test_bands_of_many_repetitions(spark):
+    reps = [(1, 3), (2, 5), (0, 2), (4, 4), (3, 7), (2, 5), (0, 0)]
+    rows = [("c", "m", i, n, d) for i, (n, d) in enumerate(reps)] + [("e", "m", 1, 1, 2)]
+    got = {r.cell: r for r in score.bands(spark.createDataFrame(rows, "cell string, metric string, rep int, num long, den long"), ["cell"]).collect()}
+    draws = np.indices((7,) * 7).reshape(7, -1)
+    n, d = (np.array([x[i] for x in reps])[draws].sum(axis=0) for i in (0, 1))
+    v = np.sort(np.where(d > 0, n / np.maximum(d, 1), 0.0))
+    r = got["c"]
+    assert (r.k, r.pooled, r.rep_min, r.rep_max) == (7, 12 / 26, 0.0, 1.0) and got["e"].k == 1
+    assert (r.band_low, r.band_high) == (v[round(0.025 * (7**7 - 1))], v[round(0.975 * (7**7 - 1))]) and abs(r.bootstrap_sd - v.std()) < 1e-9
+    low, high, sd = score._band([(i % 3, 3) for i in range(20)], 0.025, 0.975)
+    assert 0 < low < 19 / 60 < high < 1 and sd > 0
