@@ -104,26 +104,62 @@ def test_typed_headings(spark):
     assert canonical.to_entries(v.where("row_id < 0"), s).count() == 0
 
 
-def test_deletes_find_every_near_word():
-    w = canonical.Words()
-    for x in ("boundary", "contacts", "quality", "penalties"):
-        w.add(x)
+def test_both_ways_decide_alike(spark):
+    cols = "artifact_id long, section_id long, heading string, level int, position int, anchor string, heading_path array<string>"
+    rows = [(1, 10, "Budget Review", 2, 1, None, None), (1, 12, "Staff Rules", 2, 2, None, []), (2, 20, "Midget Review", 2, 1, None, ["x"]), (2, 21, "Stuff Rules", 2, 2, "", None), (1, 13, "Fees for Late Return of Borrowed Garden Tools", 2, 3, None, None), (3, 30, None, None, None, None, None)]
+    s = spark.createDataFrame(rows, cols)
+    typed = [(1, "Midget Review", -1), (2, "Midget Review", 20), (1, "Stuff Rules", -1), (1, "Budgt Review", 10), (2, "Contractural", -1), (1, "borrowed garden tools: late return of fees for", 13), (3, "x", -1), (None, "x", -1)]
+    v = spark.createDataFrame([("f", i, a, t, None) for i, (a, t, _) in enumerate(typed)], "origin string, row_id long, artifact_id long, text string, path array<string>")
+    for limit in (canonical.BROADCAST_ENTRIES, 0):
+        got = {r.row_id: r.section_id for r in canonical.to_entries(v, s, limit).collect()}
+        assert [got[i] for i in range(len(typed))] == [w for *_, w in typed]
+
+
+def _edited(rng, t, k):
+    t = list(t)
+    for _ in range(k):
+        i = rng.randrange(len(t) - 1)
+        how = rng.randrange(4)
+        if how == 0 and len(t) > 3:
+            t.pop(i)
+        elif how == 1:
+            t.insert(i, rng.choice("abcxyz"))
+        elif how == 2:
+            t[i] = rng.choice("abcxyz")
+        else:
+            t[i], t[i + 1] = t[i + 1], t[i]
+    return "".join(t)
+
+
+def test_deletes_against_every_distance():
+    d = canonical.Deletes()
+    strings = ["boundary", "contacts", "quality", "penalties", "boundaryinventory", "howtopublishledgers", "fees", "feed"]
+    for x in strings:
+        d.add(x)
     rng = random.Random(2)
-    for target in list(w.count):
-        for _ in range(60):
-            t = list(target)
-            for _ in range(2):
-                i = rng.randrange(len(t) - 1)
-                k = rng.randrange(4)
-                if k == 0:
-                    t.pop(i)
-                elif k == 1:
-                    t.insert(i, rng.choice("abcxyz"))
-                elif k == 2:
-                    t[i] = rng.choice("abcxyz")
-                else:
-                    t[i], t[i + 1] = t[i + 1], t[i]
-            assert target in w.near("".join(t))
+    for target in strings:
+        for k in (0, 1, 2, 3):
+            for _ in range(40):
+                t = _edited(rng, target, k)
+                for most in (1, 2, 3) if len(t) > 3 else (1,):
+                    assert d.near(t, most) == {w: c for w in strings if (c := canonical.distance(t, w, float(most))) is not None}
+                cut = t[: rng.randint(min(4, len(t)), len(t))]
+                begun = d.begun(cut, 2.0)
+                for w in strings:
+                    cs = [c for x in (-1, 0, 1) if (c := canonical.distance(cut, w[: len(cut) + x], 2.0)) is not None]
+                    assert begun.get(w) == (0.0 if w.startswith(cut) else min(cs) if cs else None), (cut, w)
+
+
+def test_assignment_against_permutations():
+    from itertools import permutations
+
+    rng = random.Random(5)
+    for _ in range(300):
+        n = rng.randint(1, 5)
+        table = [[rng.choice([None, 0.0, 0.3, 0.8, 1.0, 2.6]) for _ in range(n)] for _ in range(n)]
+        all_ = [sum(cs) for o in permutations(range(n)) if None not in (cs := [table[a][b] for a, b in enumerate(o)])]
+        got = canonical.assign(table)
+        assert (got is None) == (not all_) and (got is None or abs(got - min(all_)) < 1e-6)
 
 
 # -- near duplicates ---------------------------------------------------------------------------------------------------
