@@ -191,9 +191,23 @@ def test_near_duplicates_against_brute_force(spark):
     assert none.pairs().count() == 0 and none.classes().count() == 0
 
 
-def test_equal_register_chance_is_near_j():
-    for j in (0.2, 0.5, 0.8, 1.0):
-        assert abs(neardup.equal_chance(j, 60, 60) - j) < 0.01
+def test_joint_estimate_is_near_j():
+    rng = np.random.default_rng(3)
+    for n_a, n_b, both in ((60, 60, 52), (60, 60, 30), (50, 60, 50), (40, 60, 0)):
+        texts = [" ".join(f"{p}{i}" for p, k in (("s", both), (c, n - both)) for i in range(k)) for c, n in (("a", n_a), ("b", n_b))]
+        r = neardup.Batch(pa.array(texts)).registers(np.array([0, 1]), 400, 3000, neardup.JOINT_BASE, neardup.JOINT_LEVELS).astype(int)
+        more, less, equal = neardup.compare(r[:1], r[1:])
+        one = lambda k: np.array([k])
+        assert abs(neardup.estimate(one(n_a), one(n_b), more, less, equal)[0] - both / (n_a + n_b - both)) < 0.04
+    # a pair at the threshold is hardly ever lost
+    lost = 0
+    for k in range(300):
+        a, b = rng.permutation(10_000)[:40].tolist(), rng.permutation(10_000)[:6].tolist()
+        t = [" ".join(f"x{v}" for v in a), " ".join(f"x{v}" for v in a[:34]) + " " + " ".join(f"y{v}" for v in b)]
+        r = neardup.Batch(pa.array(t)).registers(np.array([0, 1]), 400, neardup.JOINT, neardup.JOINT_BASE, neardup.JOINT_LEVELS).astype(np.uint8)
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([r[0].tobytes()]), pa.array([r[1].tobytes()]), pa.array([40]), pa.array([40])], names=list("abcdef"))
+        lost += sum(x.num_rows for x in neardup._likely_rows(iter([batch]), 85)) == 0
+    assert lost <= 2
 
 
 def test_sketch_estimates_overlap():
@@ -203,6 +217,34 @@ def test_sketch_estimates_overlap():
     assert abs((r[0] == r[1]).mean() - 50 / 70) < 0.05
 
 
+def test_recall_just_above_the_threshold(spark):
+    """Planted pairs of 85 to 90 % common words: nine in ten are met by the bands, all by the exact way."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(400):
+        n = rng.randint(40, 80)
+        t = [f"t{rng.randint(0, 5000)}" for _ in range(n)]
+        u = list(t)
+        for i in rng.sample(range(n), rng.randint(int(0.10 * n), int(0.15 * n))):
+            u[i] = f"n{rng.randint(0, 100_000)}"
+        rng.shuffle(u)
+        texts += [t, u]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "row_id long, e string")
+    want = {(a, a + 1) for a in range(0, 800, 2) if overlap(texts[a], texts[a + 1]) * 100 >= 85 * len(texts[a])}
+    got = {tuple(r) for r in neardup.NearDuplicates(df, "row_id", ["e"]).pairs().collect()}
+    every = {tuple(r) for r in neardup.NearDuplicates(df, "row_id", ["e"], exact=True).pairs().collect()}
+    assert got <= want and len(want) > 300 and len(got) >= 0.93 * len(want)
+    assert every == want
+
+
+def test_hot_class_of_copies(spark):
+    rows = [(i, "the same eight words stand in this text") for i in range(700)] + [(1000 + i, f"text number w{i} of its own a{i} b{i} c{i}") for i in range(300)] + [(None, "a b")]
+    df = spark.createDataFrame(rows, "row_id long, e string")
+    near = neardup.NearDuplicates(df, "row_id", ["e"])
+    assert near.pairs().count() == 700 * 699 // 2
+    assert near.members().where("class_id = 0").count() == 700 and near.members().count() == 1001
+
+
 # -- consensus ---------------------------------------------------------------------------------------------------------
 def test_consensus_follows_reliable_annotators(spark):
     rng = random.Random(9)
