@@ -4,6 +4,10 @@ Intact values are cut artificially (between characters, between words, with an e
 logistic regression learns closing characters, closing words, the shape of the last line, open markup and the length's
 relation to its source's limits; then every record is scored. The sample holds cut records too, so the fit is repeated
 without the sampled records that the fit before scored as cut.
+
+Whether a closing word is a whole one is told by how many documents of the whole corpus hold it inside their text; the
+counts are a distributed table that is joined to the closing words. The sample's texts are turned into hashed features
+where they lie, so only numbers reach the driver, however long the texts are.
 """
 
 from __future__ import annotations
@@ -12,7 +16,6 @@ import json
 import random
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,19 +23,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rubricloom.session import broadcast_if_small
+from rubricloom.session import broadcast_if_small, checkpoint
 
-#: Records on which the classifier is fitted, taken by the hash of their key; all statistics and scores cover all records.
+#: Records (in expectation) on which the classifier is fitted, taken by the hash of their key; all counts, statistics and
+#: scores cover all records.
 SAMPLE = 10_000
 DIM = 1 << 18
 ROUNDS = 3
 #: Records scored above this are reported as cut.
 CUT = 0.7
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+|\s+|[^\w\s]|_")
-_WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+#: A word, as the Java engine and as _TOKEN read it.
+_WORD = r"[\p{L}\p{Nl}\p{No}]+(?:['’\-][\p{L}\p{Nl}\p{No}]+)*+"
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^<>]*?(/?)>")
+#: HTML's elements without an end tag.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_TAIL = 400
 _KINDS = [(k, re.compile(p)) for k, p in (
     ("fence", r"\s*(```|~~~)"), ("row", r"\s*\|"), ("head", r"#{1,6}(\s|$)"), ("bullet", r"\s*[-*+](\s|$)"), ("number", r"\s*\d+[.)](\s|$)"),
     ("link", r"\s*https?:"), ("sign", r"\s*(—|--)\s"), ("tag", r"\s*<"), ("field", r"[A-Z][\w ]{0,30}:"), ("json", r'\s*["\[{}\]]'), ("mark", r"\*"))]
@@ -67,10 +72,23 @@ def open_markup(text: str) -> tuple[int, bool]:
     return len(stack), text.rfind("<") > text.rfind(">") and bool(re.match(r"</?[a-zA-Z!]?[^<>\n]*$", text[text.rfind("<") :]))
 
 
-def features(text: str, spike: int, words: set[int]) -> list[str]:
-    """What a text's end and its open structures look like; ``spike`` tells how its length stands out in its source."""
-    tail = text[-_TAIL:].rstrip("\r\n")
-    line = re.split(r"[\r\n]", tail)[-1]
+def last_line(text: str) -> str:
+    """The last line that is not empty, whole."""
+    text = text.rstrip("\r\n")
+    return text[max(text.rfind("\n"), text.rfind("\r")) + 1 :]
+
+
+def last_word(text: str) -> str:
+    """The word a text ends in, in lower case; empty where it ends in something else."""
+    tokens = _TOKEN.findall(last_line(text))
+    return tokens[-1].lower() if tokens and tokens[-1][0].isalpha() else ""
+
+
+def features(text: str, spike: int, known: bool) -> list[str]:
+    """What a text's end and its open structures look like; ``spike`` tells how its length stands out in its source and
+    ``known`` whether its last word is a whole word of the corpus."""
+    tail = text.rstrip("\r\n")
+    line = last_line(text)
     kind = _kind(line)
     tokens = _TOKEN.findall(line) or [""]
     last = tokens[-1]
@@ -83,7 +101,7 @@ def features(text: str, spike: int, words: set[int]) -> list[str]:
     out.append(f"{kind},n={min(len(tokens), 8)}")
     if kind in ("bullet", "number"):
         item = "".join(_token(t) if t else "" for t in _TOKEN.findall(re.sub(r"^\s*\S+\s*", "", line))[:16])
-        out += [f"item={item}", f"item,known={zlib.crc32(last.lower().encode()) in words},{item}"]
+        out += [f"item={item}", f"item,known={known},{item}"]
     if kind in ("field", "sign", "head"):
         head = line.split(":")[0] if kind == "field" else "".join(types)
         out.append(f"{kind}:{head}")
@@ -91,7 +109,6 @@ def features(text: str, spike: int, words: set[int]) -> list[str]:
             value = line.split(":", 1)[1].strip().lower()
             out += [f"field,empty={not value}", f"value={head}:{value[:40] if len(value) <= 40 else len(value) > 40}"]
     if last[:1].isalpha():
-        known = zlib.crc32(last.lower().encode()) in words
         out += [f"known={known}", f"{kind},known={known}"]
         if len(tokens) > 2:
             out.append("two=" + "".join(tokens[-3:]).lower())
@@ -99,7 +116,7 @@ def features(text: str, spike: int, words: set[int]) -> list[str]:
     bare = tail.rstrip("”»\"')")
     closed = bare != tail and tail.count("“") <= tail.count("”") and tail.count("«") <= tail.count("»")
     out.append(f"closed={closed}")
-    stop = bare[-1:] in tuple(".!?。！？؟…") and not tail.endswith(("...", "…"))
+    stop = bare[-1:] in tuple(".!?。！？؟…") and not tail.endswith(("...", "…")) or closed and tail.endswith(("”", "»"))
     out.append(f"stop={stop}")
     out.append(f"{kind},stop={stop}")
     if tail.endswith(("...", "…")):
@@ -140,12 +157,16 @@ def _cut(text: str, rng: random.Random) -> str | None:
     how = rng.random()
     out = text[:at]
     marked = "</" in text or text.lstrip()[:1] in ("[", "{")
+    wide = [i for i in range(20, len(text)) if text[i] > "\x7f"] if how > 0.95 and not text.isascii() else []
+    if wide:
+        # a broken transfer inside a character leaves the mark of an undecodable byte
+        return text[: rng.choice(wide)] + "\ufffd"
     if how < 0.3:
         out = out[: max(out.rfind(" "), 20)].rstrip(" ")
     rest = text[len(out) :]
     if not out.strip() or not rest.strip():
         return None
-    whole = out.rstrip()[-1:] in ".!?" or rest[:1] in "\r\n" or out[-1:] in "\r\n" or (rest[:1] in ".!?" and rest[1:2] in ("", " ", "\n", "<", '"'))
+    whole = out.rstrip()[-1:] in ".!?”»" or rest[:1] in "\r\n" or out[-1:] in "\r\n" or (rest[:1] in ".!?" and rest[1:2] in ("", " ", "\n", "<", '"'))
     if whole and not marked:
         return None
     if how > 0.85:
@@ -154,13 +175,13 @@ def _cut(text: str, rng: random.Random) -> str | None:
 
 
 class Model:
-    """Weights of the hashed regression and the hashes of whole words met inside texts."""
+    """Weights of the hashed regression."""
 
-    def __init__(self, weights: np.ndarray, words: set[int]) -> None:
-        self.weights, self.words = weights, words
+    def __init__(self, weights: np.ndarray) -> None:
+        self.weights = weights
 
-    def score(self, text: str, spike: int) -> float:
-        z = float(self.weights[_hash(features(text, spike, self.words))].sum())
+    def score(self, text: str, spike: int, known: bool) -> float:
+        z = float(self.weights[_hash(features(text, spike, known))].sum())
         return 1.0 / (1.0 + np.exp(-max(min(z, 30.0), -30.0)))
 
 
@@ -182,29 +203,28 @@ def _regress(rows: list[list[int]], y: np.ndarray, l2: float = 2e-5, rounds: int
     return out
 
 
-def fit(sample: list[tuple[str, int]], seed: int = 7) -> Model:
-    """A model from (text, spike) rows, most of which are intact; the same rows give the same model."""
+def examples(text: str, spike: int, known: bool, seed: int) -> tuple[list[int], list[tuple[str, list[int], list[int]]]]:
+    """Hashed features of a text, and of two cut versions of it: last word, features if it is a word, features if not."""
     rng = random.Random(seed)
-    count: Counter[int] = Counter()
-    for text, _ in sample:
-        found = _WORD.findall(text)
-        count.update({zlib.crc32(w.lower().encode()) for w in found[:-1]})
-    words = {h for h, c in count.items() if c >= 2}
-    own = [_hash(features(t, s, words)) for t, s in sample]
-    cuts: list[list[list[int]]] = []
-    for text, _ in sample:
-        made = [_cut(text, rng) for _ in range(2)]
-        # half of the cuts play a length limit: their length then stands out in the source
-        cuts.append([_hash(features(c, rng.choice((0, 3)), words)) for c in made if c is not None])
+    cuts = []
+    for _ in range(2):
+        c = _cut(text, rng)
+        if c is not None:
+            # half of the cuts play a length limit: their length then stands out in the source
+            at = rng.choice((0, 3))
+            cuts.append((last_word(c), _hash(features(c, at, True)), _hash(features(c, at, False))))
+    return _hash(features(text, spike, known)), cuts
+
+
+def fit(own: list[list[int]], spikes: list[int], cuts: list[list[list[int]]]) -> Model:
+    """A model from the hashed features of records, most of which are intact, and of cut versions of each."""
     # a first guess at the intact ones: lengths that stand out are suspect
-    intact = [i for i, (_, spike) in enumerate(sample) if spike < 2]
-    for r in range(ROUNDS):
-        if r == ROUNDS - 1:
-            return Model(_train(own, cuts, intact), words)
+    intact = [i for i, spike in enumerate(spikes) if spike < 2]
+    for _ in range(ROUNDS - 1):
         # each half is judged by a fit on the other half, so that no cut record vouches for itself
         halves = [_train(own, cuts, [i for i in intact if i % 2 == h]) for h in (0, 1)]
         intact = [i for i, o in enumerate(own) if halves[1 - i % 2][o].sum() < 0]
-    return Model(np.zeros(DIM), words)
+    return Model(_train(own, cuts, intact))
 
 
 def _train(own: list[list[int]], cuts: list[list[list[int]]], intact: list[int]) -> np.ndarray:
@@ -220,30 +240,59 @@ def _spikes(df: DataFrame) -> DataFrame:
     n = df.groupBy("source", F.floor(F.col("n") / 8).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("c"))
     around = (F.sum("c").over(w) - F.col("c")) / 24.0
     ratio = F.col("c") / (around + 1.0)
-    return n.select("source", "bin", F.when((F.col("c") >= 5) & (ratio >= 10), 3).when((F.col("c") >= 5) & (ratio >= 4), 2).when(ratio >= 2.5, 1).otherwise(0).alias("spike"))
+    return n.select("source", "bin", "c", F.when((F.col("c") >= 5) & (ratio >= 10), 3).when((F.col("c") >= 5) & (ratio >= 4), 2).when(ratio >= 2.5, 1).otherwise(0).alias("spike"))
+
+
+def _inner_words(docs: DataFrame) -> DataFrame:
+    """``word`` for each word that two documents or more hold before their last word."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(_WORD), 0)
+    each = docs.where("text IS NOT NULL").select(w.alias("w")).select(F.explode(F.array_distinct(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))))).alias("word"))
+    return each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("word")
 
 
 def scores(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", sample: int = SAMPLE) -> DataFrame:
     """``doc_id``, ``source`` and the probability that the text was cut, for every record.
 
     Null, empty and blank texts were not cut (0.0). Repeated rows are scored each; a null source is a source of its
-    own; other columns of ``df`` are left out; an empty table gives no rows. The classifier is fitted on ``sample``
-    records by hash; length statistics cover all records. Whole texts are read; the statistics table has a row for
-    each source and length and is broadcast only if counted small.
+    own; other columns of ``df`` are left out; an empty table gives no rows. The classifier is fitted on about
+    ``sample`` records by hash (all, where there are fewer); words and length statistics cover all records, and whole
+    texts are read. The tables of lengths (a row for each source and length) and of words are broadcast only if counted
+    small.
     """
+    spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"))
-    sized = docs.where("trim(text) <> ''").select("doc_id", "source", F.length("text").alias("n"))
-    spikes = _spikes(sized)
-    docs = docs.withColumn("bin", F.floor(F.length("text") / 8).cast("long")).join(broadcast_if_small(spikes, 200_000), ["source", "bin"], "left")
-    docs = docs.select("doc_id", "source", "text", F.coalesce("spike", F.lit(0)).alias("spike"))
-    ids = df.where(F.trim(F.col(text)) != "").select(F.col(key).cast("long").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = [(r[0], r[1]) for r in docs.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "spike").limit(sample).collect()]
-    sent = df.sparkSession.sparkContext.broadcast(fit(rows))
+    filled = docs.where("trim(text) <> ''")
+    lengths = checkpoint(_spikes(filled.select("doc_id", "source", F.length("text").alias("n"))))
+    words = checkpoint(_inner_words(docs))
+    n = lengths.agg(F.sum("c")).first()[0] or 0
+    last = F.regexp_extract(F.lower(F.regexp_extract("text", r"([^\r\n]*+)[\r\n]*+\z", 1)), rf"(?<![\p{{L}}\p{{Nl}}\p{{No}}'’\-])({_WORD})\z", 1)
+    small = broadcast_if_small(words.select(F.col("word").alias("last"), F.lit(True).alias("known")), 2_000_000)
+    docs = docs.withColumns({"bin": F.floor(F.length("text") / 8).cast("long"), "last": F.nullif(last, F.lit(""))})
+    docs = docs.join(broadcast_if_small(lengths.drop("c"), 200_000), ["source", "bin"], "left").join(small, "last", "left")
+    docs = docs.select("doc_id", "source", "text", F.coalesce("spike", F.lit(0)).alias("spike"), F.coalesce("known", F.lit(False)).alias("known"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for k, t, s, w in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4))):
+                own, cuts = examples(t, s, w, zlib.crc32(t.encode("utf-8", "surrogatepass")) ^ 7)
+                rows.append({"doc_id": k, "spike": s, "own": own, "cuts": [{"last": a, "yes": y, "no": z} for a, y, z in cuts]})
+            yield pa.RecordBatch.from_pylist(rows, _LEARNT)
+
+    chosen = docs.where("trim(text) <> ''").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 30))))
+    rows = sorted(chosen.mapInArrow(learn, "doc_id bigint, spike int, own array<int>, cuts array<struct<last:string,yes:array<int>,no:array<int>>>").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["own"]))
+    ends = spark.createDataFrame([(w,) for w in sorted({c["last"] for r in rows for c in r["cuts"]})], "word string")
+    whole = {r[0] for r in words.join(F.broadcast(ends), "word", "left_semi").collect()}
+    model = fit([r["own"] for r in rows], [r["spike"] for r in rows], [[c["yes" if c["last"] in whole else "no"] for c in r["cuts"]] for r in rows])
+    sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = sent.value
-            p = [m.score(t, s) if t and t.strip() else 0.0 for t, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            p = [m.score(t, s, w) if t and t.strip() else 0.0 for t, s, w in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64())], names=["doc_id", "source", "p_cut"])
 
     return docs.mapInArrow(run, "doc_id bigint, source string, p_cut double")
+
+
+_LEARNT = pa.schema([("doc_id", pa.int64()), ("spike", pa.int32()), ("own", pa.list_(pa.int32())), ("cuts", pa.list_(pa.struct([("last", pa.string()), ("yes", pa.list_(pa.int32())), ("no", pa.list_(pa.int32()))])))])

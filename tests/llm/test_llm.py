@@ -281,12 +281,34 @@ def _article(rng):
 def test_cut_texts_held_out():
     rng = random.Random(1)
     train, test = [_article(rng) for _ in range(500)], [_article(rng) for _ in range(150)]
-    m = truncation.fit([(t, 0) for t in train])
+    words = {w for t in train for w in t.lower().replace(".", " ").split()[:-1]}
+    known = lambda t: truncation.last_word(t) in words
+    made = [truncation.examples(t, 0, known(t), i) for i, t in enumerate(train)]
+    m = truncation.fit([own for own, _ in made], [0] * len(made), [[y if w in words else n for w, y, n in cuts] for _, cuts in made])
     cuts = [c for t in test if (c := truncation._cut(t, rng))]
-    right = sum(m.score(t, 0) < truncation.CUT for t in test) + sum(m.score(c, 0) > truncation.CUT for c in cuts)
+    right = sum(m.score(t, 0, known(t)) < truncation.CUT for t in test) + sum(m.score(c, 0, known(c)) > truncation.CUT for c in cuts)
     assert right / (len(test) + len(cuts)) > 0.93
 
 
+def test_whole_last_line_and_quotes_count():
+    bullet = "Intro.\n- " + "word " * 200 + "end"
+    assert "kind=bullet" in truncation.features(bullet, 0, True)
+    quote = "He said “" + "a very long speech " * 60
+    assert "quote" in truncation.features(quote, 0, True)
+    assert truncation.last_word("x y\nthe clerk's\r\n") == "clerk's" and truncation.last_word("ends. ") == "" and truncation.last_word("") == ""
+
+
+def test_words_are_counted_over_all_documents(spark):
+    """A closing word outside the sample still is a whole word."""
+    df = spark.createDataFrame([(i, f"We keep the zymurgy{"abcdefghijklmnopqrst"[i // 2]} log and all the other papers in one place.") for i in range(40)], "doc_id long, text string")
+    got = {r.word for r in truncation._inner_words(df).collect()}
+    assert {f"zymurgy{k}" for k in "abcdefghijklmnopqrst"} <= got and {"we", "keep", "one"} <= got and "place" not in got
+    java = spark.createDataFrame([("Ünïcode-wörd's x½ end it’s",)], "text string").selectExpr("1 AS doc_id", "text")
+    from pyspark.sql import functions as F
+
+    assert java.select(F.regexp_extract_all(F.lower("text"), F.lit(truncation._WORD), 0)).first()[0] == [t.lower() for t in truncation._TOKEN.findall("Ünïcode-wörd's x½ end it’s") if t.strip()]
+
+
 def test_cut_frame_edges(spark):
     rng = random.Random(2)
     rows = [(i, _article(rng), "s", 1.0) for i in range(60)] + [(900, None, "s", 1.0), (901, "", None, 1.0), (902, " \n ", "s", 1.0), (903, "word " * 50_000, "s", 1.0)]
