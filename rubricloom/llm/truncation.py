@@ -265,7 +265,9 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     lengths = checkpoint(_spikes(filled.select("doc_id", "source", F.length("text").alias("n"))))
     words = checkpoint(_inner_words(docs))
     n = lengths.agg(F.sum("c")).first()[0] or 0
-    last = F.regexp_extract(F.lower(F.regexp_extract("text", r"([^\r\n]*+)[\r\n]*+\z", 1)), rf"(?<![\p{{L}}\p{{Nl}}\p{{No}}'’\-])({_WORD})\z", 1)
+    # from the right end, so that the pattern sees the text's last stretch without blanks only
+    line = F.substring_index(F.translate(F.rtrim("text", F.lit("\r\n")), "\r", "\n"), "\n", -1)
+    last = F.lower(F.regexp_extract(F.substring_index(line, " ", -1), rf"(?<![\p{{L}}\p{{Nl}}\p{{No}}])({_WORD})\z", 1))
     small = broadcast_if_small(words.select(F.col("word").alias("last"), F.lit(True).alias("known")), 2_000_000)
     docs = docs.withColumns({"bin": F.floor(F.length("text") / 8).cast("long"), "last": F.nullif(last, F.lit(""))})
     docs = docs.join(broadcast_if_small(lengths.drop("c"), 200_000), ["source", "bin"], "left").join(small, "last", "left")
