@@ -4,11 +4,15 @@ Shared windows of words are the seeds: window hashes of the evaluation items are
 document. For a document and an item that share a seed, the longest common unmarked runs of words are marked as tiles,
 longest first and never overlapping, until no run of the minimum length is left. The longest tile tells a verbatim
 passage; the share of the item under tiles also tells a passage whose parts were reordered.
+
+The items go to the executors in blocks of bounded size, each block against all documents, so nothing is shuffled
+however many items there are or how hot a passage is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -19,55 +23,81 @@ from rubricloom.functions import arrow_text as at
 from rubricloom.session import measured_size
 
 _CHUNK = 8_000_000
-#: Items with at most this many characters in all are sent to the executors; larger sets are joined by seed.
-BROADCAST_CHARS = 64_000_000
+#: Characters of the items that are sent to the executors at once (about; one longer item is a block of its own).
+BLOCK_CHARS = 32_000_000
+#: Words of the seeds and of the shortest tiles, and of the longest tile that makes a leaked passage.
+SEED, PASSAGE = 8, 14
 _SCHEMA = "doc_id bigint, item_id bigint, longest int, tiled_words int, item_words int, n_tiles int"
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (document position, item position, length), longest first, at least ``shortest`` words."""
+    """Greedy string tiling: (document position, item position, length), longest first, at least ``shortest`` words.
+
+    The greatest length of a common unmarked run is found by bisection over running window hashes; the runs of that
+    length are then marked from the left. Repeated words cost no products: a window counts once on each side.
+    """
     found: list[tuple[int, int, int]] = []
     free_d, free_i = np.ones(len(doc), bool), np.ones(len(item), bool)
-    length = max(shortest, min(len(doc), len(item), 32))
-    while True:
-        runs = _scan(doc, item, free_d, free_i, length)
-        top = max((n for n, _, _ in runs), default=0)
-        if top > 2 * length:
-            length = top
-            continue
-        for n, d, i in sorted(runs, key=lambda r: (-r[0], r[1], r[2])):
-            if free_d[d : d + n].all() and free_i[i : i + n].all():
-                free_d[d : d + n] = free_i[i : i + n] = False
-                found.append((d, i, n))
-        if length == shortest:
-            return found
-        length = max(shortest, length // 2)
-
-
-def _scan(doc: np.ndarray, item: np.ndarray, free_d: np.ndarray, free_i: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Maximal common runs of unmarked words of at least ``size`` words, as (length, document, item) positions."""
-    hd, pd = at.windows(doc, np.cumsum(~free_d), size)
-    hi, pi = at.windows(item, np.cumsum(~free_i), size)
-    # a window with a marked first word shares its run number with free words after it
-    keep_d, keep_i = free_d[pd], free_i[pi]
-    hd, pd, hi, pi = hd[keep_d], pd[keep_d], hi[keep_i], pi[keep_i]
+    top = min(len(doc), len(item))
+    while top >= shortest:
+        low, high, hit = shortest, top, None
+        size = shortest
+        while low <= high:
+            pair = _common(doc, item, free_d, free_i, size)
+            if pair is None:
+                high = size - 1
+            else:
+                hit, low = (size, *pair), size + 1
+            size = min((low + high) // 2, 2 * size) if pair is not None else (low + high) // 2
+        if hit is None:
+            break
+        top = hit[0]
+        found += _mark(*hit, free_d, free_i)
+        top -= 1
+    return found
+
+
+def _windows(words: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts) of the windows of ``size`` unmarked words."""
+    if len(words) < size:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    marked = np.concatenate([np.zeros(1, np.int64), np.cumsum(~free)])
+    start = np.flatnonzero(marked[size:] == marked[:-size])
+    return at.slice_hashes(words, start, start + size), start
+
+
+def _common(doc: np.ndarray, item: np.ndarray, free_d: np.ndarray, free_i: np.ndarray, size: int) -> tuple[np.ndarray, ...] | None:
+    """The unmarked windows of ``size`` words that both sides hold; None if there is none."""
+    hi, pi = _windows(item, free_i, size)
+    hd, pd = _windows(doc, free_d, size)
+    kd = np.isin(hd, hi)
+    if not kd.any():
+        return None
+    ki = np.isin(hi, hd)
+    return hd[kd], pd[kd], hi[ki], pi[ki]
+
+
+def _mark(size: int, hd: np.ndarray, pd: np.ndarray, hi: np.ndarray, pi: np.ndarray, free_d: np.ndarray, free_i: np.ndarray) -> list[tuple[int, int, int]]:
+    """Marks runs of ``size`` words from the left of the document, each with the leftmost unmarked one of the item."""
     order = np.argsort(hi, kind="stable")
     hi, pi = hi[order], pi[order]
-    lo, up = np.searchsorted(hi, hd), np.searchsorted(hi, hd, side="right")
-    runs, seen = [], set()
-    for k in np.flatnonzero(up > lo):
-        d = int(pd[k])
-        for i in pi[lo[k] : up[k]].tolist():
-            # only the first window of a run: the word before differs or is marked
-            if d and i and free_d[d - 1] and free_i[i - 1] and doc[d - 1] == item[i - 1] or (d, i) in seen:
-                continue
-            n, most = 0, min(len(doc) - d, len(item) - i)
-            same = (doc[d : d + most] == item[i : i + most]) & free_d[d : d + most] & free_i[i : i + most]
-            n = most if same.all() else int(np.argmin(same))
-            if n >= size:
-                seen.add((d, i))
-                runs.append((n, d, i))
-    return runs
+    next_, end = np.searchsorted(hi, hd).tolist(), np.searchsorted(hi, hd, side="right").tolist()
+    at_: dict[int, int] = {}
+    out, upto = [], -1
+    for k, d in enumerate(pd.tolist()):
+        if d < upto:
+            continue
+        i = at_.get(next_[k], next_[k])
+        # a window that overlaps a mark stays unusable, so the pointer never goes back
+        while i < end[k] and not free_i[pi[i] : pi[i] + size].all():
+            i += 1
+        if i < end[k]:
+            p = int(pi[i])
+            free_d[d : d + size] = free_i[p : p + size] = False
+            out.append((d, p, size))
+            upto, i = d + size, i + 1
+        at_[next_[k]] = i
+    return out
 
 
 class Items:
@@ -92,10 +122,17 @@ class Items:
         seeds, pos = at.windows(h, doc, self.seed)
         maybe = np.flatnonzero(self.sieve[seeds >> np.uint64(42)])
         seeds, owner = seeds[maybe], doc[pos[maybe]]
+        # each seed of a document once, so that a repeated window meets the item's own only once
+        order = np.lexsort((seeds, owner))
+        seeds, owner = seeds[order], owner[order]
+        once = np.ones(len(seeds), bool)
+        once[1:] = (seeds[1:] != seeds[:-1]) | (owner[1:] != owner[:-1])
+        seeds, owner = seeds[once], owner[once]
         lo, up = np.searchsorted(self.seeds, seeds), np.searchsorted(self.seeds, seeds, side="right")
         n = up - lo
         hit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        shared = np.unique(np.stack([np.repeat(owner, n), self.owner[hit], self.at[hit]]), axis=1)
+        shared = np.stack([np.repeat(owner, n), self.owner[hit], self.at[hit]])
+        shared = shared[:, np.lexsort(shared[::-1])]
         cut = at.spans(doc, len(texts))
         for d, i in self._enough(shared):
             yield self._row(ids[d].as_py(), i, h[cut[d] : cut[d + 1]])
@@ -125,68 +162,41 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "longest", "tiled_words", "item_words", "n_tiles"])
 
 
-def leaks(corpus: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", seed: int = 14, shortest: int = 14, coverage: float = 0.0, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+def leaks(corpus: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", seed: int = SEED, shortest: int = SEED, coverage: float = 0.0, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Documents and items that share ``seed`` consecutive words, with the tiling of the item in the document.
 
     Words are the runs of a-z and 0-9 in the lower-cased text. ``longest`` is the longest tile, ``tiled_words`` the
     item's words under tiles of at least ``shortest`` words, ``item_words`` its words in all. Rows with a smaller share
-    of tiled words than ``coverage`` are left out (untiled, where shared seeds show it; needs seed <= shortest). Null and empty texts and
-    texts of fewer words share nothing; copies and repeated rows of a document each give their rows; an item listed
-    twice gives its rows twice. Every whole document is read. Items of at most ``broadcast_chars`` characters (measured)
-    go to the executors and nothing is shuffled; a larger set is joined by seed hash, spread over its seeds.
+    of tiled words than ``coverage`` are left out (untiled, where shared seeds show it; needs seed <= shortest). Null
+    and empty texts and texts of fewer words share nothing; copies and repeated rows of a document each give their
+    rows; an item listed twice gives its rows twice. Every whole document is read, once for each block of items of
+    about ``block_chars`` characters (measured); nothing is shuffled.
     """
     docs = corpus.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(doc_text).cast("string").alias("text"))
-    its = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("item_text"))
+    its = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("item_text")).where("item_text IS NOT NULL")
     _, chars = measured_size(its, F.col("item_text"))
-    if chars <= broadcast_chars:
-        rows = [tuple(r) for r in its.where("item_text IS NOT NULL").collect()]
-        out = _by_broadcast(docs, rows, seed, shortest, coverage)
-    else:
-        out = _by_join(docs, its, seed, shortest)
+    blocks = -(-chars // block_chars) or 1
+    out = None
+    for k in range(blocks):
+        part = its if blocks == 1 else its.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == k)
+        rows = _by_broadcast(docs, [tuple(r) for r in part.collect()], seed, shortest, coverage)
+        out = rows if out is None else out.unionByName(rows)
     return out.where(F.col("tiled_words") >= F.lit(coverage) * F.col("item_words"))
 
 
-def _by_broadcast(docs: DataFrame, rows: list[tuple[int, str]], seed: int, shortest: int, coverage: float) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            held = held or Items(sent.value, seed, shortest, coverage)
-            for part in at.pieces(b, 1, _CHUNK):
-                yield _rows(list(held.match(part.column(0), part.column(1))))
+#: The items of the last broadcast block, kept by a worker for its next task.
+_HELD: dict[str, Items] = {}
 
-    return docs.mapInArrow(run, _SCHEMA)
 
+def _by_broadcast(docs: DataFrame, rows: list[tuple[int, str]], seed: int, shortest: int, coverage: float) -> DataFrame:
+    sent, name = docs.sparkSession.sparkContext.broadcast(rows), uuid4().hex
 
-def _seeds(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if name not in _HELD:
+                _HELD.clear()
+                _HELD[name] = Items(sent.value, seed, shortest, coverage)
             for part in at.pieces(b, 1, _CHUNK):
-                _, _, _, doc, h = at.words(part.column(1))
-                seeds, pos = at.windows(h, doc, size)
-                if len(seeds):
-                    both = np.unique(np.stack([seeds.view(np.int64), doc[pos]]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), part.column(0).take(pa.array(both[1]))], names=["seed", key])
-
-    return df.select(key, text).mapInArrow(run, f"seed bigint, {key} bigint")
-
+                yield _rows(list(_HELD[name].match(part.column(0), part.column(1))))
 
-def _by_join(docs: DataFrame, its: DataFrame, seed: int, shortest: int) -> DataFrame:
-    """The same rows for item sets beyond the broadcast bound: seeds meet by hash, pairs are tiled where both texts are."""
-    pairs = _seeds(docs, "doc_id", "text", seed).join(_seeds(its, "item_id", "item_text", seed), "seed").select("doc_id", "item_id").distinct()
-    both = pairs.join(docs, "doc_id").join(its, "item_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            _, _, _, d, hd = at.words(b.column(1))
-            _, _, _, i, hi = at.words(b.column(3))
-            cd, ci = at.spans(d, b.num_rows), at.spans(i, b.num_rows)
-            out = []
-            for k in range(b.num_rows):
-                item = hi[ci[k] : ci[k + 1]]
-                t = tiles(hd[cd[k] : cd[k + 1]], item, shortest)
-                out.append((b.column(0)[k].as_py(), b.column(2)[k].as_py(), max((n for _, _, n in t), default=0), sum(n for _, _, n in t), len(item), len(t)))
-            yield _rows(out)
-
-    return both.select("doc_id", "text", "item_id", "item_text").mapInArrow(run, _SCHEMA)
+    return docs.mapInArrow(run, _SCHEMA)

@@ -111,12 +111,13 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).where("longest >= 14").select("doc_id", "item_id")
+    """Tilings with a tile as long as a leaked passage."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).where(F.col("longest") >= leakage.PASSAGE).select("doc_id", "item_id")
 
 
 def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which tiles of eight words or more cover at least half of an item, in whatever order."""
-    t = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), seed=8, shortest=8, coverage=0.5)
+    t = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), coverage=0.5)
     return t.select("doc_id", "item_id", "longest", "tiled_words", "item_words", "n_tiles")
 
 

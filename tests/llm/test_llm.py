@@ -74,9 +74,10 @@ def test_leaks_against_brute_force(spark):
     ddf = spark.createDataFrame([(d, " - ".join(w).upper(), "clash") for d, w in docs.items()] + [(900, None, ""), (901, "", ""), (0, " ".join(docs[0]), "")], "doc_id long, text string, item_id string")
     idf = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(90, None), (91, "too short")], "item_id long, text string")
     want = {(d, i) for d, w in docs.items() for i, x in items.items() if runs_of(w, x, 14)}
-    for limit in (leakage.BROADCAST_CHARS, 0):
-        got = {(r.doc_id, r.item_id) for r in leakage.leaks(ddf, idf, broadcast_chars=limit).where("longest >= 14").collect()}
-        assert got == want and want
+    for limit in (leakage.BLOCK_CHARS, 400):
+        for seed in (leakage.SEED, 14):
+            got = sorted((r.doc_id, r.item_id) for r in leakage.leaks(ddf, idf, seed=seed, shortest=seed, block_chars=limit).where("longest >= 14").collect())
+            assert sorted(set(got)) == sorted(want) and want and len(got) == len(want) + sum(d == 0 for d, _ in want)
     assert leakage.leaks(ddf.where("doc_id > 999"), idf).count() == 0
 
 
@@ -87,6 +88,44 @@ def test_tiles_catch_reordered_parts():
     assert leakage.tiles(item[:3], item, 8) == []
 
 
+def _slow_tiles(doc, item, shortest):
+    free_d, free_i, out = [True] * len(doc), [True] * len(item), []
+    while True:
+        best = (0, 0, 0)
+        for d in range(len(doc)):
+            for i in range(len(item)):
+                n = 0
+                while d + n < len(doc) and i + n < len(item) and doc[d + n] == item[i + n] and free_d[d + n] and free_i[i + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, d, i)
+        n, d, i = best
+        if n < shortest:
+            return out
+        free_d[d : d + n], free_i[i : i + n] = [False] * n, [False] * n
+        out.append((d, i, n))
+
+
+def test_tiles_against_brute_force():
+    rng = random.Random(6)
+    for _ in range(150):
+        item = [rng.randint(0, 4) for _ in range(rng.randint(1, 25))]
+        doc = [rng.randint(0, 4) for _ in range(rng.randint(1, 40))]
+        want = _slow_tiles(doc, item, 3)
+        got = leakage.tiles(np.array(doc, np.uint64), np.array(item, np.uint64), 3)
+        assert got == want, (doc, item)
+
+
+def test_equal_words_cost_no_product():
+    import time
+
+    start = time.time()
+    t = leakage.tiles(np.full(20_000, 7, np.uint64), np.full(4_000, 7, np.uint64), 8)
+    assert t == [(0, 0, 4000)] and time.time() - start < 2
+    held = leakage.Items([(1, "word " * 4000)], 8, 8, 0.0)
+    assert list(held.match(pa.array([5]), pa.array(["word " * 20_000]))) == [(5, 1, 4000, 4000, 4000, 1)] and time.time() - start < 4
+
+
 # -- typed headings ----------------------------------------------------------------------------------------------------
 SECTIONS = [(1, 10, "Boundary Inventory", 2, 1, "boundary-inventory", ["T 1", "Boundary Inventory"]), (1, 11, "Appeals", 3, 2, "boundary-inventory-appeals", ["T 1", "Boundary Inventory", "Appeals"]), (1, 12, "How to Publish Ledgers", 2, 3, "how-to-publish-ledgers", ["T 1", "How to Publish Ledgers"]), (1, 13, "Appeals", 3, 4, "how-to-publish-ledgers-appeals", ["T 1", "How to Publish Ledgers", "Appeals"]), (2, 20, "Loading Contacts", 2, 1, "loading-contacts", ["T 2", "Loading Contacts"])]
 TYPED = [("Boundary Inventory, paragraph 3", 10), ("1st par. under inventory boundary", 10), ("§2", 12), ("section 9", -1), ("Bounadry Inventroy", 10), ("#boundary-inventory", 10), ("Bound. Invent…", 10), ("T 1 > How to Publish Ledgers > Appeals", 13), ("Appeals, line 4 (in boundary inventory)", 11), ("Publish", 12), ("Boundary Contacts", -1), ("whole page", -1), ("", -1), ("the the How to Publish Ledgérs bit heading", 12), ("HOW_TO_PUBLISH_LEDGERS (2nd par.)", 12), ("Loading Contacts", -1)]
