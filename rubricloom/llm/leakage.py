@@ -37,26 +37,46 @@ def tiles(doc: np.ndarray, item: np.ndarray, shortest: int) -> list[tuple[int, i
     length are then marked from the left. Repeated words cost no products: a window counts once on each side.
     """
     found: list[tuple[int, int, int]] = []
-    free_d, free_i = np.ones(len(doc), bool), np.ones(len(item), bool)
-    top = min(len(doc), len(item))
+    first = _common(doc, item, np.ones(len(doc), bool), np.ones(len(item), bool), shortest)
+    if first is None:
+        return found
+    # only the words under shared windows can be in a tile; what lies between is one marked word
+    doc, at_d, free_d, most_d = _covered(doc, first[1], shortest)
+    item, at_i, free_i, most_i = _covered(item, first[3], shortest)
+    top = min(most_d, most_i)
     while top >= shortest:
-        low, high, hit = shortest, top, None
-        size = shortest
+        low, high, size, hit = shortest, top, top, None
         while low <= high:
             pair = _common(doc, item, free_d, free_i, size)
             if pair is None:
                 high = size - 1
             else:
                 hit, low = (size, *pair), size + 1
-            size = min((low + high) // 2, 2 * size) if pair is not None else (low + high) // 2
+            size = (low + high) // 2
         if hit is None:
             break
-        top = hit[0]
-        found += _mark(*hit, free_d, free_i)
-        top -= 1
+        top = hit[0] - 1
+        found += [(int(at_d[d]), int(at_i[i]), n) for d, i, n in _mark(*hit, free_d, free_i)]
     return found
 
 
+def _covered(words: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(words, positions, unmarked) of the stretches under windows of ``size`` words, a marked word after each, and the
+    longest stretch."""
+    step = np.zeros(len(words) + 1, np.int64)
+    np.add.at(step, starts, 1)
+    np.add.at(step, starts + size, -1)
+    under = np.cumsum(step) > 0
+    # the word after a stretch stays, marked; past the end a word of no meaning stands for it
+    keep = under.copy()
+    keep[1:] |= under[:-1]
+    at_ = np.flatnonzero(keep)
+    free = under[at_]
+    out = np.append(words, np.uint64(0))[at_]
+    gaps = np.flatnonzero(~free)
+    return out, at_, free, int(np.diff(np.concatenate([[-1], gaps])).max() - 1)
+
+
 def _windows(words: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, starts) of the windows of ``size`` unmarked words."""
     if len(words) < size:
@@ -103,8 +123,8 @@ def _mark(size: int, hd: np.ndarray, pd: np.ndarray, hi: np.ndarray, pi: np.ndar
 class Items:
     """The evaluation items as word hashes, with a sorted table of their seeds."""
 
-    def __init__(self, rows: list[tuple[int, str]], seed: int, shortest: int, coverage: float) -> None:
-        self.seed, self.shortest, self.coverage = seed, shortest, coverage
+    def __init__(self, rows: list[tuple[int, str]], seed: int, shortest: int, coverage: float, passage: int = 0) -> None:
+        self.seed, self.shortest, self.coverage, self.passage = seed, shortest, coverage, passage
         self.ids = [r[0] for r in rows]
         _, _, _, doc, h = at.words(pa.array([r[1] for r in rows], pa.string()))
         cut = at.spans(doc, len(rows))
@@ -138,7 +158,8 @@ class Items:
             yield self._row(ids[d].as_py(), i, h[cut[d] : cut[d + 1]])
 
     def _enough(self, shared: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Pairs of which shared windows cover the asked part of the item; tiles can cover no more than they do."""
+        """Pairs of which shared windows cover the asked part of the item, some of them in as long a stretch as the asked
+        passage; tiles can cover no more than they do."""
         d, i, p = shared
         if not len(d):
             return
@@ -148,7 +169,13 @@ class Items:
         step[:-1] = np.where(new[1:], self.seed, np.minimum(self.seed, p[1:] - p[:-1]))
         first = np.flatnonzero(new)
         covered = np.add.reduceat(step, first)
-        for k in first[covered >= self.coverage * self.sizes[i[first]]]:
+        # windows at positions in a row are one stretch
+        apart = new.copy()
+        apart[1:] |= p[1:] - p[:-1] > 1
+        start = np.flatnonzero(apart)
+        stretch = np.diff(np.append(start, len(p))) + self.seed - 1
+        longest = np.maximum.reduceat(stretch, np.searchsorted(start, first))
+        for k in first[(covered >= self.coverage * self.sizes[i[first]]) & (longest >= self.passage)]:
             yield int(d[k]), int(i[k])
 
     def _row(self, doc_id: int, i: int, words: np.ndarray) -> tuple:
@@ -162,14 +189,14 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "longest", "tiled_words", "item_words", "n_tiles"])
 
 
-def leaks(corpus: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", seed: int = SEED, shortest: int = SEED, coverage: float = 0.0, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaks(corpus: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", seed: int = SEED, shortest: int = SEED, coverage: float = 0.0, passage: int = 0, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Documents and items that share ``seed`` consecutive words, with the tiling of the item in the document.
 
     Words are the runs of a-z and 0-9 in the lower-cased text. ``longest`` is the longest tile, ``tiled_words`` the
     item's words under tiles of at least ``shortest`` words, ``item_words`` its words in all. Rows with a smaller share
-    of tiled words than ``coverage`` are left out (untiled, where shared seeds show it; needs seed <= shortest). Null
-    and empty texts and texts of fewer words share nothing; copies and repeated rows of a document each give their
-    rows; an item listed twice gives its rows twice. Every whole document is read, once for each block of items of
+    of tiled words than ``coverage`` or a longest tile of fewer words than ``passage`` are left out (untiled, where
+    shared seeds show it; needs seed <= shortest). Null and empty texts and texts of fewer words share nothing; copies
+    and repeated rows of a document each give their rows; an item listed twice gives its rows twice. Every whole document is read, once for each block of items of
     about ``block_chars`` characters (measured); nothing is shuffled.
     """
     docs = corpus.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(doc_text).cast("string").alias("text"))
@@ -179,23 +206,23 @@ def leaks(corpus: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text
     out = None
     for k in range(blocks):
         part = its if blocks == 1 else its.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == k)
-        rows = _by_broadcast(docs, [tuple(r) for r in part.collect()], seed, shortest, coverage)
+        rows = _by_broadcast(docs, [tuple(r) for r in part.collect()], seed, shortest, coverage, passage)
         out = rows if out is None else out.unionByName(rows)
-    return out.where(F.col("tiled_words") >= F.lit(coverage) * F.col("item_words"))
+    return out.where((F.col("tiled_words") >= F.lit(coverage) * F.col("item_words")) & (F.col("longest") >= passage))
 
 
 #: The items of the last broadcast block, kept by a worker for its next task.
 _HELD: dict[str, Items] = {}
 
 
-def _by_broadcast(docs: DataFrame, rows: list[tuple[int, str]], seed: int, shortest: int, coverage: float) -> DataFrame:
+def _by_broadcast(docs: DataFrame, rows: list[tuple[int, str]], seed: int, shortest: int, coverage: float, passage: int) -> DataFrame:
     sent, name = docs.sparkSession.sparkContext.broadcast(rows), uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if name not in _HELD:
                 _HELD.clear()
-                _HELD[name] = Items(sent.value, seed, shortest, coverage)
+                _HELD[name] = Items(sent.value, seed, shortest, coverage, passage)
             for part in at.pieces(b, 1, _CHUNK):
                 yield _rows(list(_HELD[name].match(part.column(0), part.column(1))))
 

@@ -112,7 +112,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tilings with a tile as long as a leaked passage."""
-    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).where(F.col("longest") >= leakage.PASSAGE).select("doc_id", "item_id")
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), passage=leakage.PASSAGE).select("doc_id", "item_id")
 
 
 def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
