@@ -7,9 +7,11 @@ that rare labels borrow from frequent ones; the classifier is a conditional logi
 features of item and candidate.
 
 Confusion counts are sparse, one cell for each annotator, true and given label that occur together, so there are at most
-as many as pairs of a vote and a candidate. They stay a distributed table: a round joins them to the votes, which lie
-by annotator and candidate, brings each item's votes together for the E-step, and sums the partial counts again. Only
-the annotators' reliabilities and the posteriors of the classifier's sample come to the driver.
+as many as pairs of a vote and a candidate. They stay a distributed table: a round joins them to the votes, which lie by
+item, and sums the partial counts of each task again. The cells are counted; where they are few they are told to every
+task and the votes never move, else both are shuffled. Votes and counts are written to the shared checkpoint folder.
+Rounds end when no reliability moves any more. Only the reliabilities and the posteriors of the classifier's sample come
+to the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +28,13 @@ from rubricloom.session import checkpoint
 
 #: Pseudo-counts that pull a confusion row towards the annotator's overall reliability.
 SMOOTH = 30.0
-#: Items on which the classifier is fitted, taken by the hash of their id; everything else covers all items.
+#: Items (about) on which the classifier is fitted, taken by the hash of their id; everything else covers all items.
 SAMPLE_ITEMS = 20_000
 L2 = 1.0
-ROUNDS = 8
+#: The most rounds, and the change of every annotator's reliability below which they end.
+ROUNDS, STILL = 8, 1e-3
+#: Confusion cells that are told to every task instead of being joined by a shuffle.
+BROADCAST_CELLS = 2_000_000
 FEATURES = ["own", "near", "share"]
 _VOTE = ["f", "item_id", "k", "annotator_id", "l", *FEATURES, "cell", "total"]
 
@@ -132,36 +136,41 @@ class Consensus:
         near = F.when(F.col("field") == "severity", -F.abs(F.expr("try_cast(own AS double)") - F.expr("try_cast(c.label AS double)"))).otherwise(F.when(F.contains("own", label), 1.0).otherwise(F.when(F.substring_index("own", "-", 1) == F.substring_index(label, "-", 1), 0.5)))
         zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
         flat = wide.select(F.col("f").cast("int").alias("f"), "item_id", F.col("c.k").cast("int").alias("k"), F.explode("v").alias("x"), zero(F.col("own") == label).alias("own"), zero(near).alias("near"), F.col("c.share").alias("share"))
-        self.votes = flat.select("f", "item_id", "k", F.col("x.annotator_id").alias("annotator_id"), F.col("x.l").cast("int").alias("l"), *FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
         self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.by_cell = self.votes.repartition(self.parts, "f", "annotator_id", "k").persist(StorageLevel.MEMORY_AND_DISK)
-        edge = self.votes.select("item_id").distinct().select(F.xxhash64("item_id").alias("h")).orderBy("h").limit(SAMPLE_ITEMS).agg(F.max("h")).first()[0]
-        sampled = F.xxhash64("item_id") <= edge
+        # written by item: a partition holds all votes of its items, in every round
+        self.votes = checkpoint(flat.select("f", "item_id", "k", F.col("x.annotator_id").alias("annotator_id"), F.col("x.l").cast("int").alias("l"), *FEATURES))
+        n_items = self.votes.agg(F.approx_count_distinct("item_id", 0.01)).first()[0]
+        sampled = F.pmod(F.xxhash64("item_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE_ITEMS / max(n_items, 1)) * (1 << 30)))
         zeros = {"cell": F.lit(0.0), "total": F.lit(0.0)}
         fit_on = Votes(iter(self.votes.where(sampled).withColumns(zeros).toArrow().to_batches()))
         self.counted: DataFrame | None = None
         params: Params | None = None
         for _ in range(rounds):
-            step = self._expect(params, sampled).persist(StorageLevel.MEMORY_AND_DISK)
-            self.counted = checkpoint(self._cells(step))
-            rel = self.counted.groupBy("f", "a").agg(F.sum(F.when(F.col("k") == F.col("l"), F.col("cell")).otherwise(0.0)).alias("right"), F.sum("cell").alias("n")).toPandas()
+            step = checkpoint(self._expect(params, sampled))
+            self.counted = step.where("item_id IS NULL").select("f", F.col("a").alias("annotator_id"), "k", "l", F.col("c").alias("cell"), "total")
+            self.few = self.counted.count() <= BROADCAST_CELLS
+            rel = self.counted.groupBy("f", F.col("annotator_id").alias("a")).agg(F.sum(F.when(F.col("k") == F.col("l"), F.col("cell")).otherwise(0.0)).alias("right"), F.sum("cell").alias("n")).toPandas().sort_values(["f", "a"], ignore_index=True)
             p = step.where("item_id IS NOT NULL").select("f", "item_id", "k", "c").toPandas().sort_values(["f", "item_id", "k"])["c"].to_numpy()
             nxt = Params(self.fields, [max(float(v), 2.0) for v in choices.values()], rel)
             nxt.theta = _fit(fit_on, p, params.theta if params else nxt.theta)
+            still = params is not None and np.abs(nxt.acc - params.acc).max() < STILL
             params = nxt
-            step.unpersist()
+            if still:
+                break
         self.params = params
 
     def _joined(self, params: Params | None) -> DataFrame:
         """The votes with their confusion counts (none without parameters), each item's in one partition."""
         if params is None:
             return self.votes.withColumns({"cell": F.lit(0.0), "total": F.lit(0.0)})
-        v = self.by_cell.join(self.counted.withColumnsRenamed({"a": "annotator_id"}).hint("merge"), ["f", "annotator_id", "k", "l"])
-        return v.select(*_VOTE).repartition(self.parts, "f", "item_id")
+        on = ["f", "annotator_id", "k", "l"]
+        if self.few:
+            return self.votes.join(F.broadcast(self.counted), on).select(*_VOTE)
+        return self.votes.join(self.counted.hint("merge"), on).select(*_VOTE).repartition(self.parts, "f", "item_id")
 
     def _expect(self, params: Params | None, sampled: Column) -> DataFrame:
-        """Partial expected counts of each annotator's labels by true label, under ``params``, and, with an item_id, the
-        posteriors of the sampled items' candidates."""
+        """Expected counts of each annotator's labels by true label, under ``params``, with the total of each true label,
+        and, with an item_id, the posteriors of the sampled items' candidates."""
         sent = self.votes.sparkSession.sparkContext.broadcast(params)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,12 +193,9 @@ class Consensus:
             yield pa.RecordBatch.from_arrays([pa.array(v.cf[at], pa.int32()), none(pa.int64()), pa.array(v.ck[at], pa.int32()), none(pa.int32()), pa.array(p[at]), pa.array(v.ci[at], pa.int64())], names=names)
 
         names = ["f", "a", "k", "l", "c", "item_id"]
-        return self._joined(params).withColumn("sampled", sampled).mapInArrow(run, "f int, a bigint, k int, l int, c double, item_id bigint")
-
-    def _cells(self, step: DataFrame) -> DataFrame:
-        """f, a, k, l with the count of the cell and the total of its row (f, a, k)."""
-        c = step.where("item_id IS NULL").repartition(self.parts, "f", "a", "k").groupBy("f", "a", "k", "l").agg(F.sum("c").alias("cell"))
-        return c.withColumn("total", F.sum("cell").over(Window.partitionBy("f", "a", "k")))
+        out = self._joined(params).withColumn("sampled", sampled).mapInArrow(run, "f int, a bigint, k int, l int, c double, item_id bigint")
+        sums = out.repartition(self.parts, "f", "a", "k").groupBy("f", "a", "k", "l", "item_id").agg(F.sum("c").alias("c"))
+        return sums.withColumn("total", F.sum("c").over(Window.partitionBy("f", "a", "k")))
 
     @property
     def reliability(self) -> DataFrame:

@@ -302,6 +302,13 @@ def test_consensus_follows_reliable_annotators(spark):
     assert ("criterion", 900) not in got and got["criterion", 901].label == "A" and got["criterion", 901].agreement is None
     rel = {r.annotator_id: r.reliability for r in c.reliability.where("field = 'criterion'").collect()}
     assert min(rel[a] for a in good) > 0.8 and max(rel[a] for a in bad) < 0.5
+    many = consensus.BROADCAST_CELLS
+    consensus.BROADCAST_CELLS = 0
+    try:
+        joined = {(r.field, r.item_id): r for r in consensus.Consensus(v, f, {"criterion": 4.0, "severity": 5.0}).labels().collect()}
+    finally:
+        consensus.BROADCAST_CELLS = many
+    assert {k: (r.label, round(r.probability, 6)) for k, r in joined.items()} == {k: (r.label, round(r.probability, 6)) for k, r in got.items()}
     empty = consensus.Consensus(v.where("item_id < 0"), f, {"criterion": 4.0})
     assert empty.labels().count() == 0 and empty.reliability.count() == 0
 
