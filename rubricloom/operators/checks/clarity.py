@@ -90,7 +90,7 @@ def _content(c: Column) -> Column:
 
 def paragraph(p: DataFrame) -> DataFrame:
     first = F.array_distinct(_content(F.col("sentences")[0]))
-    rest = _content(F.array_join(F.slice("sentences", 2, 1_000_000), " "))
+    rest = _content(F.array_join(F.slice("sentences", 2, F.size("sentences")), " "))
     q = p.where(F.size("sentences") > 0).withColumns({"k": T.words(F.col("text")), "first": first, "m": F.size("sentences")})
     q = q.withColumn("share", F.when((F.col("m") >= 3) & (F.size("first") > 0), F.size(F.array_intersect("first", rest)) / F.size("first")).otherwise(1.0))
     alone = (F.col("m") >= 3) & (F.col("share") < 0.15)

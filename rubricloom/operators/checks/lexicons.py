@@ -2,10 +2,11 @@
 
 BE_FORMS = ["is", "are", "was", "were", "am", "be", "been", "being"]
 MODALS = ["has", "have", "had", "will", "would", "shall", "should", "can", "could", "may", "might", "must", "did", "does", "do"]
-PARTICIPLES = (
-    "given taken made done written sent held told shown known seen put set kept left brought thought found said paid built "
-    "spent meant chosen broken spoken driven begun gone grown drawn worn torn sworn frozen stolen sold"
-).split()
+PARTICIPLES = [
+    "given", "taken", "made", "done", "written", "sent", "held", "told", "shown", "known", "seen", "put", "set", "kept", "left",
+    "brought", "thought", "found", "said", "paid", "built", "spent", "meant", "chosen", "broken", "spoken", "driven", "begun",
+    "gone", "grown", "drawn", "worn", "torn", "sworn", "frozen", "stolen", "sold",
+]
 WORDY = ["in order to", "due to the fact that", "at this point in time", "a number of"]
 NEGATIONS = [
     "not", "no", "never", "none", "neither", "nor", "nothing", "nobody", "cannot", "can't", "won't", "isn't", "aren't",
@@ -20,10 +21,10 @@ SUPPORT_VERBS = [
     "make", "makes", "made", "perform", "performs", "performed", "conduct", "conducts", "conducted", "provide", "provides",
     "provided", "give", "gives", "gave", "take", "takes", "took",
 ]
-STOPWORDS = (
-    "the a an and or but of to in on for with is are was were be been being this that these those it as at from will shall "
-    "must should may can could by not"
-).split()
+STOPWORDS = [
+    "the", "a", "an", "and", "or", "but", "of", "to", "in", "on", "for", "with", "is", "are", "was", "were", "be", "been", "being",
+    "this", "that", "these", "those", "it", "as", "at", "from", "will", "shall", "must", "should", "may", "can", "could", "by", "not",
+]
 SUBSTITUTES = ["the applicant", "the undersigned", "this office", "the department"]
 SUBORDINATORS = ["which", "that", "because", "although", "though", "while", "since", "unless", "whereas", "who", "whom", "whose", "if", "when"]
 TRANSITIONS = [

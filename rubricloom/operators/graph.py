@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rubricloom.session import checkpoint
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``component`` (its smallest node) for each node that has a link.
 
     Links have no direction; repeated links, self links and null ends (ignored) are allowed; an empty table gives no
@@ -18,7 +18,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
     ends = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     edges = checkpoint(ends.union(ends.select("y", "x")).distinct())
     labels = checkpoint(edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         near = edges.join(labels, edges["y"] == labels["node"]).groupBy(F.col("x").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("c"))
         up = labels.select(F.col("node").alias("c"), F.col("component").alias("up"))
@@ -26,5 +26,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
         changed = new.where("component <> old").limit(1).count()
         labels = new.drop("old")
         if not changed:
-            break
-    return labels
+            return labels

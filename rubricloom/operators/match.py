@@ -6,17 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def greedy(df: DataFrame, group: list[str], left: str, right: str, order: list[Column]) -> DataFrame:
-    """The pairs taken when a group's candidates are tried in ``order`` and each side may be used once.
+def taken(candidates: Column, pair: str) -> Column:
+    """The (l, r) pairs taken from sorted candidates when each side may be used once; ``pair`` is the type of a pair."""
+    one = lambda x: F.struct(x["l"].alias("l"), x["r"].alias("r"))
+    return F.aggregate(candidates, F.array().cast(f"array<{pair}>"), lambda s, x: F.when(F.exists(s, lambda y: (y["l"] == x["l"]) | (y["r"] == x["r"])), s).otherwise(F.array_append(s, one(x))))
+
+
+def greedy(df: DataFrame, group: list[str], left: Column, right: Column, order: list[Column]) -> DataFrame:
+    """The pairs (l, r) taken when a group's candidates are tried in ``order`` and each side may be used once.
 
     ``order`` is completed by left and right, so equal keys end the same way at every run. A group is one envelope or
-    one pair of runs; its candidates are some tens, so the sorted array stays small.
+    one pair of runs: the fold looks at most at the pairs already taken, fewer than the envelope's claims.
     """
     keys = [o.alias(f"_k{i}") for i, o in enumerate(order)]
-    g = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*keys, F.col(left).cast("long").alias("l"), F.col(right).cast("long").alias("r")))).alias("c"))
-    empty = F.array().cast("array<struct<l:bigint,r:bigint>>")
-    taken = F.aggregate("c", empty, lambda s, x: F.when(F.exists(s, lambda y: (y["l"] == x["l"]) | (y["r"] == x["r"])), s).otherwise(F.array_append(s, F.struct(x["l"].alias("l"), x["r"].alias("r")))))
-    return g.select(*group, F.inline(taken)).withColumnsRenamed({"l": left, "r": right})
+    flat = df.select(*group, F.struct(*keys, left.alias("l"), right.alias("r")).alias("_x"))
+    kinds = {f.name: f.dataType.simpleString() for f in flat.schema["_x"].dataType.fields}
+    g = flat.groupBy(*group).agg(F.array_sort(F.collect_list("_x")).alias("_c"))
+    return g.select(*group, F.inline(taken(F.col("_c"), f"struct<l:{kinds['l']},r:{kinds['r']}>")))
 
 
 def jaccard(matched: Column, a: Column, b: Column) -> Column:

@@ -14,10 +14,10 @@ from rubricloom.functions import text as T
 from rubricloom.session import broadcast_if_small
 
 #: Ordinal words one to twenty.
-ORDINALS = (
-    "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth "
-    "sixteenth seventeenth eighteenth nineteenth twentieth"
-).split()
+ORDINALS = [
+    "first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth", "eleventh", "twelfth",
+    "thirteenth", "fourteenth", "fifteenth", "sixteenth", "seventeenth", "eighteenth", "nineteenth", "twentieth",
+]
 NOTHING = 0
 
 
@@ -48,8 +48,13 @@ def _ordinal(word: Column, total: Column) -> Column:
     return F.when((n >= 1) & (n <= total), n)
 
 
-def resolve(df: DataFrame, sections: DataFrame, max_artifacts: int = 100_000) -> DataFrame:
-    """``df`` (artifact_id, location, ...) with resolvable, exact, lo, hi, title and canonical key of each location.
+def laid_out(sections: DataFrame, max_artifacts: int = 100_000) -> DataFrame:
+    """``layout``, marked for broadcast where it is counted small."""
+    return broadcast_if_small(layout(sections), max_artifacts)
+
+
+def resolve(df: DataFrame, lay: DataFrame) -> DataFrame:
+    """``df`` (artifact_id, location, ...) over ``laid_out`` sections, with resolvable, exact, lo, hi, title and canonical key of each location.
 
     A numbered section is the n-th of level 2 (none out of range); else a quoted exact title that is unique; else the
     longest title of four characters or more that the text holds, if unique. A paragraph number or ordinal is read
@@ -57,7 +62,7 @@ def resolve(df: DataFrame, sections: DataFrame, max_artifacts: int = 100_000) ->
     section. A section alone gives all its paragraphs. Null locations and unknown artifacts resolve to nothing.
     """
     t = F.coalesce("location", F.lit(""))
-    d = df.join(broadcast_if_small(layout(sections), max_artifacts), "artifact_id", "left")
+    d = df.join(lay, "artifact_id", "left")
     secs = F.coalesce("secs", F.array().cast("array<struct<title:string,level:int,lo:int,hi:int>>"))
     d = d.withColumns({"_s": secs, "_t": t, "_n": F.expr(r"try_cast(regexp_extract(coalesce(location, ''), '(?i)\\bsection\\s+(\\d+)\\b', 1) AS int)")})
     second = F.filter("_s", lambda s: s["level"] == 2)
@@ -92,13 +97,13 @@ def resolve(df: DataFrame, sections: DataFrame, max_artifacts: int = 100_000) ->
     return d.drop("_s", "_t", "_n", "_title", "_q", "_nth", "_sec", "_total", "_p", "_w", "secs", "n_paragraphs")
 
 
-def truth(defects: DataFrame, sections: DataFrame) -> DataFrame:
+def truth(defects: DataFrame, lay: DataFrame) -> DataFrame:
     """Planted defects with their paragraph over the document (``at``), last heading (``head``) and sort key (``anchor``).
 
     ``paragraph`` counts within the section that the last element of the heading path names, if unique, else over the
     document.
     """
-    d = defects.join(broadcast_if_small(layout(sections), 100_000), "artifact_id", "left")
+    d = defects.join(lay, "artifact_id", "left")
     last = T.normal_heading(F.try_element_at("heading_path", F.lit(-1)))
     mine = F.filter("secs", lambda s: s["title"] == last)
     start = F.when(F.size(mine) == 1, mine[0]["lo"]).otherwise(1)
@@ -108,12 +113,25 @@ def truth(defects: DataFrame, sections: DataFrame) -> DataFrame:
     return d.select("defect_id", "artifact_id", "criterion", "kind", at.alias("at"), last.alias("head"), near.alias("near"), anchor.alias("anchor"))
 
 
-def hit(kind: str = "kind", at: str = "at", head: str = "head", near: str = "near") -> Column:
-    """Whether a resolved claim meets a planted defect: its paragraph lies in the window; for a heading, the same title
-    or a paragraph beside the heading in the window."""
-    inside = lambda n: (n >= F.col("lo")) & (n <= F.col("hi"))
-    heading = (F.col("title") == F.col(head)) | F.exists(near, lambda n: F.coalesce(inside(n), F.lit(False)))
-    return F.coalesce(F.when(F.col(kind) == "paragraph", inside(F.col(at))).when(F.col(kind) == "heading-path", F.coalesce(F.col("title") == F.col(head), F.lit(False)) | heading), F.lit(False))
+_PLACE = "array<struct<n:bigint,title:string>>"
+
+
+def claim_places() -> Column:
+    """The places a resolved claim stands for: each paragraph of its window, and its title."""
+    window = F.when(F.col("lo") <= F.col("hi"), F.sequence(F.col("lo").cast("long"), F.col("hi").cast("long")))
+    ps = F.transform(window, lambda n: F.struct(n.alias("n"), F.lit(None).cast("string").alias("title")))
+    t = F.when(F.col("title").isNotNull(), F.array(F.struct(F.lit(None).cast("long").alias("n"), F.col("title").alias("title"))))
+    none = F.array().cast(_PLACE)
+    return F.concat(F.coalesce(ps, none), F.coalesce(t, none))
+
+
+def truth_places() -> Column:
+    """The places where a planted defect is met: its paragraph; for a heading, its title and the paragraphs beside it."""
+    one = lambda n, t: F.struct(n.cast("long").alias("n"), t.cast("string").alias("title"))
+    para = F.array(one(F.col("at"), F.lit(None)))
+    head = F.concat(F.array(one(F.lit(None), F.col("head"))), F.transform(F.coalesce("near", F.array().cast("array<bigint>")), lambda n: one(n, F.lit(None))))
+    every = F.when(F.col("kind") == "paragraph", para).when(F.col("kind") == "heading-path", head).otherwise(F.array().cast(_PLACE))
+    return F.array_distinct(F.filter(every, lambda x: x["n"].isNotNull() | x["title"].isNotNull()))
 
 
 def self_match(a: str = "a", b: str = "b") -> Column:

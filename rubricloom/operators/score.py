@@ -25,32 +25,53 @@ def ratio(n: Column, d: Column) -> Column:
     return F.try_divide(n.cast("double"), d)
 
 
-def resolved_claims(findings: DataFrame, sections: DataFrame) -> DataFrame:
-    """Claims of all findings with their resolved places; ``cid`` numbers a run's claims by finding and instance."""
+def resolved_claims(findings: DataFrame, lay: DataFrame) -> DataFrame:
+    """Claims of all findings with their resolved places; ``cid`` is a claim's finding row and its number in it."""
     c = resolve.claims(findings, "run_id", "artifact_id", "row_id", "finding_id", "criterion", "severity", "lane")
-    c = resolve.resolve(c, sections)
-    return c.withColumn("cid", F.col("row_id") * 1000 + F.col("claim"))
+    return resolve.resolve(c, lay).withColumn("cid", F.struct("row_id", "claim"))
 
 
-def matches(claims: DataFrame, truths: DataFrame, by_criterion: bool = True) -> DataFrame:
-    """(run_id, defect_id, cid) of the greedy matching of claims with defects; by place alone if ``by_criterion`` is off.
+def candidates(claims: DataFrame, truths: DataFrame) -> DataFrame:
+    """(run_id, lane, cid, defect_id) of each claim and defect that meet at a place, whether they name one criterion
+    (``same``), and the keys of the matching order.
 
-    The criterion is part of the join key, the place is the residual condition.
+    Both sides are exploded to their places, so they meet by equality of artifact and place.
     """
-    t = truths.withColumnsRenamed({"criterion": "t_criterion", "artifact_id": "t_artifact"})
-    on = (claims["artifact_id"] == t["t_artifact"]) & ((claims["criterion"] == t["t_criterion"]) if by_criterion else F.lit(True))
-    pairs = claims.join(t, on).where(resolve.hit())
-    order = [F.col("criterion") if by_criterion else F.lit(""), F.col("anchor"), F.col("canonical"), F.coalesce("finding_id", F.lit(""))]
-    return match.greedy(pairs, ["run_id"], "cid", "defect_id", order)
+    a = claims.select("run_id", "lane", "cid", "artifact_id", "criterion", "canonical", F.coalesce("finding_id", F.lit("")).alias("fid"), F.explode(resolve.claim_places()).alias("p"))
+    b = truths.select("artifact_id", "defect_id", F.col("criterion").alias("t"), "anchor", F.explode(resolve.truth_places()).alias("p"))
+    part = lambda d: d.withColumns({"pn": F.coalesce("p.n", F.lit(-1)), "pt": F.coalesce("p.title", F.lit(""))}).drop("p")
+    met = part(a).join(part(b), ["artifact_id", "pn", "pt"])
+    return met.select("run_id", "lane", "cid", "defect_id", F.coalesce(F.col("criterion") == F.col("t"), F.lit(False)).alias("same"), "criterion", "anchor", "canonical", "fid").distinct()
+
 
+_ORDER = ["anchor", "canonical", "fid"]
 
-def scores(runs: DataFrame, claims: DataFrame, truths: DataFrame) -> DataFrame:
-    """One row for each run: claims, defects, matches by criterion and by place, unresolvable claims, whether it is clean."""
-    n = claims.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_claims"), F.count_if(~F.col("resolvable")).alias("n_unresolvable"))
+
+def matches(claims: DataFrame, truths: DataFrame, by_criterion: bool = True) -> DataFrame:
+    """(run_id, row_id, claim, defect_id) of the greedy matching of claims with defects; by place alone if
+    ``by_criterion`` is off."""
+    c = candidates(claims, truths)
+    c = c.where("same") if by_criterion else c
+    order = [F.col("criterion") if by_criterion else F.lit(""), *map(F.col, _ORDER)]
+    m = match.greedy(c, ["run_id"], F.col("cid"), F.col("defect_id"), order)
+    return m.select("run_id", "l.row_id", "l.claim", F.col("r").alias("defect_id"))
+
+
+def scores(runs: DataFrame, claims: DataFrame, truths: DataFrame, lane: bool = False) -> DataFrame:
+    """One row for each run (and lane of its claims): claims, defects, matches by criterion and by place, unresolvable
+    claims, whether it is clean. Both matchings fold one list of candidates."""
+    group = ["run_id", "lane"] if lane else ["run_id"]
+    n = claims.groupBy(*group).agg(F.count(F.lit(1)).alias("n_claims"), F.count_if(~F.col("resolvable")).alias("n_unresolvable"))
     d = truths.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n_defects"))
-    m = matches(claims, truths).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_matched"))
-    l = matches(claims, truths, False).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_matched_location"))
-    out = runs.join(n, "run_id", "left").join(d, "artifact_id", "left").join(m, "run_id", "left").join(l, "run_id", "left")
+    c = candidates(claims, truths).select(*group, "same", F.struct("criterion", *_ORDER, F.col("cid").alias("l"), F.col("defect_id").alias("r")).alias("x"))
+    kinds = {f.name: f.dataType.simpleString() for f in c.schema["x"].dataType.fields}
+    pair = f"struct<l:{kinds['l']},r:{kinds['r']}>"
+    by = F.array_sort(F.collect_list(F.when(F.col("same"), F.col("x"))))
+    place = F.array_sort(F.collect_list(F.col("x").dropFields("criterion")))
+    m = c.groupBy(*group).agg(by.alias("by"), place.alias("place")).select(*group, F.size(match.taken(F.col("by"), pair)).alias("n_matched"), F.size(match.taken(F.col("place"), pair)).alias("n_matched_location"))
+    if lane:
+        runs = runs.withColumn("lane", F.explode(F.array(F.lit("scripted"), F.lit("judged"))))
+    out = runs.join(n, group, "left").join(m, group, "left").join(d, "artifact_id", "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_claims", "n_unresolvable", "n_defects", "n_matched", "n_matched_location")})
     return out.withColumn("clean", F.col("n_defects") == 0)
 
@@ -80,7 +101,7 @@ def run_pairs(claims: DataFrame, runs: DataFrame, cell: list[str]) -> DataFrame:
     cb = claims.select(F.col("run_id").alias("run_id_b"), part.alias("b"), F.col("criterion").alias("_d"))
     cand = pairs.join(ca, "run_id_a").join(cb, (pairs["run_id_b"] == cb["run_id_b"]) & (ca["_c"] == cb["_d"])).drop(cb["run_id_b"]).where(resolve.self_match())
     cand = cand.select("run_id_a", "run_id_b", F.col("a.criterion").alias("criterion"), F.least("a.canonical", "b.canonical").alias("k1"), F.greatest("a.canonical", "b.canonical").alias("k2"), F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b"))
-    m = match.greedy(cand, ["run_id_a", "run_id_b"], "cid_a", "cid_b", [F.col("criterion"), F.col("k1"), F.col("k2")]).groupBy("run_id_a", "run_id_b").agg(F.count(F.lit(1)).alias("m"))
+    m = match.greedy(cand, ["run_id_a", "run_id_b"], F.col("cid_a"), F.col("cid_b"), [F.col("criterion"), F.col("k1"), F.col("k2")]).groupBy("run_id_a", "run_id_b").agg(F.count(F.lit(1)).alias("m"))
     own = claims.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.concat_ws("\x01", "criterion", "canonical")).alias("s"))
     j = pairs.join(m, ["run_id_a", "run_id_b"], "left").join(own.withColumnsRenamed({"run_id": "run_id_a", "n": "n_a", "s": "s_a"}), "run_id_a", "left").join(own.withColumnsRenamed({"run_id": "run_id_b", "n": "n_b", "s": "s_b"}), "run_id_b", "left")
     zero, none = lambda c: F.coalesce(c, F.lit(0)), lambda c: F.coalesce(c, F.array().cast("array<string>"))
@@ -170,7 +191,7 @@ def against_baseline(entries: DataFrame, tier: str, group: list[str], baseline:
     """Entries beside the baseline entry of their tier and group, with the verdict and, for a failed one, the first other
     tier that qualifies. The baseline of lowest version counts where there are several."""
     e = entries.withColumn("_b", baseline)
-    b = e.where("_b").groupBy(tier, *group).agg(F.min_by(F.struct("recall_location", "precision_location"), "skill_version").alias("b"))
+    b = e.where("_b").groupBy(tier, *group).agg(F.min_by(F.struct("recall_location", "precision_location"), F.transform(F.split("skill_version", r"\."), lambda x: x.try_cast("int"))).alias("b"))
     j = e.where("NOT _b").join(b, [tier, *group]).withColumns({"baseline_recall": F.col("b.recall_location"), "baseline_precision": F.col("b.precision_location")})
     j = j.withColumn("verdict", verdict("recall_location", "baseline_recall", "precision_location", "baseline_precision"))
     ok = F.col("verdict").isin("beats baseline", "ties baseline")

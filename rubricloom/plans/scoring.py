@@ -6,22 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rubricloom.operators import resolve, score
-from rubricloom.session import table
+from rubricloom.session import broadcast_if_small, checkpoint, table
 
 CELL = ["skill", "skill_version", "model", "domain"]
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "artifacts").select("artifact_id", "domain")
-    return table(spark, sf_dir, "runs").select("run_id", "artifact_id", "skill", "skill_version", "model", "rep").join(F.broadcast(a), "artifact_id")
+    return table(spark, sf_dir, "runs").select("run_id", "artifact_id", "skill", "skill_version", "model", "rep").join(broadcast_if_small(a, 1_000_000), "artifact_id")
 
 
-def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.resolved_claims(table(spark, sf_dir, "findings"), table(spark, sf_dir, "sections"))
+def _claims(spark: SparkSession, sf_dir: str, lay: DataFrame | None = None) -> DataFrame:
+    return score.resolved_claims(table(spark, sf_dir, "findings"), resolve.laid_out(table(spark, sf_dir, "sections")) if lay is None else lay)
 
 
-def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.truth(table(spark, sf_dir, "defects"), table(spark, sf_dir, "sections"))
+def _truth(spark: SparkSession, sf_dir: str, lay: DataFrame | None = None) -> DataFrame:
+    return resolve.truth(table(spark, sf_dir, "defects"), resolve.laid_out(table(spark, sf_dir, "sections")) if lay is None else lay)
+
+
+def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Claims, resolved once and written to the shared checkpoint folder, and planted truth."""
+    lay = resolve.laid_out(table(spark, sf_dir, "sections"))
+    return checkpoint(_claims(spark, sf_dir, lay)), _truth(spark, sf_dir, lay)
 
 
 def claims_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,20 +47,21 @@ def claims_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_criterion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.matches(_claims(spark, sf_dir), _truth(spark, sf_dir))
+    lay = resolve.laid_out(table(spark, sf_dir, "sections"))
+    return score.matches(_claims(spark, sf_dir, lay), _truth(spark, sf_dir, lay))
 
 
 def match_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.matches(_claims(spark, sf_dir), _truth(spark, sf_dir), by_criterion=False)
+    lay = resolve.laid_out(table(spark, sf_dir, "sections"))
+    return score.matches(_claims(spark, sf_dir, lay), _truth(spark, sf_dir, lay), by_criterion=False)
 
 
 def score_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = score.scores(_runs(spark, sf_dir), _claims(spark, sf_dir), _truth(spark, sf_dir))
-    return s.select("run_id", "n_claims", "n_unresolvable", "n_defects", "n_matched", "n_matched_location", "clean")
+    return _scores(spark, sf_dir).select("run_id", "n_claims", "n_unresolvable", "n_defects", "n_matched", "n_matched_location", "clean")
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.scores(_runs(spark, sf_dir), _claims(spark, sf_dir), _truth(spark, sf_dir))
+    return score.scores(_runs(spark, sf_dir), *_both(spark, sf_dir))
 
 
 def score_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,20 +70,16 @@ def score_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall and precision of the scripted and of the judged lane."""
-    out = None
-    for lane in ("scripted", "judged"):
-        c = _claims(spark, sf_dir).where(F.col("lane") == lane)
-        p = score.pooled(score.scores(_runs(spark, sf_dir), c, _truth(spark, sf_dir)), ["skill"]).select(F.lit(lane).alias("lane"), "skill", "claims", "claims_matched", "defects", "matched")
-        out = p if out is None else out.unionByName(p)
-    return out
+    p = score.pooled(score.scores(_runs(spark, sf_dir), *_both(spark, sf_dir), lane=True), ["lane", "skill"])
+    return p.select("lane", "skill", "claims", "claims_matched", "defects", "matched")
 
 
 def consistency_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.run_pairs(_claims(spark, sf_dir), _runs(spark, sf_dir), CELL).select("run_id_a", "run_id_b", F.round("tolerant", 6).alias("tolerant"), F.round("exact", 6).alias("exact"))
+    return score.run_pairs(_both(spark, sf_dir)[0], _runs(spark, sf_dir), CELL).select("run_id_a", "run_id_b", F.round("tolerant", 6).alias("tolerant"), F.round("exact", 6).alias("exact"))
 
 
 def consistency_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = score.consistency(score.run_pairs(_claims(spark, sf_dir), _runs(spark, sf_dir), CELL), CELL)
+    c = score.consistency(score.run_pairs(_both(spark, sf_dir)[0], _runs(spark, sf_dir), CELL), CELL)
     return c.select(*CELL, F.round("consistency", 6).alias("consistency"), F.round("consistency_exact", 6).alias("consistency_exact"), "artifacts_with_pairs", "total_pairs")
 
 
@@ -134,7 +137,7 @@ r4 AS (SELECT *, CASE WHEN n IS NOT NULL THEN CASE WHEN n >= 1 THEN s2[n] END WH
 r5 AS (SELECT *, CASE WHEN sec IS NOT NULL THEN sec.hi - sec.lo + 1 ELSE np END AS total, CASE WHEN wa = 'last' OR list_contains({_ORD}, wa) THEN wa WHEN wb = 'last' OR list_contains({_ORD}, wb) THEN wb END AS w FROM r4),
 r6 AS (SELECT *, CASE WHEN p IS NOT NULL THEN p WHEN w = 'last' THEN total ELSE list_position({_ORD}, w) END AS rel0, p IS NOT NULL OR w IS NOT NULL AS asked FROM r5),
 r7 AS (SELECT *, CASE WHEN asked AND rel0 BETWEEN 1 AND total THEN rel0 + coalesce(sec.lo, 1) - 1 END AS exact FROM r6),
-res AS (SELECT *, row_id * 1000 + claim AS cid, CASE WHEN asked THEN CASE WHEN exact IS NOT NULL THEN greatest(exact - 1, coalesce(sec.lo, 1)) END WHEN sec IS NOT NULL THEN sec.lo END AS lo,
+res AS (SELECT *, {{'row_id': row_id, 'claim': claim}} AS cid, CASE WHEN asked THEN CASE WHEN exact IS NOT NULL THEN greatest(exact - 1, coalesce(sec.lo, 1)) END WHEN sec IS NOT NULL THEN sec.lo END AS lo,
   CASE WHEN asked THEN CASE WHEN exact IS NOT NULL THEN CASE WHEN sec IS NOT NULL THEN least(exact + 1, sec.hi) ELSE exact + 1 END END WHEN sec IS NOT NULL THEN sec.hi END AS hi, sec.title AS title,
   CASE WHEN exact IS NOT NULL THEN exact::BIGINT::VARCHAR WHEN sec IS NOT NULL THEN 'H:' || sec.title ELSE '?:' || norm END AS canonical FROM r7),
 cx AS (SELECT *, (lo IS NOT NULL AND lo <= hi) OR title IS NOT NULL AS resolvable FROM res)"""
@@ -143,20 +146,30 @@ tr AS (SELECT defect_id, artifact_id, criterion, kind, head, heading_path, parag
 tt AS (SELECT *, CASE WHEN kind = 'paragraph' THEN 'p:' || lpad(coalesce("at", 0)::BIGINT::VARCHAR, 12, '0') ELSE 'h:' || array_to_string(coalesce(heading_path, []), '/') END AS anchor FROM tr)"""
 
 
-def _greedy(by_criterion: bool, x: str = "") -> str:
-    """CTEs that take a run's candidates in order; fin{x} has each run's pairs as two lists."""
+def _fold(x: str, group: str, left: str, right: str) -> str:
+    """CTEs that take a group's ordered candidates cand{x} (l, r, i) one by one; fin{x} has each group's pairs as two lists."""
+    g = group.split(", ")
+    on = " AND ".join(f"c.{k} = s.{k}" for k in g)
+    keep = lambda v, w: f"CASE WHEN list_contains(ls, l) OR list_contains(rs, r) THEN {v} ELSE list_append({v}, {w}) END"
+    return f""",
+step{x} AS (SELECT {group}, 0::BIGINT AS i, []::{left}[] AS ls, []::{right}[] AS rs FROM (SELECT DISTINCT {group} FROM cand{x})
+  UNION ALL SELECT {', '.join('s.' + k for k in g)}, c.i, {keep('ls', 'l')}, {keep('rs', 'r')} FROM step{x} s JOIN cand{x} c ON {on} AND c.i = s.i + 1),
+fin{x} AS (SELECT {group}, arg_max(ls, i) AS ls, arg_max(rs, i) AS rs FROM step{x} GROUP BY {group})"""
+
+
+_CID = "STRUCT(row_id BIGINT, claim BIGINT)"
+
+
+def _greedy(by_criterion: bool, x: str = "", group: str = "run_id") -> str:
     crit = "AND c.criterion = t.criterion" if by_criterion else ""
     key = "c.criterion" if by_criterion else "''"
     return f"""
-cand{x} AS (SELECT run_id, cid, defect_id, row_number() OVER (PARTITION BY run_id ORDER BY {key}, anchor, canonical, coalesce(finding_id, ''), cid, defect_id) AS i FROM cx c JOIN tt t ON c.artifact_id = t.artifact_id {crit}
-  WHERE CASE WHEN kind = 'paragraph' THEN coalesce("at" BETWEEN lo AND hi, false) WHEN kind = 'heading-path' THEN coalesce(title = head, false) OR len(list_filter(near, lambda n: coalesce(n BETWEEN lo AND hi, false))) > 0 ELSE false END),
-step{x} AS (SELECT run_id, 0::BIGINT AS i, []::BIGINT[] AS ls, []::BIGINT[] AS rs FROM (SELECT DISTINCT run_id FROM cand{x})
-  UNION ALL SELECT s.run_id, c.i, CASE WHEN list_contains(ls, cid) OR list_contains(rs, defect_id) THEN ls ELSE list_append(ls, cid) END, CASE WHEN list_contains(ls, cid) OR list_contains(rs, defect_id) THEN rs ELSE list_append(rs, defect_id) END FROM step{x} s JOIN cand{x} c ON c.run_id = s.run_id AND c.i = s.i + 1),
-fin{x} AS (SELECT run_id, arg_max(ls, i) AS ls, arg_max(rs, i) AS rs FROM step{x} GROUP BY run_id)"""
+cand{x} AS (SELECT {group}, cid AS l, defect_id AS r, row_number() OVER (PARTITION BY {group} ORDER BY {key}, anchor, canonical, coalesce(finding_id, ''), cid.row_id, cid.claim, defect_id) AS i FROM cx c JOIN tt t ON c.artifact_id = t.artifact_id {crit}
+  WHERE CASE WHEN kind = 'paragraph' THEN coalesce("at" BETWEEN lo AND hi, false) WHEN kind = 'heading-path' THEN coalesce(title = head, false) OR len(list_filter(near, lambda n: coalesce(n BETWEEN lo AND hi, false))) > 0 ELSE false END)""" + _fold(x, group, _CID, "BIGINT")
 
 
 _HEAD = f"WITH RECURSIVE {_RES}{_TR},"
-_PAIR = " SELECT run_id, unnest(ls) AS cid, unnest(rs) AS defect_id FROM fin"
+_PAIR = " SELECT run_id, c.row_id, c.claim, defect_id FROM (SELECT run_id, unnest(ls) AS c, unnest(rs) AS defect_id FROM fin)"
 SQL = {
     "claims_explode": f"WITH {_CL} SELECT row_id, criterion, severity, claim, location FROM cl",
     "claims_layout": f"WITH {_LAY} SELECT artifact_id, row_number() OVER (PARTITION BY artifact_id ORDER BY position) - 1 AS i, title, level, lo, hi FROM lay",
@@ -185,3 +198,29 @@ SQL["report_verdicts"] = _SCORES + f""", g AS ({_pool('skill, skill_version, mod
 j AS (SELECT e.*, b.r AS br, b.p AS bp FROM e JOIN e b ON e.skill = b.skill AND e.model = b.model AND b.skill_version = '0.1.0' WHERE e.skill_version <> '0.1.0'),
 v AS (SELECT *, CASE WHEN r IS NULL OR br IS NULL OR p IS NULL OR bp IS NULL THEN 'n/a' WHEN r > br AND p >= bp THEN 'beats baseline' WHEN r = br AND p >= bp THEN 'ties baseline' WHEN r <= br AND p <= bp THEN 'below baseline' ELSE 'no pass on this tier' END AS verdict FROM j)
 SELECT skill, skill_version, model, verdict, CASE WHEN verdict = 'no pass on this tier' THEN min(CASE WHEN verdict IN ('beats baseline', 'ties baseline') THEN model END) OVER (PARTITION BY skill, skill_version) END AS qualifies_via, round(r, 6) AS recall_location, round(br, 6) AS baseline_recall FROM v"""
+
+_LANES = _HEAD + _greedy(True, "", "run_id, lane") + "," + _greedy(False, "2", "run_id, lane") + """, l(lane) AS (VALUES ('scripted'), ('judged')), a AS (SELECT run_id, lane, len(ls) AS m FROM fin),
+n AS (SELECT run_id, lane, count(*) AS k FROM cx GROUP BY ALL), d AS (SELECT artifact_id, count(*) AS k FROM defects GROUP BY artifact_id),
+sc AS (SELECT l.lane, skill, coalesce(n.k, 0) AS n_claims, coalesce(d.k, 0) AS n_defects, coalesce(a.m, 0) AS n_matched FROM runs r JOIN artifacts USING (artifact_id) CROSS JOIN l LEFT JOIN n ON n.run_id = r.run_id AND n.lane = l.lane LEFT JOIN a ON a.run_id = r.run_id AND a.lane = l.lane LEFT JOIN d ON d.artifact_id = r.artifact_id)"""
+SQL["score_lanes"] = _LANES + " SELECT lane, skill, sum(n_claims) AS claims, sum(n_matched) AS claims_matched, sum(n_defects) AS defects, sum(CASE WHEN n_defects > 0 THEN n_matched ELSE 0 END) AS matched FROM sc GROUP BY lane, skill"
+_CONS = f"WITH RECURSIVE {_RES}" + """,
+rr AS (SELECT run_id, artifact_id, skill, skill_version, model, domain FROM runs JOIN artifacts USING (artifact_id)),
+pr AS (SELECT a.run_id AS run_id_a, b.run_id AS run_id_b, a.artifact_id, a.skill, a.skill_version, a.model, a.domain FROM rr a JOIN rr b ON a.artifact_id = b.artifact_id AND a.run_id < b.run_id AND a.skill IS NOT DISTINCT FROM b.skill AND a.skill_version IS NOT DISTINCT FROM b.skill_version AND a.model IS NOT DISTINCT FROM b.model),
+cand AS (SELECT run_id_a, run_id_b, a.cid AS l, b.cid AS r, row_number() OVER (PARTITION BY run_id_a, run_id_b ORDER BY a.criterion, least(a.canonical, b.canonical), greatest(a.canonical, b.canonical), a.cid.row_id, a.cid.claim, b.cid.row_id, b.cid.claim) AS i
+ FROM pr JOIN cx a ON a.run_id = run_id_a JOIN cx b ON b.run_id = run_id_b AND a.criterion = b.criterion
+ WHERE coalesce(a.exact BETWEEN b.lo AND b.hi, false) OR coalesce(b.exact BETWEEN a.lo AND a.hi, false) OR coalesce(a.title = b.title, false) OR (NOT a.resolvable AND NOT b.resolvable AND a.canonical = b.canonical))""" + _fold("", "run_id_a, run_id_b", _CID, _CID) + """,
+own AS (SELECT run_id, count(*) AS n, list_distinct(list(concat_ws(chr(1), criterion, canonical))) AS s FROM cx GROUP BY run_id),
+jj AS (SELECT pr.*, coalesce(len(ls), 0) AS m, coalesce(a.n, 0) AS na, coalesce(b.n, 0) AS nb, coalesce(a.s, []) AS sa, coalesce(b.s, []) AS sb FROM pr LEFT JOIN fin USING (run_id_a, run_id_b) LEFT JOIN own a ON a.run_id = run_id_a LEFT JOIN own b ON b.run_id = run_id_b),
+js AS (SELECT *, CASE WHEN na = 0 AND nb = 0 THEN 1.0 ELSE m / (na + nb - m) END AS tolerant, CASE WHEN len(sa) + len(sb) = 0 THEN 1.0 ELSE len(list_intersect(sa, sb)) / len(list_distinct(list_concat(sa, sb))) END AS exact FROM jj)"""
+SQL["consistency_pairs"] = _CONS + " SELECT run_id_a, run_id_b, round(tolerant, 6) AS tolerant, round(exact, 6) AS exact FROM js"
+SQL["consistency_results"] = _CONS + ", ag AS (SELECT skill, skill_version, model, domain, artifact_id, avg(tolerant) AS t, avg(exact) AS e, count(*) AS k FROM js GROUP BY ALL) SELECT skill, skill_version, model, domain, round(avg(t), 6) AS consistency, round(avg(e), 6) AS consistency_exact, count(*) AS artifacts_with_pairs, sum(k) AS total_pairs FROM ag GROUP BY skill, skill_version, model, domain"
+SQL["variance_bands"] = SQL["variance_repetitions"].replace(" SELECT skill, model, rep, 'recall' AS metric", ", rp AS (SELECT skill, model, rep, 'recall' AS metric", 1) + """), gg AS (SELECT skill, model, metric, count(*) AS k, list({'num': num, 'den': den} ORDER BY rep) AS r, sum(num) AS num, sum(den) AS den, min(num / nullif(den, 0)) AS rep_min, max(num / nullif(den, 0)) AS rep_max FROM rp GROUP BY skill, model, metric),
+dr AS (SELECT *, unnest(range(0, pow(k, k)::BIGINT)) AS d FROM gg), pk AS (SELECT skill, model, metric, [r[(d // pow(k, i)::BIGINT) % k + 1] FOR i IN range(0, k)] AS p FROM dr),
+vv AS (SELECT skill, model, metric, coalesce(list_sum([x.num FOR x IN p]) / nullif(list_sum([x.den FOR x IN p]), 0), 0.0) AS v FROM pk),
+bb AS (SELECT skill, model, metric, list(v ORDER BY v) AS vs, stddev_pop(v) AS sd, count(*) AS n FROM vv GROUP BY skill, model, metric),
+cc AS (SELECT *, vs[round_even(0.025 * (n - 1), 0)::BIGINT + 1] AS lo, vs[round_even(0.975 * (n - 1), 0)::BIGINT + 1] AS hi FROM bb)
+SELECT skill, model, metric, k, round(num / nullif(den, 0), 6) AS pooled, round(rep_min, 6) AS rep_min, round(rep_max, 6) AS rep_max, round(rep_max - rep_min, 6) AS spread, round(lo, 6) AS band_low, round(hi, 6) AS band_high, round(hi - lo, 6) AS band_width, round(sd, 5) AS bootstrap_sd FROM gg JOIN cc USING (skill, model, metric)"""
+SQL["items_stringlist"] = r"""WITH t AS (SELECT doc_id, ltrim(text) AS t FROM documents WHERE artifact_type = 'string-list'), a AS (SELECT doc_id, try_cast(t AS JSON) AS j FROM t WHERE t LIKE '[%' OR t LIKE '{%'),
+e AS (SELECT doc_id, i - 1 AS index, l[i] AS x FROM (SELECT doc_id, CAST(j AS JSON[]) AS l, unnest(range(1, json_array_length(j)::BIGINT + 1)) AS i FROM a WHERE json_type(j) = 'ARRAY')),
+o AS (SELECT doc_id, i - 1 AS index, ks[i] AS key, json_extract_string(j, '$."' || ks[i] || '"') AS value FROM (SELECT doc_id, j, json_keys(j) AS ks, unnest(range(1, len(json_keys(j)) + 1)) AS i FROM a WHERE json_type(j) = 'OBJECT'))
+SELECT doc_id, index, CASE json_type(x) WHEN 'OBJECT' THEN x->>'$.key' WHEN 'ARRAY' THEN x->>'$[0]' END AS key, CASE json_type(x) WHEN 'OBJECT' THEN x->>'$.value' WHEN 'ARRAY' THEN x->>'$[1]' ELSE x->>'$' END AS value FROM e UNION ALL SELECT doc_id, index, key, value FROM o"""

@@ -17,7 +17,7 @@ def test_greedy_against_brute_force(spark):
     rng = random.Random(5)
     rows = sorted({(g, rng.randint(0, 6), rng.randint(0, 6), rng.choice("abc")) for g in range(30) for _ in range(15)})
     df = spark.createDataFrame(rows, "g int, l int, r int, k string")
-    got = {tuple(x) for x in match.greedy(df, ["g"], "l", "r", [F.col("k")]).select("g", "l", "r").collect()}
+    got = {tuple(x) for x in match.greedy(df, ["g"], F.col("l"), F.col("r"), [F.col("k")]).select("g", "l", "r").collect()}
     want = set()
     for g in range(30):
         used_l, used_r = set(), set()
@@ -40,6 +40,28 @@ def test_json_counts(spark):
     assert got == {(2, "integer-literals"), (3, "histogram-sum"), (3, "histogram-counts"), (4, "histogram-sum")}
 
 
+def test_json_texts_at_any_depth(spark):
+    doc = '{"run": {"timestamp": "2030-02-30T00:00:00Z", "a\u2013b": 1}, "findings": [{"x": [{"y": "p \u2014 q \u2013"}]}], "dispositions": [{"decided_at": "2030-01-01T00:00:60Z"}, {"decided_at": "2030-01-01T24:00:00Z"}]}'
+    df = spark.createDataFrame([("1", doc), ("2", "no json"), ("3", None), ("4", "[1, 2]")], "run_id string, doc string")
+    got = sorted((r.path, r.rule, r.message) for r in contract.json_texts(df).collect())
+    assert got == [("dispositions.1.decided_at", "real-instants", "names no real instant"), ("findings.0.x.0.y", "no-dashes", "em dash"), ("run.a\u2013b", "no-dashes", "en dash"), ("run.timestamp", "real-instants", "names no real instant")]
+
+
+def test_structure_rules(spark):
+    rows = [("F-001", "BYOR-A", "l", "e", "v", "f", "judged", "low", 2, [("a", "b"), ("a", "b")], None), ("F-1234567", "lower", "l", "e" * 2001, "", None, "other", "sure", 5, [("a", "b \u2013")], None)]
+    f = spark.createDataFrame([(1, *r) for r in rows], "run_id long, finding_id string, criterion string, location string, evidence string, violation string, fix string, lane string, confidence string, severity int, instances array<struct<location:string,evidence:string>>, rubric_source string")
+    got = sorted((r.path.split(".", 1)[1].split(".", 1)[1], r.message) for r in f.select(F.inline(contract.finding_rules())).collect())
+    assert got == sorted([("instances", "holds one twice"), ("rubric_source", "is not byor"), ("criterion", "is no criterion id"), ("id", "is no finding id"), ("evidence", "is longer than 2000"), ("violation", "is required"), ("fix", "is required"), ("lane", "is not scripted or judged"), ("confidence", "is not high, medium or low"), ("severity", "is not 0 to 4"), ("instances", "holds fewer than two"), ("instances.evidence", "en dash")])
+
+
+def test_gates_and_namespaces(spark):
+    runs = spark.createDataFrame([(1, ["C"], "fail", 0), (2, ["C"], "pass", 0), (3, ["D"], "pass", 2), (4, None, None, 0)], "run_id long, rubrics array<string>, gate string, severity_3_threshold int")
+    f = spark.createDataFrame([(1, "F-001", "C-A", 1), (2, "F-001", "C-A", 4), (3, "F-001", "C-A", 3), (3, "F-001", "C-B", 3)], "run_id long, finding_id string, criterion string, severity int")
+    assert sorted((r.run_id, r.message) for r in contract.gates(runs, f).collect()) == [(1, "should be pass"), (2, "should be fail"), (4, "should be pass")]
+    assert sorted((r.run_id, r.message) for r in contract.namespaces(runs, f).collect()) == [(3, "no rubric C"), (3, "no rubric C")]
+    assert sorted((r.run_id, r.rule) for r in contract.count_rules(runs, f).collect()) == [(1, "gate-matches-counts"), (2, "gate-matches-counts"), (3, "producer-declared-threshold"), (3, "unique-finding-ids"), (4, "gate-matches-counts")]
+
+
 def test_components(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51), (51, 50), (60, 60), (None, 1)], "a int, b int")
     got = {r.node: r.component for r in graph.components(df).collect()}
@@ -51,7 +73,7 @@ def test_resolve_tolerance(spark):
     s = spark.createDataFrame([(1, 1, "Alpha Part", 2, 2), (1, 2, "Beta Part", 2, 3), (1, 3, "Deep", 3, 1)], "artifact_id int, position int, heading string, level int, n_paragraphs int")
     rows = [(1, t) for t in ("Beta Part, paragraph 2", "Beta Part", "section 2", "section 9", "paragraph 6", "first paragraph of Alpha Part", "nothing", None, "last paragraph", '"deep"')]
     d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, artifact_id int, location string")
-    got = [(r.exact, r.lo, r.hi, r.canonical) for r in resolve.resolve(d, s).orderBy("i").collect()]
+    got = [(r.exact, r.lo, r.hi, r.canonical) for r in resolve.resolve(d, resolve.laid_out(s)).orderBy("i").collect()]
     assert got == [(4, 3, 5, "4"), (None, 3, 6, "H:beta part"), (None, 3, 6, "H:beta part"), (None, None, None, "?:section 9"), (6, 5, 7, "6"), (1, 1, 2, "1"), (None, None, None, "?:nothing"), (None, None, None, "?:"), (6, 5, 7, "6"), (None, 6, 6, "H:deep")]
 
 

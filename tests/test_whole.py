@@ -14,13 +14,13 @@ def _tables(spark, folder, **tables):
 
 def test_report_covers_every_error_rule(spark, tmp_path):
     sha, at, good = "0" * 64, "2030-01-01T00:00:00Z", ("F-001", "C-A", "loc", "ev", "vi", "fix", "judged", "low", 2)
-    runs = [(i, sha, at, ["C"], "pass", 0) for i in range(6)] + [(6, sha, "2030-02-30T00:00:00Z", ["C"], "pass", 0)]
+    runs = [(i, sha, at, ["C"], "pass", 0, "s", "1", "m") for i in range(6)] + [(6, sha, "2030-02-30T00:00:00Z", ["C"], "pass", 0, "s", "1", "m")]
     broken = {1: {6: "other"}, 2: {1: "D-A"}, 3: {3: "a \u2014 b"}, 4: {2: None}, 5: {7: None}}
-    found = [(i, *[broken.get(i, {}).get(k, v) for k, v in enumerate(good)], None) for i in range(7)]
+    found = [(i, *[broken.get(i, {}).get(k, v) for k, v in enumerate(good)], None, None) for i in range(7)]
     d = _tables(
         spark, tmp_path,
-        runs=(runs, "run_id long, artifact_sha256 string, run_timestamp string, rubrics array<string>, gate string, severity_3_threshold int"),
-        findings=(found, "run_id long, finding_id string, criterion string, location string, evidence string, violation string, fix string, lane string, confidence string, severity int, instances array<string>"),
+        runs=(runs, "run_id long, artifact_sha256 string, run_timestamp string, rubrics array<string>, gate string, severity_3_threshold int, skill string, skill_version string, model string"),
+        findings=(found, "run_id long, finding_id string, criterion string, location string, evidence string, violation string, fix string, lane string, confidence string, severity int, instances array<struct<location:string,evidence:string>>, rubric_source string"),
     )
     assert tuple(envelopes.contract_report(spark, d).first()) == (7, 6, 6, 0)
 
