@@ -1,7 +1,9 @@
-"""Clarity rules over prose: fifteen checks, each a projection over the paragraphs' sentence arrays.
+"""Clarity rules over prose: fifteen checks over one parse of the texts.
 
-Every check gives doc_id, sec, n, criterion, severity, location and evidence. No check shuffles: counts within a
-paragraph come from array functions, document counts from the text itself.
+A row of the parse is a sentence beside what its rules need of its paragraph, section and document; sections without
+paragraphs give one row too. Every rule is a test, a severity and an evidence over such a row, so all rules together are
+one scan and one generate, and no check shuffles. Every finding has doc_id, sec, n, criterion, severity, location and
+evidence.
 """
 
 from __future__ import annotations
@@ -16,121 +18,29 @@ from rubricloom.operators import prose
 from rubricloom.operators.checks import lexicons as L
 
 SECTION_SOFT, SECTION_HARD = 400, 800
-COLUMNS = ["doc_id", "sec", "n", "criterion", "severity", "location", "evidence"]
 
 
-def _out(df: DataFrame, criterion: str, severity: Column, evidence: Column, location: Column | None = None) -> DataFrame:
-    return df.select("doc_id", "sec", "n", F.lit(criterion).alias("criterion"), severity.cast("int").alias("severity"), (prose.location() if location is None else location).alias("location"), evidence.alias("evidence"))
-
-
-def _hits(p: DataFrame, test) -> DataFrame:
-    """Paragraphs with their sentences that pass ``test``, one row for each, beside both counts."""
-    h = p.withColumn("hits", F.filter("sentences", test)).where(F.size("hits") > 0)
-    return h.withColumns({"n_hits": F.size("hits"), "n_all": F.size("sentences")}).withColumn("s", F.explode("hits")).drop("hits")
-
-
-def _dense(ratio: float) -> Column:
-    """3 where at least three sentences stand in the paragraph and the share of hits reaches ``ratio``, else 2."""
-    return F.when((F.col("n_all") >= 3) & (F.col("n_hits") / F.col("n_all") >= ratio), 3).otherwise(2)
-
-
-def _each(p: DataFrame) -> DataFrame:
-    return p.withColumn("s", F.explode("sentences"))
-
-
-def active(p: DataFrame) -> DataFrame:
-    return _out(_hits(p, lambda s: T.has(s, L.PASSIVE)), "PLAIN-ACTIVE", _dense(0.75), F.col("s"))
-
-
-def concise(p: DataFrame) -> DataFrame:
-    pattern = T.lexicon(L.WORDY)
-    total = F.aggregate("sentences", F.lit(0), lambda a, s: a + T.count(s, pattern))
-    return _out(_hits(p.withColumn("total", total), lambda s: T.has(s, pattern)), "PLAIN-CONCISE", F.when(F.col("total") >= 3, 3).otherwise(2), F.col("s"))
-
-
-def double_negative(p: DataFrame) -> DataFrame:
-    q = _each(p).withColumn("k", T.count(F.col("s"), T.lexicon(L.NEGATIONS))).where("k >= 2")
-    return _out(q, "PLAIN-DOUBLE-NEGATIVE", F.when(F.col("k") >= 3, 3).otherwise(2), F.col("s"))
-
-
-def headings(s: DataFrame) -> DataFrame:
-    """Over sections: labels that say nothing, and sections too long without another heading."""
-    h = s.where("heading IS NOT NULL").withColumns({"n": F.lit(0), "k": T.words(F.col("body"))})
-    where = F.concat(F.lit("the "), F.col("heading"), F.lit(" heading"))
-    vague = _out(h.where(F.lower("heading").isin(L.VAGUE_HEADINGS)), "PLAIN-HEADINGS", F.lit(2), F.concat(F.lit("heading: "), F.col("heading")), where)
-    long = _out(h.where(F.col("k") > SECTION_SOFT), "PLAIN-HEADINGS", F.when(F.col("k") > SECTION_HARD, 3).otherwise(2), F.concat(F.col("k").cast("string"), F.lit(" words up to the next heading")), where)
-    return vague.unionByName(long)
-
-
-def jargon(p: DataFrame) -> DataFrame:
-    pattern = T.lexicon(L.JARGON)
-    near = lambda ss: F.transform(ss, lambda s, i: F.struct(s.alias("s"), F.lower(F.concat_ws(" ", F.slice(ss, i + 1, 2))).alias("w")))
-    ok = F.filter(T.let(F.col("sentences"), near), lambda x: T.has(x["s"], pattern) & ~reduce(lambda a, b: a | b, [x["w"].contains(d) for d in L.DEFINITIONS]) & ~x["s"].contains("("))
-    q = p.withColumn("hits", ok).where(F.size("hits") > 0).withColumn("k", F.size("hits")).withColumn("s", F.explode("hits.s"))
-    return _out(q, "PLAIN-JARGON", F.when(F.col("k") >= 3, 3).otherwise(2), F.col("s"))
-
-
-def lists(p: DataFrame) -> DataFrame:
-    q = _each(p).withColumns({"k": F.size(T.series(F.col("s"))), "m": T.count(F.col("s"), L.STEPS)}).where("k >= 3 OR m >= 3")
-    return _out(q, "PLAIN-LISTS", F.when((F.col("k") >= 5) | (F.col("m") >= 5), 3).otherwise(2), F.col("s"))
-
-
-def must(p: DataFrame) -> DataFrame:
-    """``p`` carries ``mixed``: whether the document has two such statements and uses must or should."""
-    return _out(_hits(p, lambda s: T.has(s, T.lexicon(L.NON_MUST))), "PLAIN-MUST", F.when(F.col("mixed"), 3).otherwise(2), F.col("s"))
-
-
-def nominalization(p: DataFrame) -> DataFrame:
-    return _out(_hits(p, lambda s: T.has(s, L.NOMINAL)), "PLAIN-NOMINALIZATION", _dense(0.8), F.col("s"))
+def rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each sentence: doc_id, mixed (two unclear duties beside a clear one in the document), sec, heading,
+    sec_words, marks (of each paragraph of the section, whether it opens or goes on with a transition), n, text, sentences,
+    at, s. The first row of a paragraph has at 0, the first of a section n 1."""
+    t = F.col(text)
+    mixed = (T.count(t, T.lexicon(L.NON_MUST)) >= 2) & T.has(t, T.lexicon(["must", "should"]))
+    d = df.select(F.struct(F.col(key).alias("id"), mixed.alias("mixed")).alias("k"), t.alias("text"))
+    s = prose.sections(d, "k", "text")
+    start = rf"(?i)^(?:{T.alternation(L.TRANSITIONS)})\b"
+    blocks = F.filter(F.split("body", r"\n(?:[^\S\n]*\n)++"), lambda b: T.strip(b) != "")
+    s = s.withColumn("ps", F.transform(blocks, lambda b: T.strip(F.regexp_replace(F.btrim(b, F.lit("\n")), "\n", " "))))
+    marks = F.array_join(F.transform("ps", lambda b, i: F.when((i == 0) | T.has(b, start), "T").otherwise("F")), "")
+    s = s.select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.mixed").alias("mixed"), "sec", "heading", T.words(F.col("body")).alias("sec_words"), marks.alias("marks"), F.posexplode_outer("ps").alias("_i", "text"))
+    p = s.withColumn("n", F.coalesce(F.col("_i"), F.lit(0)) + 1).withColumn("sentences", T.sentences(F.col("text"))).drop("_i")
+    return p.select("*", F.posexplode_outer("sentences").alias("_j", "s")).withColumn("at", F.coalesce(F.col("_j"), F.lit(0))).drop("_j")
 
 
 def _content(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(c), F.lit("([a-z']+)"), 1), lambda w: (F.length(w) > 2) & ~w.isin(L.STOPWORDS))
 
 
-def paragraph(p: DataFrame) -> DataFrame:
-    first = F.array_distinct(_content(F.col("sentences")[0]))
-    rest = _content(F.array_join(F.slice("sentences", 2, F.size("sentences")), " "))
-    q = p.where(F.size("sentences") > 0).withColumns({"k": T.words(F.col("text")), "first": first, "m": F.size("sentences")})
-    q = q.withColumn("share", F.when((F.col("m") >= 3) & (F.size("first") > 0), F.size(F.array_intersect("first", rest)) / F.size("first")).otherwise(1.0))
-    alone = (F.col("m") >= 3) & (F.col("share") < 0.15)
-    q = q.where(alone | (F.col("k") > 150))
-    return _out(q, "PLAIN-PARAGRAPH", F.when(alone, 3).otherwise(2), F.when(alone, F.col("sentences")[0]).otherwise(F.concat(F.col("k").cast("string"), F.lit(" words in one paragraph"))))
-
-
-def pronouns(p: DataFrame) -> DataFrame:
-    return _out(_hits(p, lambda s: T.has(s, T.lexicon(L.SUBSTITUTES))), "PLAIN-PRONOUNS", _dense(0.75), F.col("s"))
-
-
-def sentence_length(p: DataFrame) -> DataFrame:
-    q = _each(p).withColumns({"k": T.words(F.col("s")), "m": T.count(F.col("s"), T.lexicon(L.SUBORDINATORS))}).where("k > 30 OR m > 3")
-    return _out(q, "PLAIN-SENTENCE-LENGTH", F.when((F.col("k") >= 50) | (F.col("m") >= 4), 3).otherwise(2), F.col("s"))
-
-
-def subject_verb_object(p: DataFrame) -> DataFrame:
-    k, m = T.asides(F.col("s"))
-    q = _each(p).withColumns({"k": k, "m": m, "items": F.size(T.series(F.col("s")))}).where("items < 3 AND (k >= 2 OR m >= 6)")
-    return _out(q, "PLAIN-SUBJECT-VERB-OBJECT", F.when((F.col("k") >= 2) & (F.col("m") >= 15), 3).otherwise(2), F.col("s"))
-
-
-def transitions(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Paragraphs that continue a topic without a transition word; the run of such neighbours sets the severity.
-
-    The marks of a section's paragraphs are one string, so the run around a paragraph is read off it without a window.
-    """
-    start = rf"(?i)^(?:{T.alternation(L.TRANSITIONS)})\b"
-    s = prose.sections(df, key, text)
-    blocks = F.filter(F.split("body", r"\n(?:[^\S\n]*\n)++"), lambda b: T.strip(b) != "")
-    texts = F.transform(blocks, lambda b: T.strip(F.regexp_replace(F.btrim(b, F.lit("\n")), "\n", " ")))
-    s = s.withColumn("ps", texts).where(F.size("ps") > 1)
-    marks = F.array_join(F.transform("ps", lambda b, i: F.when((i == 0) | T.has(b, start), "T").otherwise("F")), "")
-    q = s.withColumn("marks", marks).select("doc_id", "sec", "level", "heading", "marks", F.posexplode("ps").alias("i", "text")).withColumn("n", F.col("i") + 1)
-    left = F.length(F.substring_index(F.left("marks", F.col("n")), "T", -1))
-    right = F.length(F.substring_index(F.expr("substring(marks, n)"), "T", 1))
-    q = q.where(F.expr("substring(marks, n, 1)") == "F").withColumn("run", left + right - 1)
-    return _out(q, "PLAIN-TRANSITIONS", F.when(F.col("run") >= 4, 3).otherwise(2), T.first_words(F.col("text"), 12))
-
-
 def _head(item: Column, first: Column) -> Column:
     t = F.when(first, F.regexp_replace(item, rf"(?is)^.*\b(?:{'|'.join(L.INTRODUCERS)})\s+", "")).otherwise(item)
     w = F.filter(F.split(T.strip(t), r"\s+"), lambda x: x != "")
@@ -138,37 +48,80 @@ def _head(item: Column, first: Column) -> Column:
     return F.when(F.size(w) == 0, "other").when((head == "to") & (F.size(w) > 1), "infinitive").when(T.has(head, "^[a-z]+ing$"), "gerund").otherwise("other")
 
 
-def parallelism(p: DataFrame) -> DataFrame:
-    q = _each(p).withColumn("items", T.series(F.col("s"))).where(F.size("items") >= 2)
-    q = q.withColumn("classes", F.array_distinct(F.transform("items", lambda x, i: _head(x, i == 0)))).where(F.size("classes") >= 2)
-    return _out(q, "WILLIAMS-PARALLELISM", F.when((F.size("items") >= 4) & (F.size("classes") >= 3), 3).otherwise(2), F.col("s"))
-
-
-def shape(p: DataFrame) -> DataFrame:
-    k, _ = T.asides(F.col("s"))
-    q = _each(p).withColumns({"w": T.words(F.col("s")), "items": F.size(T.series(F.col("s"))), "k": k, "m": T.count(F.col("s"), T.lexicon(L.SUBORDINATORS))})
-    return _out(q.where("w >= 40 AND items < 3 AND (k >= 2 OR m >= 2)"), "WILLIAMS-SHAPE", F.when(F.col("w") >= 60, 3).otherwise(2), F.col("s"))
-
-
-PARAGRAPH_CHECKS = {"PLAIN-ACTIVE": active, "PLAIN-CONCISE": concise, "PLAIN-DOUBLE-NEGATIVE": double_negative, "PLAIN-JARGON": jargon, "PLAIN-LISTS": lists, "PLAIN-NOMINALIZATION": nominalization, "PLAIN-PARAGRAPH": paragraph, "PLAIN-PRONOUNS": pronouns, "PLAIN-SENTENCE-LENGTH": sentence_length, "PLAIN-SUBJECT-VERB-OBJECT": subject_verb_object, "WILLIAMS-PARALLELISM": parallelism, "WILLIAMS-SHAPE": shape}
-CRITERIA = [*PARAGRAPH_CHECKS, "PLAIN-HEADINGS", "PLAIN-MUST", "PLAIN-TRANSITIONS"]
+def _measures(r: DataFrame) -> DataFrame:
+    """``r`` with the counts that several rules share, each made once."""
+    k, m = T.asides(F.col("s"))
+    r = r.withColumns({"items": T.series(F.col("s")), "w": T.words(F.col("s")), "sub": T.count(F.col("s"), T.lexicon(L.SUBORDINATORS)), "aside": F.struct(k.alias("k"), m.alias("m")), "neg": T.count(F.col("s"), T.lexicon(L.NEGATIONS)), "steps": T.count(F.col("s"), L.STEPS)})
+    first = F.when(F.col("at") == 0, F.array_distinct(_content(F.col("s"))))
+    rest = F.when(F.col("at") == 0, _content(F.array_join(F.slice("sentences", 2, F.size("sentences")), " ")))
+    m3 = F.size("sentences") >= 3
+    alone = m3 & (F.size(first) > 0) & (F.size(F.array_intersect(first, rest)) / F.size(first) < 0.15)
+    left = F.length(F.substring_index(F.left("marks", F.col("n")), "T", -1))
+    right = F.length(F.substring_index(F.expr("substring(marks, n)"), "T", 1))
+    return r.withColumns({"alone": F.coalesce(alone, F.lit(False)), "k": F.when(F.col("at") == 0, T.words(F.col("text"))), "run": left + right - 1})
+
+
+def _rules() -> dict[str, list[tuple[Column, Column, Column]]]:
+    """Test, severity and evidence of each rule over the measured rows."""
+    s, n_all = F.col("s"), F.size("sentences")
+    hard = lambda test: F.when(test, 3).otherwise(2)
+
+    def dense(pattern: str, share: float) -> list[tuple[Column, Column, Column]]:
+        hits = F.size(F.filter("sentences", lambda x: T.has(x, pattern)))
+        return [(T.has(s, pattern), hard((n_all >= 3) & (hits / n_all >= share)), s)]
+
+    wordy, jargon = T.lexicon(L.WORDY), T.lexicon(L.JARGON)
+    defined = lambda x, next_: reduce(lambda a, b: a | b, [F.contains(F.lower(F.concat_ws(" ", x, next_)), F.lit(d)) for d in L.DEFINITIONS]) | F.contains(x, F.lit("("))
+    plain = lambda x, next_: T.has(x, jargon) & ~defined(x, next_)
+    undefined = lambda ss: F.size(F.filter(F.transform(ss, lambda x, i: plain(x, F.get(ss, i + 1))), lambda ok: ok))
+    head, once = F.col("heading").isNotNull() & (F.col("n") == 1) & (F.col("at") == 0), F.col("at") == 0
+    classes = F.array_distinct(F.transform("items", lambda x, i: _head(x, i == 0)))
+    few, k, m = F.size("items") < 3, F.col("aside.k"), F.col("aside.m")
+    return {
+        "PLAIN-ACTIVE": dense(L.PASSIVE, 0.75),
+        "PLAIN-CONCISE": [(T.has(s, wordy), hard(F.aggregate("sentences", F.lit(0), lambda a, x: a + T.count(x, wordy)) >= 3), s)],
+        "PLAIN-DOUBLE-NEGATIVE": [(F.col("neg") >= 2, hard(F.col("neg") >= 3), s)],
+        "PLAIN-HEADINGS": [
+            (head & F.lower("heading").isin(L.VAGUE_HEADINGS), F.lit(2), F.concat(F.lit("heading: "), F.col("heading"))),
+            (head & (F.col("sec_words") > SECTION_SOFT), hard(F.col("sec_words") > SECTION_HARD), F.concat(F.col("sec_words").cast("string"), F.lit(" words up to the next heading"))),
+        ],
+        "PLAIN-JARGON": [(plain(s, F.get("sentences", F.col("at") + 1)), hard(T.let(F.col("sentences"), undefined) >= 3), s)],
+        "PLAIN-LISTS": [((F.size("items") >= 3) | (F.col("steps") >= 3), hard((F.size("items") >= 5) | (F.col("steps") >= 5)), s)],
+        "PLAIN-MUST": [(T.has(s, T.lexicon(L.NON_MUST)), hard(F.col("mixed")), s)],
+        "PLAIN-NOMINALIZATION": dense(L.NOMINAL, 0.8),
+        "PLAIN-PARAGRAPH": [(once & (n_all > 0) & (F.col("alone") | (F.col("k") > 150)), hard(F.col("alone")), F.when(F.col("alone"), s).otherwise(F.concat(F.col("k").cast("string"), F.lit(" words in one paragraph"))))],
+        "PLAIN-PRONOUNS": dense(T.lexicon(L.SUBSTITUTES), 0.75),
+        "PLAIN-SENTENCE-LENGTH": [((F.col("w") > 30) | (F.col("sub") > 3), hard((F.col("w") >= 50) | (F.col("sub") >= 4)), s)],
+        "PLAIN-SUBJECT-VERB-OBJECT": [(few & ((k >= 2) | (m >= 6)), hard((k >= 2) & (m >= 15)), s)],
+        "PLAIN-TRANSITIONS": [(once & (F.expr("substring(marks, n, 1)") == "F"), hard(F.col("run") >= 4), T.first_words(F.col("text"), 12))],
+        "WILLIAMS-PARALLELISM": [((F.size("items") >= 2) & (F.size(classes) >= 2), hard((F.size("items") >= 4) & (F.size(classes) >= 3)), s)],
+        "WILLIAMS-SHAPE": [((F.col("w") >= 40) & few & ((k >= 2) | (F.col("sub") >= 2)), hard(F.col("w") >= 60), s)],
+    }
+
+
+CRITERIA = [
+    "PLAIN-ACTIVE", "PLAIN-CONCISE", "PLAIN-DOUBLE-NEGATIVE", "PLAIN-JARGON", "PLAIN-LISTS", "PLAIN-NOMINALIZATION", "PLAIN-PARAGRAPH",
+    "PLAIN-PRONOUNS", "PLAIN-SENTENCE-LENGTH", "PLAIN-SUBJECT-VERB-OBJECT", "WILLIAMS-PARALLELISM", "WILLIAMS-SHAPE",
+    "PLAIN-HEADINGS", "PLAIN-MUST", "PLAIN-TRANSITIONS",
+]
+
+
+def findings(parsed: DataFrame, criteria: list[str]) -> DataFrame:
+    """Findings of the given rules over ``rows``."""
+    rules, about = _rules(), F.concat(F.lit("the "), F.col("heading"), F.lit(" heading"))
+    out = []
+    for c in criteria:
+        heading = c == "PLAIN-HEADINGS"
+        for test, severity, evidence in rules[c]:
+            out.append(F.when(test, F.struct((F.lit(0) if heading else F.col("n")).alias("n"), F.lit(c).alias("criterion"), severity.cast("int").alias("severity"), (about if heading else prose.location()).alias("location"), evidence.alias("evidence"))))
+    return _measures(parsed).select("doc_id", "sec", F.inline(F.array_compact(F.array(*out))))
 
 
 def run(df: DataFrame, criterion: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Findings of one clarity rule over the texts of ``df``."""
-    if criterion == "PLAIN-HEADINGS":
-        return headings(prose.sections(df, key, text))
-    if criterion == "PLAIN-TRANSITIONS":
-        return transitions(df, key, text)
-    if criterion == "PLAIN-MUST":
-        t = F.col(text)
-        mixed = (T.count(t, T.lexicon(L.NON_MUST)) >= 2) & T.has(t, T.lexicon(["must", "should"]))
-        flagged = df.select(F.struct(F.col(key).alias("id"), mixed.alias("mixed")).alias("k"), t.alias("text"))
-        p = prose.paragraphs(flagged, "k", "text")
-        return must(p.select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.mixed").alias("mixed"), *[c for c in p.columns if c != "doc_id"]))
-    return PARAGRAPH_CHECKS[criterion](prose.paragraphs(df, key, text))
+    return findings(rows(df, key, text), [criterion])
 
 
 def check(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Findings of all clarity rules."""
-    return reduce(DataFrame.unionByName, [run(df, c, key, text) for c in CRITERIA])
+    """Findings of all clarity rules, from one parse."""
+    return findings(rows(df, key, text), CRITERIA)

@@ -7,8 +7,6 @@ heading; the messages under equally named headings of a document count together.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,32 +51,38 @@ def messages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return out.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "heading")))
 
 
-def _out(df: DataFrame, criterion: str, severity: Column, evidence: Column, part: str | None = None) -> DataFrame:
-    place = F.concat(F.when(F.coalesce("heading", F.lit("")) != "", F.concat("heading", F.lit(", "))).otherwise(F.lit("")), F.lit("message "), F.col("n").cast("string"), F.lit(f", {part}" if part else ""))
-    return df.select("doc_id", "sec", "n", F.lit(criterion).alias("criterion"), severity.cast("int").alias("severity"), place.alias("location"), evidence.alias("evidence"))
+def _rules() -> dict[str, tuple[Column, Column, Column, str]]:
+    """Test, severity, evidence and named part of each rule over ``messages``."""
+    t, hard = F.col("text"), lambda test: F.when(test, 3).otherwise(2)
+    last = F.lower(T.strip(F.element_at(F.split("signal", ","), -1)))
+    return {
+        "NNG-EM-CONSTRUCTIVE": (~T.has(t, T.lexicon(INSTRUCTIONS)), F.when(F.lower("suggested_fix").isin("described", "selectable"), 2).otherwise(3), t, ""),
+        "NNG-EM-NEUTRAL-TONE": (T.has(t, T.lexicon(BLAME)), hard(T.has(t, T.lexicon(REPETITION))), t, ""),
+        "NNG-EM-PLAIN-LANGUAGE": (F.col("span").isNotNull(), hard(T.words(F.expr("concat_ws(' ', substring(text, 1, locate(span, text) - 1), substring(text, locate(span, text) + length(span)))")) <= 3), F.col("span"), ""),
+        "NNG-EM-NOT-COLOR-ONLY": (F.coalesce(last == "none", F.lit(False)), hard(F.lower("container") == "toast"), F.col("signal"), "Signal"),
+        "NNG-EM-PRESERVE-INPUT": (F.lower("input_on_resubmission") == "cleared", hard(F.col("total") >= 3), F.col("input_on_resubmission"), "Input on resubmission"),
+        "NNG-EM-TIMING": (F.lower("fires").isin(EARLY), hard(T.has(t, T.lexicon(ERROR_TONE))), F.col("fires"), "Fires"),
+    }
+
+
+def findings(m: DataFrame, criteria: list[str]) -> DataFrame:
+    """Findings of the given rules over ``messages``, in one pass."""
+    t = F.col("text")
+    hit = lambda p: F.nullif(F.regexp_extract(t, p, 0), F.lit(""))
+    span = F.coalesce(hit(CODE), hit(STATUS), hit(T.lexicon(JARGON)))
+    rules, out = _rules(), []
+    for c in criteria:
+        test, severity, evidence, part = rules[c]
+        place = F.concat(F.when(F.coalesce("heading", F.lit("")) != "", F.concat("heading", F.lit(", "))).otherwise(F.lit("")), F.lit("message "), F.col("n").cast("string"), F.lit(f", {part}" if part else ""))
+        out.append(F.when(test, F.struct(F.lit(c).alias("criterion"), severity.cast("int").alias("severity"), place.alias("location"), evidence.alias("evidence"))))
+    return m.withColumn("span", span).select("doc_id", "sec", "n", F.inline(F.array_compact(F.array(*out))))
 
 
 def run(m: DataFrame, criterion: str) -> DataFrame:
     """Findings of one rule over ``messages``."""
-    t = F.col("text")
-    if criterion == "NNG-EM-CONSTRUCTIVE":
-        return _out(m.where(~T.has(t, T.lexicon(INSTRUCTIONS))), criterion, F.when(F.lower("suggested_fix").isin("described", "selectable"), 2).otherwise(3), t)
-    if criterion == "NNG-EM-NEUTRAL-TONE":
-        return _out(m.where(T.has(t, T.lexicon(BLAME))), criterion, F.when(T.has(t, T.lexicon(REPETITION)), 3).otherwise(2), t)
-    if criterion == "NNG-EM-PLAIN-LANGUAGE":
-        hit = lambda p: F.nullif(F.regexp_extract(t, p, 0), F.lit(""))
-        span = F.coalesce(hit(CODE), hit(STATUS), hit(T.lexicon(JARGON)))
-        rest = "concat_ws(' ', substring(text, 1, locate(span, text) - 1), substring(text, locate(span, text) + length(span)))"
-        q = m.withColumn("span", span).where("span IS NOT NULL")
-        return _out(q, criterion, F.when(T.words(F.expr(rest)) <= 3, 3).otherwise(2), F.col("span"))
-    if criterion == "NNG-EM-NOT-COLOR-ONLY":
-        last = F.lower(T.strip(F.element_at(F.split("signal", ","), -1)))
-        return _out(m.where(F.coalesce(last == "none", F.lit(False))), criterion, F.when(F.lower("container") == "toast", 3).otherwise(2), F.col("signal"), "Signal")
-    if criterion == "NNG-EM-PRESERVE-INPUT":
-        return _out(m.where(F.lower("input_on_resubmission") == "cleared"), criterion, F.when(F.col("total") >= 3, 3).otherwise(2), F.col("input_on_resubmission"), "Input on resubmission")
-    return _out(m.where(F.lower("fires").isin(EARLY)), criterion, F.when(T.has(t, T.lexicon(ERROR_TONE)), 3).otherwise(2), F.col("fires"), "Fires")
+    return findings(m, [criterion])
 
 
 def check(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    m = messages(df, key, text)
-    return reduce(DataFrame.unionByName, [run(m, c) for c in CRITERIA])
+    """Findings of all rules; the messages are read and counted once."""
+    return findings(messages(df, key, text), CRITERIA)

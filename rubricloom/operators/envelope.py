@@ -38,13 +38,15 @@ def rank_and_bound(df: DataFrame, key: list[str], tie: str, most_low: int = MOST
     """
     order = [F.desc_nulls_last("severity"), F.asc_nulls_last("criterion"), F.asc_nulls_last("location"), F.col(tie)]
     low = F.coalesce(F.col("severity") < 3, F.lit(True))
-    w = Window.partitionBy(*key)
-    ranked = df.withColumn("_low", low).withColumn("_r", F.row_number().over(w.partitionBy(*key, "_low").orderBy(*order)))
-    n_low = F.count_if(F.col("_low")).over(w)
-    kept = ranked.withColumn("suppressed_count", F.greatest(n_low - most_low, F.lit(0))).where(~F.col("_low") | (F.col("_r") <= most_low))
-    kept = kept.withColumn("rank", F.row_number().over(w.orderBy(*order)))
+    w = Window.partitionBy(*key).orderBy(*order)
+    # the rank filter also runs in each task before the shuffle, so a large envelope sends a bounded number of low rows
+    kept = df.where(~low).unionByName(df.where(low).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most_low).drop("_r"))
+    n = df.where(low).groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.count(F.lit(1)).alias("_n"))
+    same = [df_k.eqNullSafe(F.col(f"_{k}")) for k, df_k in ((k, F.col(k)) for k in key)]
+    kept = kept.withColumn("rank", F.row_number().over(w)).join(n, same, "left")
+    kept = kept.withColumn("suppressed_count", F.greatest(F.coalesce("_n", F.lit(0)) - most_low, F.lit(0)).cast("long")).drop("_n", *[f"_{k}" for k in key])
     r = F.col("rank").cast("string")
-    return kept.withColumn("id", F.concat(F.lit("F-"), F.when(F.length(r) < 3, F.lpad(r, 3, "0")).otherwise(r))).drop("_low", "_r")
+    return kept.withColumn("id", F.concat(F.lit("F-"), F.when(F.length(r) < 3, F.lpad(r, 3, "0")).otherwise(r)))
 
 
 def summary(df: DataFrame, key: list[str], threshold: Column | None = None, most_low: int = MOST_LOW) -> DataFrame:

@@ -53,7 +53,12 @@ def check_toy_orphan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toy.orphans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {_name(c): partial(_clarity, criterion=c) for c in clarity.CRITERIA} | {f.__name__: f for f in (check_toulmin_claim_marker, check_toulmin_hedge_density, blocks_sections, blocks_paragraphs, blocks_normative, check_toy_first, check_toy_orphan)}
+def check_clarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fifteen clarity rules from one parse."""
+    return clarity.check(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {_name(c): partial(_clarity, criterion=c) for c in clarity.CRITERIA} | {f.__name__: f for f in (check_clarity, check_toulmin_claim_marker, check_toulmin_hedge_density, blocks_sections, blocks_paragraphs, blocks_normative, check_toy_first, check_toy_orphan)}
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 BLOCKS = r"""WITH t AS (SELECT doc_id, regexp_replace(text, '\r\n?|[\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]', chr(10), 'g') AS u, text FROM documents WHERE text IS NOT NULL),
@@ -141,3 +146,5 @@ _TOY = "CASE WHEN coalesce(heading, '') <> '' THEN heading || ', ' ELSE '' END |
 SQL["check_toy_first"] = BLOCKS + f", f AS (SELECT doc_id, sec, n, heading, ss[1] AS s, row_number() OVER (PARTITION BY doc_id ORDER BY sec, n) AS k FROM ps) SELECT doc_id, sec, n, 'TOY-ACTIVE' AS criterion, 2 AS severity, {_TOY} AS location, s AS evidence FROM f WHERE {' OR '.join(f"contains(s, '{x}')" for x in toy.PASSIVES)} UNION ALL SELECT doc_id, sec, n, 'TOY-HEDGE', 2, {_TOY}, s FROM f WHERE {' OR '.join(f"starts_with(lower(s), '{x}')" for x in toy.HEDGES)}"
 SQL["check_toy_orphan"] = BLOCKS + r""", w AS (SELECT *, len(regexp_extract_all(body, '\S+')) AS k FROM secs WHERE heading IS NOT NULL)
 SELECT doc_id, sec, 'TOY-ORPHAN' AS criterion, 3 AS severity, 'the ' || heading || ' heading' AS location FROM w x WHERE level > 1 AND (SELECT sum(k) FROM w y WHERE y.doc_id = x.doc_id AND y.sec >= x.sec AND y.sec < coalesce((SELECT min(z.sec) FROM w z WHERE z.doc_id = x.doc_id AND z.sec > x.sec AND z.level <= x.level), 1000000000)) = 0"""
+_ALL = "doc_id, sec, n, criterion, severity, location, evidence"
+SQL["check_clarity"] = " UNION ALL ".join(f"SELECT {_ALL} FROM ({SQL[_name(c)]})" for c in clarity.CRITERIA)

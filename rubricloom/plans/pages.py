@@ -33,7 +33,12 @@ def check_diataxis_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.mode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"check_" + c.lower().replace("-", "_"): partial(_microcopy, criterion=c) for c in microcopy.CRITERIA} | {f.__name__: f for f in (blocks_messages, check_diataxis_heading_depth, check_diataxis_nav_length, check_diataxis_mode)}
+def check_microcopy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six microcopy rules from one reading of the messages."""
+    return microcopy.check(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"check_" + c.lower().replace("-", "_"): partial(_microcopy, criterion=c) for c in microcopy.CRITERIA} | {f.__name__: f for f in (check_microcopy, blocks_messages, check_diataxis_heading_depth, check_diataxis_nav_length, check_diataxis_mode)}
 
 _L = "|".join(microcopy.LABELS)
 
@@ -73,3 +78,7 @@ SQL = {
 j AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS k FROM h WHERE level > before + 1)
 SELECT doc_id, i AS at_, 'DIATAXIS-HEADING-DEPTH' AS criterion, CASE WHEN k >= 2 THEN 3 ELSE 2 END AS severity, 'the ' || heading || ' heading' AS location, 'level ' || before || ' to ' || level AS evidence FROM j""".replace("at_", '"at"'),
 }
+_CODE = r"(?:^|[^A-Za-z0-9])((?:[A-Z]{2,}[_-][A-Z0-9_-]*|0x[0-9A-Fa-f]+|ERR\d+|E\d{3,4}))(?:[^A-Za-z0-9]|$)"
+_SPAN = f"coalesce(nullif(regexp_extract(text, '{_CODE}', 1), ''), nullif(regexp_extract(text, '{_q(microcopy.STATUS)}', 0), ''), nullif(regexp_extract(text, '{_q(T.lexicon(microcopy.JARGON))}', 0), ''))"
+SQL["check_nng_em_plain_language"] = _sql("NNG-EM-PLAIN-LANGUAGE", "span IS NOT NULL", r"len(regexp_extract_all(left(text, strpos(text, span) - 1) || ' ' || substr(text, strpos(text, span) + length(span)), '\S+')) <= 3 THEN 3 ELSE 2", "span").replace("FROM every", f"FROM (SELECT *, {_SPAN} AS span FROM every)")
+SQL["check_microcopy"] = " UNION ALL ".join("SELECT doc_id, sec, n, criterion, severity, location, evidence FROM (" + SQL["check_" + c.lower().replace("-", "_")] + ")" for c in microcopy.CRITERIA)
