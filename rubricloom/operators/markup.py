@@ -27,8 +27,19 @@ COLORS = {
     "black": (0, 0, 0), "silver": (192, 192, 192), "gray": (128, 128, 128), "grey": (128, 128, 128), "white": (255, 255, 255),
     "maroon": (128, 0, 0), "red": (255, 0, 0), "purple": (128, 0, 128), "fuchsia": (255, 0, 255), "green": (0, 128, 0),
     "lime": (0, 255, 0), "olive": (128, 128, 0), "yellow": (255, 255, 0), "navy": (0, 0, 128), "blue": (0, 0, 255),
-    "teal": (0, 128, 128), "aqua": (0, 255, 255), "orange": (255, 165, 0),
+    "teal": (0, 128, 128), "aqua": (0, 255, 255), "orange": (255, 165, 0), "cyan": (0, 255, 255), "magenta": (255, 0, 255),
+    "pink": (255, 192, 203), "brown": (165, 42, 42), "gold": (255, 215, 0), "indigo": (75, 0, 130), "violet": (238, 130, 238),
+    "coral": (255, 127, 80), "salmon": (250, 128, 114), "khaki": (240, 230, 140), "plum": (221, 160, 221), "orchid": (218, 112, 214),
+    "tan": (210, 180, 140), "beige": (245, 245, 220), "ivory": (255, 255, 240), "lavender": (230, 230, 250), "crimson": (220, 20, 60),
+    "chocolate": (210, 105, 30), "darkgray": (169, 169, 169), "darkgrey": (169, 169, 169), "lightgray": (211, 211, 211),
+    "lightgrey": (211, 211, 211), "dimgray": (105, 105, 105), "dimgrey": (105, 105, 105), "slategray": (112, 128, 144),
+    "slategrey": (112, 128, 144), "steelblue": (70, 130, 180), "skyblue": (135, 206, 235), "royalblue": (65, 105, 225),
+    "dodgerblue": (30, 144, 255), "forestgreen": (34, 139, 34), "seagreen": (46, 139, 87), "darkgreen": (0, 100, 0),
+    "lightgreen": (144, 238, 144), "firebrick": (178, 34, 34), "indianred": (205, 92, 92), "hotpink": (255, 105, 180),
+    "deeppink": (255, 20, 147), "darkorange": (255, 140, 0), "tomato": (255, 99, 71), "darkred": (139, 0, 0), "darkblue": (0, 0, 139),
+    "midnightblue": (25, 25, 112), "whitesmoke": (245, 245, 245), "gainsboro": (220, 220, 220), "darkgoldenrod": (184, 134, 11),
 }
+#: Labels that stand for one action.
 CONTROLS = {"commit": ["save", "save changes", "apply", "apply changes", "submit", "confirm", "update", "done"], "cancel": ["cancel", "dismiss", "close", "discard", "discard changes", "never mind", "no thanks"], "back": ["back", "previous", "go back", "return"]}
 
 
@@ -157,6 +168,8 @@ class Page:
 
     def style(self, n: Node) -> dict[str, str]:
         """Declared properties of a node: rules by specificity and order, then the inline style."""
+        if n.parent is None:
+            return {}
         if n.id not in self._style:
             classes, own = set(n.get("class").split()), {}
             for key, decl in sorted((r for r in self.rules if (not r[0][4] or r[0][4] == n.tag) and all(i == n.get("id") for i in r[0][5]) and set(r[0][6]) <= classes), key=lambda r: r[0][:4]):
@@ -164,17 +177,47 @@ class Page:
             self._style[n.id] = own | declarations(n.get("style"))
         return self._style[n.id]
 
-    def inherited(self, n: Node, *names: str) -> str | None:
+    def ink(self, n: Node) -> tuple[int, int, int] | None:
+        """Text colour: the nearest declared one, black where none is; None where it cannot be told."""
         for x in n.up():
-            if x.parent is None:
-                return None
+            v = self.style(x).get("color", "").lower()
+            if v not in ("", "inherit", "initial", "unset", "currentcolor"):
+                return color(v)
+        return 0, 0, 0
+
+    def ground(self, n: Node | None) -> tuple[int, int, int] | None:
+        """Painted colour behind an element: grounds that are absent or clear show the ancestor's, at last white."""
+        for x in n.up() if n else ():
             s = self.style(x)
-            for name in names:
-                v = s.get(name, "").lower()
-                if v and v not in ("inherit", "initial", "unset", "transparent", "currentcolor"):
-                    return v
+            v = s.get("background-color", "").lower() or color_token(s.get("background", ""))
+            if v not in ("", "transparent", "inherit", "initial", "unset"):
+                return color(v)
+        return 255, 255, 255
+
+    def edge(self, n: Node) -> tuple[int, int, int] | None:
+        """Colour of a drawn border or else outline; None without one, or where it has no style or no width."""
+        s = self.style(n)
+        for side in ("border", "outline"):
+            parts = s.get(side, "").lower().split()
+            v = s.get(side + "-color", "").lower() or color_token(s.get(side, ""))
+            if v:
+                style = s.get(side + "-style", "").lower() or next((t for t in parts if t in LINES), "")
+                width = s.get(side + "-width", "").lower() or next((t for t in parts if re.fullmatch(r"[\d.]+[a-z%]*", t)), "")
+                flat = re.fullmatch(r"0*\.?0*[a-z%]*", width) and any(c == "0" for c in width)
+                return None if style in ("none", "hidden") or flat else color(v)
         return None
 
+    def bold(self, n: Node) -> bool:
+        for x in n.up():
+            v = self.style(x).get("font-weight", "").lower()
+            if v in ("bold", "normal"):
+                return v == "bold"
+            if re.fullmatch(r"[\d.]+", v):
+                return float(v) >= 700
+            if x.tag in ("b", "strong"):
+                return True
+        return False
+
     def hidden(self, n: Node) -> bool:
         return any("hidden" in x.attrs or x.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", x.get("style").lower()) for x in n.up())
 
@@ -192,6 +235,18 @@ class Page:
         return 16.0 * factor
 
 
+#: Line styles of borders and outlines.
+LINES = {"none", "hidden", "solid", "dashed", "dotted", "double", "groove", "ridge", "inset", "outset"}
+
+
+def color_token(v: str) -> str:
+    """The first part of a shorthand that is a colour, in lower case; empty if there is none."""
+    v = v.lower()
+    if m := re.search(r"rgba?\([^)]*\)", v):
+        return m.group(0)
+    return next((t for t in v.split() if t[0] == "#" or t in COLORS or t in ("transparent", "currentcolor")), "")
+
+
 def color(v: str | None) -> tuple[int, int, int] | None:
     """RGB of a hex, rgb() or named colour; the colour token of a shorthand; None where unknown."""
     for t in re.findall(r"#[0-9a-f]{3,8}\b|rgba?\([^)]*\)|[a-z]+", (v or "").lower()):
@@ -267,10 +322,9 @@ def _text_contrast(p: Page):
     for n in p.nodes:
         if n.tag in SKIP_TEXT or not any(isinstance(x, str) and x.strip() for x in n.parts) or p.hidden(n):
             continue
-        a, b = color(p.inherited(n, "color")), color(p.inherited(n, "background-color", "background"))
+        a, b = p.ink(n), p.ground(n)
         if a and b:
-            size, weight = p.size(n), p.inherited(n, "font-weight") or ""
-            bold = weight == "bold" or weight.isdigit() and int(weight) >= 700
+            size, bold = p.size(n), p.bold(n)
             need, have = 3.0 if size >= 24 or size >= 18.66 and bold else 4.5, contrast(a, b)
             if have < need - 1e-9:
                 yield "WCAG-1.4.3", 3 if need - have > 1.0 else 2, n, f"{have:.2f} of {need}"
@@ -285,6 +339,7 @@ def _zoom(p: Page):
                 yield "WCAG-1.4.4", 3, n, n.get("content")
             elif re.fullmatch(r"[\d.]+", s.get("maximum-scale", "")) and float(s["maximum-scale"]) < 2:
                 yield "WCAG-1.4.4", 2, n, n.get("content")
+            return
 
 
 @_check
@@ -296,25 +351,25 @@ def _boxes(p: Page):
         w = px(s.get("width"))
         if w and w > 320 and not re.search(r"%|v[wh]", s.get("max-width", "")) and not any(re.search(r"width", m) and (f".{c}" in m for c in n.get("class").split() or ["-"]) for m in p.media if n.tag in m or any(f".{c}" in m for c in n.get("class").split())):
             yield "WCAG-1.4.10", 3 if w >= 600 else 2, n, f"{w:g}px wide"
-        if px(s.get("height")) and s.get("overflow", s.get("overflow-y", "")) in ("hidden", "clip") and n.text():
+        if px(s.get("height") or s.get("max-height")) is not None and (s.get("overflow") or s.get("overflow-y", "")).lower() in ("hidden", "clip") and n.text():
             yield "WCAG-1.4.12", None, n, "fixed height with clipped text"
-        if n.tag in INTERACTIVE or n.get("role").lower() in ROLES:
-            edge = color(s.get("border-color") or s.get("border") or s.get("outline-color") or s.get("outline"))
-            ground = color(p.inherited(n.parent, "background-color", "background")) if n.parent else None
-            if edge and ground and (c := contrast(edge, ground)) < 3.0:
+        if (n.tag in INTERACTIVE or n.get("role").lower() in ROLES) and not (n.tag == "a" and not n.attrs.get("href")):
+            edge, ground = p.edge(n), p.ground(n.parent)
+            if edge and ground and (c := contrast(edge, ground)) < 3.0 - 1e-9:
                 yield "WCAG-1.4.11", 3 if c < 2.0 else 2, n, f"{c:.2f} of 3.0"
 
 
 @_check
 def _bypass(p: Page):
-    if not any(n.tag == "body" for n in p.nodes) or any(n.tag == "main" or n.get("role").lower() == "main" for n in p.nodes):
+    if not any(n.tag in ("html", "body") for n in p.nodes) or any(n.tag == "main" or n.get("role").lower() == "main" for n in p.nodes):
         return
-    links = [n for n in p.nodes if n.tag == "a" and n.get("href")]
-    if links and links[0].get("href").startswith("#") and links[0].get("href")[1:] in p.ids:
+    links = [n for n in p.nodes if n.tag == "a" and n.attrs.get("href")]
+    if links and links[0].attrs["href"].startswith("#") and links[0].attrs["href"][1:] in p.ids:
         return
     heading = next((n.id for n in p.nodes if re.fullmatch("h[1-6]", n.tag)), len(p.nodes))
-    k = sum(n.id < heading and (n.tag in ("button", "select", "textarea") or n.tag == "a" and bool(n.get("href")) or n.tag == "input" and n.get("type").lower() != "hidden") for n in p.nodes)
-    yield "WCAG-2.4.1", 3 if k >= 2 else 2, next(n for n in p.nodes if n.tag == "body"), f"{k} stops before the first heading"
+    k = sum(n.id < heading and n.tag in INTERACTIVE and not (n.tag == "a" and not n.attrs.get("href")) and not p.hidden(n) for n in p.nodes)
+    scope = next((n for n in p.nodes if n.tag == "body"), None) or next(n for n in p.nodes if n.tag == "html")
+    yield "WCAG-2.4.1", 3 if k >= 2 else 2, scope, f"{k} stops before the first heading"
 
 
 @_check
@@ -371,6 +426,50 @@ def _control_names(p: Page):
                 yield "NNG-H4-CONTROL-NAMING", 3 if len(labels) >= 3 else 2, n, label
 
 
+#: Boxes whose controls are judged together.
+BOXES, BOX_ROLES = {"form", "nav"}, {"toolbar", "menu", "menubar"}
+_NO_FIELD = {"hidden", "submit", "button", "reset", "image"}
+
+
+@_check
+def _dead_ends(p: Page):
+    """States (sections with an id, two or more) that link to no other state."""
+    states: dict[str, Node] = {}
+    for n in p.nodes:
+        if n.tag == "section" and n.get("id"):
+            states.setdefault(n.get("id"), n)
+    if len(states) < 2:
+        return
+    state_of = lambda n: next((x.get("id") for x in n.up() if x.parent is not None and x is not n and x.tag == "section" and x.get("id")), None)
+    jumps = [(state_of(n), n.get("href")[1:]) for n in p.nodes if n.tag == "a" and n.get("href")[:1] == "#"]
+    jumps = [(a, b) for a, b in jumps if a and b in states and a != b]
+    for name, n in states.items():
+        if not any(a == name for a, _ in jumps):
+            k = sum(b == name for _, b in jumps)
+            yield "NNG-H3-DEADEND", 3 if k else 2, n, f"no way on, {k} ways in"
+
+
+@_check
+def _names_on_screen(p: Page):
+    """Controls and fields without a visible or accessible name; 3 where a whole box of controls has none."""
+    texts = {n.get("for"): n.text() for n in p.nodes if n.tag == "label" and n.get("for") and n.text()}
+    found = []
+    for n in p.nodes:
+        if n.tag == "button" or n.tag == "a" and n.get("href") or n.tag != "a" and n.get("role").lower() in ("button", "link", "menuitem"):
+            ok = bool(n.text() or n.get("aria-label") or n.get("aria-labelledby") or n.get("title"))
+        elif n.tag in ("select", "textarea") or n.tag == "input" and n.get("type").lower() not in _NO_FIELD:
+            around = next((x for x in n.up() if x.tag == "label"), None)
+            ok = n.get("id") in texts or around is not None and bool(around.text())
+        else:
+            continue
+        box = next((x.id for x in n.up() if x is not n and x.parent is not None and (x.tag in BOXES or x.get("role").lower() in BOX_ROLES)), -1)
+        found.append((n, ok, box))
+    named = {box for _, ok, box in found if ok}
+    for n, ok, box in found:
+        if not ok:
+            yield "NNG-H6-LABELED", 2 if box in named else 3, n, n.tag
+
+
 def place(n: Node) -> str:
     """An element by its id, else by its path of tags with positions among like siblings."""
     if n.get("id"):

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rubricloom.functions import text as T
-from rubricloom.operators import corpus, envelope, evals, markup
-from rubricloom.operators.checks import clarity, docs, microcopy
+from rubricloom.operators import corpus, envelope, evals, markup, places
+from rubricloom.operators.checks import clarity, docs, microcopy, usability
 from rubricloom.sources import files
 
 PAGE = """<!doctype html><html><head><style>.low { color: #777; background: #fff } .wide { width: 700px }</style></head>
@@ -63,21 +63,24 @@ def test_generated_corpus_round_trip(spark):
     assert planted <= found and len(planted) == 80
 
 
-def test_stream_is_uniform_and_stable():
-    r = corpus.Stream(corpus.derive(b"k", "a"))
-    draws = [r.below(6) for _ in range(6000)]
-    assert all(800 < draws.count(i) < 1200 for i in range(6)) and corpus.Stream(corpus.derive(b"k", "a")).below(6) == draws[0]
-    assert corpus.derive(b"k", "ab", "c") != corpus.derive(b"k", "a", "bc")
+def test_dice_are_uniform_and_stable():
+    r = corpus.Dice("k", "a")
+    draws = [r.upto(6) for _ in range(6000)]
+    assert all(800 < draws.count(i) < 1200 for i in range(6)) and corpus.Dice("k", "a").upto(6) == draws[0]
+    assert [corpus.Dice("ab", "c").upto(1000) for _ in range(1)] != [corpus.Dice("a", "bc").upto(1000)] or corpus.Dice("ab", "c").upto(1 << 30) != corpus.Dice("a", "bc").upto(1 << 30)
+    assert sorted(r.some(range(5), 9)) == [0, 1, 2, 3, 4]
     with pytest.raises(ValueError):
-        r.below(0)
+        r.upto(0)
 
 
 def test_leaks(spark):
     d = spark.createDataFrame([(1, "One two, three four five six seven."), (2, None)], "doc_id long, text string")
     e = spark.createDataFrame([(9, "two three FOUR five six seven eight"), (8, "too short"), (7, None)], "item_id long, text string")
     assert [tuple(r) for r in corpus.description_leaks(d, e, "doc_id", "text", "item_id", "text").collect()] == [(1, 9, 1)]
-    p = spark.createDataFrame([("a/clean-1.md",), ("a/cleaning.md",), ("a/plain-active.md",)], "path string")
-    assert [r[0] for r in p.select(corpus.path_leaks(p, "path", ["PLAIN-ACTIVE"])).collect()] == [True, False, True]
+    p = spark.createDataFrame([("a/clean-1.md",), ("a/cleaning.md",), ("a/plain-active.md",), (None,), ("",)], "path string")
+    c = spark.createDataFrame([("PLAIN-ACTIVE",), ("X-1",), (None,)], "criterion string")
+    for most in (10_000, 1):
+        assert sorted((r.path or "", r.leaks) for r in corpus.path_leaks(p, "path", c, most).collect()) == [("", False), ("", False), ("a/clean-1.md", True), ("a/cleaning.md", False), ("a/plain-active.md", True)]
 
 
 def test_evals(spark):
@@ -136,3 +139,54 @@ def test_stream(spark, tmp_path):
     q = S.each_batch(S.read(spark, str(tmp_path / "in"), schema), lambda b: S.rejects(b).select("line_id", F.size("reasons").alias("k")), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(90)
     assert sorted(tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / "out")).select("line_id", "k").collect()) == [(1, 0), (2, 1), (2, 1)]
+
+
+def test_contrast_defaults_and_edges():
+    crit = lambda html: sorted((c, s) for c, s, *_ in markup.findings("<html lang='en'><title>T</title><body><main>" + html + "</main></body></html>"))
+    assert crit('<p style="color:#ccc">x</p>') == [("WCAG-1.4.3", 3)]
+    assert crit('<div style="background:#000"><p style="background:none;color:#222">x</p></div>') == [("WCAG-1.4.3", 3)]
+    assert crit('<p style="color:var(--x)">x</p>') == [] and crit('<b style="color:#888;font-size:19px">x</b>') == []
+    assert crit('<button style="border:1px solid #aaa">x</button>') == [("WCAG-1.4.11", 2)]
+    assert crit('<button style="border:1px solid #eee">x</button>') == [("WCAG-1.4.11", 3)]
+    for off in ("border:0 none #eee", "border:1px none #eee", "border:0px solid #eee"):
+        assert crit(f'<button style="{off}">x</button>') == []
+    assert crit('<a style="border:1px solid #eee">x</a>') == []
+    assert crit('<p style="max-height:20px;overflow-y:hidden">x</p>') == [("WCAG-1.4.12", 2)]
+
+
+def test_bypass_counts_reachable_stops():
+    sev = lambda body: [s for c, s, *_ in markup.findings(body) if c == "WCAG-2.4.1"]
+    assert sev('<html><p hidden><a href="/a">a</a><a href="/b">b</a></p><h1>T</h1></html>') == [2]
+    assert sev('<body><input type="hidden"><a href="/b">b</a><h1>T</h1></body>') == [3]
+    assert sev("<p>part</p>") == [] and sev('<body><a href="#m">s</a><div id="m"></div></body>') == []
+
+
+def test_page_usability():
+    html = '<section id="a"><a href="#b">go</a></section><section id="b"><a href="#b">stay</a></section><section id="c">x</section><form><button></button><input id="f"><label for="f">n</label></form><nav><a href="/x"><i></i></a></nav>'
+    got = sorted((c, s, w) for c, s, w, *_ in markup.findings(html) if c.startswith("NNG"))
+    assert got == [("NNG-H3-DEADEND", 2, "#c"), ("NNG-H3-DEADEND", 3, "#b"), ("NNG-H6-LABELED", 2, "form > button"), ("NNG-H6-LABELED", 3, "nav > a")]
+
+
+def test_markdown_usability(spark):
+    page = "# P\n\n## Start\n\nGo to [Save](#end), [Apply...](#x) or [Cancel](#end).\n\n### More\n\n## End\n\n[back](#end)\n\n## End\n\n[up](#start)\n\n## Controls\n\n- the **button**\n- Search field for names\n- A link.\n"
+    d = spark.createDataFrame([(1, page), (2, None), (3, "## Alone\n\ntext"), (4, "<p>## x</p>")], "doc_id long, text string")
+    got = sorted((r.criterion, r.severity, r.location, r.evidence) for r in usability.check(d).collect())
+    assert got == [("NNG-H3-DEADEND", 2, "the Controls state", "0 ways in"), ("NNG-H3-DEADEND", 3, "the End state", "2 ways in"), ("NNG-H4-CONTROL-NAMING", 2, "commit", "apply, save"), ("NNG-H6-LABELED", 2, "the Controls list, item 1", "the **button**"), ("NNG-H6-LABELED", 2, "the Controls list, item 3", "A link.")]
+    assert d.limit(1).select(usability.anchors(F.array(F.lit("A b"), F.lit("A b"), F.lit("?"), F.lit("a  B!")))).first()[0] == ["a-b", "a-b-1", "section", "a-b-2"]
+
+
+def test_places(spark):
+    html = '<div id="top"><ul class="x y"><li>one long item</li><li><a href="/">two</a></li></ul></div><h2>T</h2>'
+    pages = spark.createDataFrame([(1, "html", html), (2, "string-list", '[{"key": "k.a", "value": "some long value"}, "two"]'), (3, "string-list", "broken"), (4, "markdown-prose", "# x")], "artifact_id long, artifact_type string, text string")
+    asks = [(1, "#top", "#top", True), (1, 'the "ul.y > li:nth-of-type(2)" element', "div > ul > li:nth-of-type(2)", True), (1, "the first link", "div > ul > li:nth-of-type(2) > a", True), (1, '"One  long item"', "div > ul > li:nth-of-type(1)", True), (1, "the ninth link", "?:the ninth link", False), (1, "`div a`", "div > ul > li:nth-of-type(2) > a", True), (2, "item 2", "2", True), (2, "last item", "2", True), (2, "k.a is long", "key:k.a", True), (2, '"Some long VALUE"', "1", True), (2, "item 9", "?:item 9", False), (3, "item 1", "?:item 1", False), (4, "x", "?:x", False), (9, None, "?:", False)]
+    claims = spark.createDataFrame([(a, str(i), t) for i, (a, t, *_) in enumerate(asks)], "artifact_id long, key string, location string")
+    got = {int(r.key): (r.canonical.replace("#top > ", ""), r.resolvable) for r in places.resolve(pages, claims).collect()}
+    assert [got[i] for i in range(len(asks))] == [(c, ok) for *_, c, ok in asks]
+    truths = spark.createDataFrame([(1, "t", "css", "li:nth-of-type(2)"), (1, "u", "css", "li"), (1, "v", "element-id", "top"), (2, "w", "item-key", "k.a"), (2, "x", "item-index", "2")], "artifact_id long, key string, kind string, value string")
+    met = {(int(r.claim), r.truth) for r in places.hits(places.resolve(pages, claims), places.truth(pages, truths)).collect()}
+    assert met == {(0, "t"), (1, "t"), (2, "t"), (5, "t"), (0, "v"), (6, "x"), (7, "x"), (9, "w")}
+    bad = spark.createDataFrame([(1, "pdf", "x")], "artifact_id long, artifact_type string, text string")
+    with pytest.raises(Exception, match="unknown artifact type"):
+        places.resolve(bad, claims).collect()
+    p = spark.createDataFrame([("see guide\\Intro.md, top", "docs/guide/intro.md"), ("intro.md", "docs/guide/intro.md"), ("other.md", "docs/intro.md"), ("nothing", "a.md")], "l string, p string")
+    assert [r[0] for r in p.select(places.page_matches(F.col("l"), F.col("p"))).collect()] == [True, True, False, None]
