@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pacsv
@@ -20,8 +21,8 @@ FIELDS = ["finding_id", "criterion", "lane", "severity", "location", "evidence",
 SEPARATORS = {"csv": ",", "ssv": ";", "tsv": "\t"}
 ALLOWED = {"severity": ["0", "1", "2", "3", "4"], "confidence": ["high", "medium", "low", ""], "lane": ["scripted", "judged", ""]}
 
-_OUT = pa.schema([("line_id", pa.int64()), *[(f, pa.string()) for f in FIELDS], ("reasons", pa.list_(pa.string()))])
-_SCHEMA = "line_id bigint, " + ", ".join(f"{f} string" for f in FIELDS) + ", reasons array<string>"
+_NAMES = ["key", *FIELDS, "reasons"]
+_REST = ", ".join(f"{f} string" for f in FIELDS) + ", reasons array<string>"
 #: Characters handed to the CSV reader at once.
 _CHUNK = 32_000_000
 
@@ -60,19 +61,11 @@ def _read(lines: pa.Array, rows: pa.Array, sep: str) -> tuple[pa.Table, list[int
 
 
 def _reasons(n: int, flags: list[tuple[str, pa.Array]]) -> pa.Array:
-    named = [pc.if_else(f, pa.scalar(name), pa.scalar(None, pa.string())) for name, f in flags]
-    stacked = pa.ListArray.from_arrays(pa.array(range(0, n * len(named) + 1, len(named)), pa.int32()), pa.array([x for row in zip(*(c.to_pylist() for c in named)) for x in row], pa.string()))
-    parent, values = pc.list_parent_indices(stacked), stacked.flatten()
-    keep = pc.is_valid(values)
-    counts = pc.value_counts(parent.filter(keep))
-    sizes = [0] * n
-    for i, c in zip(counts.field(0).to_pylist(), counts.field(1).to_pylist()):
-        sizes[i] = c
-    offsets, at = [0], 0
-    for s in sizes:
-        at += s
-        offsets.append(at)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values.filter(keep))
+    """For each row the names of its set flags, in their order."""
+    table = np.stack([f.to_numpy(zero_copy_only=False) for _, f in flags], axis=1)
+    offsets = np.concatenate([[0], np.cumsum(table.sum(axis=1))]).astype(np.int32)
+    names = pa.array([name for name, _ in flags], pa.string())
+    return pa.ListArray.from_arrays(pa.array(offsets), names.take(pa.array(np.nonzero(table)[1])))
 
 
 def _batch(ids: pa.Array, fmts: pa.Array, lines: pa.Array) -> Iterator[pa.RecordBatch]:
@@ -97,11 +90,11 @@ def _batch(ids: pa.Array, fmts: pa.Array, lines: pa.Array) -> Iterator[pa.Record
                 rows = rows.combine_chunks()
                 flags = [(f, pc.invert(pc.is_in(rows[f].combine_chunks(), pa.array(ok)))) for f, ok in ALLOWED.items()]
                 cols = [good_ids.take(rows["_row"].combine_chunks()), *[rows[f].combine_chunks() for f in FIELDS], _reasons(rows.num_rows, flags)]
-                yield pa.RecordBatch.from_arrays(cols, schema=_OUT)
+                yield pa.RecordBatch.from_arrays(cols, names=_NAMES)
         for which, reason in rejected:
             if n := len(which):
                 why = pa.ListArray.from_arrays(pa.array(range(n + 1), pa.int32()), pa.array([reason] * n, pa.string()))
-                yield pa.RecordBatch.from_arrays([which, *[pa.nulls(n, pa.string())] * len(FIELDS), why], schema=_OUT)
+                yield pa.RecordBatch.from_arrays([which, *[pa.nulls(n, pa.string())] * len(FIELDS), why], names=_NAMES)
 
 
 def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,16 +109,19 @@ def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start, size = i + 1, 0
 
 
-def parse_lines(df: DataFrame, key: str = "line_id", fmt: str = "fmt", line: str = "line") -> DataFrame:
+def parse_lines(df: DataFrame, key: str = "line_id", fmt: str = "fmt", line: str = "line", also: tuple[str, ...] = ()) -> DataFrame:
     """Every line of ``df`` once, split into its fields, with the list of reasons it fails for (empty: loaded).
 
     ``fmt`` names the separator: csv comma, ssv semicolon, tsv tab; any other or null value is read as csv. A null
     line is an empty line, which is one field (``column_count``). Reasons: ``quoting`` (then no other), else
     ``column_count``, else any of ``severity``, ``confidence`` and ``lane``. Fields are null where the line did not
-    split. Repeated rows stay repeated; other columns of ``df`` are left out, whatever their names. Texts of any
-    length are read whole. An empty table gives an empty result. Narrow: no shuffle.
+    split. Repeated rows stay repeated; the columns ``also`` are carried along, the others of ``df`` are left out,
+    whatever their names. Texts of any length are read whole. An empty table gives an empty result. Narrow: no shuffle.
     """
-    return df.select(F.col(key).cast("long").alias("line_id"), F.col(fmt).cast("string").alias("fmt"), F.col(line).cast("string").alias("line")).mapInArrow(_map, _SCHEMA)
+    k = F.struct(F.col(key).cast("long").alias("line_id"), *[F.col(c) for c in also])
+    rows = df.select(k.alias("key"), F.col(fmt).cast("string").alias("fmt"), F.col(line).cast("string").alias("line"))
+    parsed = rows.mapInArrow(_map, f"key {rows.schema['key'].dataType.simpleString()}, {_REST}")
+    return parsed.select("key.*", *FIELDS, "reasons")
 
 
 def rejected(parsed: DataFrame) -> DataFrame:

@@ -19,10 +19,9 @@ def p1_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, failed lines and failures by reason of each feed."""
-    lines = table(spark, sf_dir, "raw_lines")
-    why = rejects.parse_lines(lines).select("line_id", "reasons")
+    why = rejects.parse_lines(table(spark, sf_dir, "raw_lines"), also=("feed",))
     per = [F.count_if(F.array_contains("reasons", r)).alias(f"n_{r}") for r in ("quoting", "column_count", "severity", "confidence", "lane")]
-    return lines.select("line_id", "feed").join(why, "line_id").groupBy("feed").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.size("reasons") > 0).alias("n_failed"), *per)
+    return why.groupBy("feed").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.size("reasons") > 0).alias("n_failed"), *per)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
