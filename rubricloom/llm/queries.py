@@ -20,8 +20,8 @@ def _merge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.regexp_replace(F.col(c), _TRIM, "")
 
     m = table(spark, sf_dir, "merge_inputs")
-    trust = F.broadcast(table(spark, sf_dir, "producers").groupBy("producer").agg(F.max("trust").alias("trust")))
-    known = F.broadcast(table(spark, sf_dir, "criteria").select(F.col("criterion").alias("criterion_ok"), F.upper("criterion").alias("_key")).dropDuplicates(["_key"]))
+    trust = broadcast_if_small(table(spark, sf_dir, "producers").groupBy("producer").agg(F.max("trust").alias("trust")), 200_000)
+    known = broadcast_if_small(table(spark, sf_dir, "criteria").select(F.col("criterion").alias("criterion_ok"), F.upper("criterion").alias("_key")).dropDuplicates(["_key"]), 200_000)
     one_of = lambda c, ok: F.when(F.lower(clean(c)).isin(ok), F.lower(clean(c)))
     m = m.withColumn("finding_no", F.expr(r"try_cast(regexp_extract(finding_id, '([0-9]+)', 1) AS bigint)")).where("run_id IS NOT NULL AND finding_no IS NOT NULL")
     m = m.join(trust, "producer", "left").withColumn("_key", F.upper(clean("criterion"))).join(known, "_key", "left")
@@ -83,7 +83,7 @@ def _consensus(spark: SparkSession, sf_dir: str) -> consensus.Consensus:
     a = consensus.latest(table(spark, sf_dir, "annotations"), "item_id", "annotator_id", ["labelled_at", "received_at", "annotation_id"], _FIELDS)
     names = criteria.groupBy(key("criterion").alias("_c")).agg(F.min("criterion").alias("criterion_ok"))
     heads = sections.groupBy(key("heading").alias("_h")).agg(F.min("heading").alias("location_ok"))
-    a = a.withColumn("_c", key("criterion")).withColumn("_h", key("location")).join(F.broadcast(names), "_c", "left").join(broadcast_if_small(heads, 200_000), "_h", "left")
+    a = a.withColumn("_c", key("criterion")).withColumn("_h", key("location")).join(broadcast_if_small(names, 200_000), "_c", "left").join(broadcast_if_small(heads, 200_000), "_h", "left")
     stack = "stack(3, 'criterion', criterion_ok, 'severity', cast(severity AS string), 'location', location_ok) AS (field, label)"
     votes = a.selectExpr("item_id", "annotator_id", stack)
     items = a.select("item_id").distinct()
@@ -145,6 +145,9 @@ def _first(field: str) -> str:
     return f"arg_max({field}, {{'t': trust, 'r': received_at, 'i': -rec_id}}) FILTER ({field} IS NOT NULL)"
 
 
+_MULTI = r"""WITH w AS (SELECT row_id, regexp_extract_all(lower(concat_ws(chr(10), evidence, violation, fix)), '[a-z0-9]+') AS w FROM findings),
+e AS (SELECT row_id, x || ' ' || row_number() OVER (PARTITION BY row_id, x) AS x FROM (SELECT row_id, unnest(w) AS x FROM w)), n AS (SELECT row_id, count(*) AS n FROM e GROUP BY row_id)
+"""
 SQL = {
     "p2_found": _USABLE + f"SELECT run_id, finding_no, {_first('criterion_ok')} AS criterion, {_first('lane_ok')} AS lane, {_first('confidence_ok')} AS confidence FROM u GROUP BY run_id, finding_no HAVING count(*) >= 2",
     "p2_records": _USABLE + """, n AS (SELECT *, (criterion_ok IS NOT NULL)::INT + (lane_ok IS NOT NULL)::INT + (confidence_ok IS NOT NULL)::INT + (severity IS NOT NULL)::INT + (location_ok IS NOT NULL)::INT AS n_usable FROM u)

@@ -35,8 +35,8 @@ def best_fields(df: DataFrame, group: list[str], fields: dict[str, Column], rank
     order = [F.desc_nulls_last(f"_r{i}") if down else F.asc_nulls_last(f"_r{i}") for i, down in enumerate(rank.values())]
     wide = df.select(*keys, *ranks, F.posexplode(F.array(*[v.cast("string") for v in fields.values()])).alias("_field", "_value"))
     w = Window.partitionBy(*group, "_field").orderBy(F.col("_value").isNull(), *order)
-    top = wide.select(*group, "_field", "_value", F.row_number().over(w).alias("_rank")).where("_rank = 1")
-    top = top.groupBy(*group).agg(*[F.max(F.when(F.col("_field") == i, F.col("_value"))).alias(n) for i, n in enumerate(fields)])
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows).drop("_n")
-    same = [top[g].eqNullSafe(sizes[g]) for g in group]
-    return top.join(sizes, same, "left_semi")
+    # the first rows of one field tell whether the group is large enough, so one pass over the records does
+    top = wide.select(*group, "_field", "_value", F.row_number().over(w).alias("_rank")).where(F.col("_rank") <= max(min_rows, 1))
+    first = lambda i: F.max(F.when((F.col("_field") == i) & (F.col("_rank") == 1), F.col("_value")))
+    out = top.groupBy(*group).agg(*[first(i).alias(n) for i, n in enumerate(fields)], F.count_if(F.col("_field") == 0).alias("_n"))
+    return out.where(F.col("_n") >= min_rows).drop("_n")
