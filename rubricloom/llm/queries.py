@@ -146,12 +146,15 @@ def _first(field: str) -> str:
 
 
 _MULTI = r"""WITH w AS (SELECT row_id, regexp_extract_all(lower(concat_ws(chr(10), evidence, violation, fix)), '[a-z0-9]+') AS w FROM findings),
-e AS (SELECT row_id, x || ' ' || row_number() OVER (PARTITION BY row_id, x) AS x FROM (SELECT row_id, unnest(w) AS x FROM w)), n AS (SELECT row_id, count(*) AS n FROM e GROUP BY row_id)
+e AS (SELECT row_id, x || ' ' || row_number() OVER (PARTITION BY row_id, x) AS x FROM (SELECT row_id, unnest(w) AS x FROM w)), n AS (SELECT row_id, count(*) AS n FROM e GROUP BY row_id), f AS (SELECT x, count(*) AS k FROM e GROUP BY x),
+r AS (SELECT row_id, x, n, row_number() OVER (PARTITION BY row_id ORDER BY k, x) AS i FROM e JOIN f USING (x) JOIN n USING (row_id)),
+c AS (SELECT DISTINCT a.row_id AS a, b.row_id AS b FROM r a JOIN r b ON a.x = b.x AND a.row_id < b.row_id AND a.n * 100 >= 85 * b.n AND b.n * 100 >= 85 * a.n WHERE a.i <= a.n - ceil(0.85 * a.n) + 1 AND b.i <= b.n - ceil(0.85 * b.n) + 1)
 """
 SQL = {
     "p2_found": _USABLE + f"SELECT run_id, finding_no, {_first('criterion_ok')} AS criterion, {_first('lane_ok')} AS lane, {_first('confidence_ok')} AS confidence FROM u GROUP BY run_id, finding_no HAVING count(*) >= 2",
     "p2_records": _USABLE + """, n AS (SELECT *, (criterion_ok IS NOT NULL)::INT + (lane_ok IS NOT NULL)::INT + (confidence_ok IS NOT NULL)::INT + (severity IS NOT NULL)::INT + (location_ok IS NOT NULL)::INT AS n_usable FROM u)
 SELECT run_id, finding_no, rec_id, producer, n_usable FROM n QUALIFY row_number() OVER (PARTITION BY run_id, finding_no ORDER BY n_usable DESC, trust DESC NULLS LAST, received_at DESC NULLS LAST, rec_id) = 1""",
+    "p4_found": _MULTI + "SELECT a AS row_id_a, b AS row_id_b FROM c JOIN e x ON x.row_id = a JOIN e y ON y.row_id = b AND x.x = y.x JOIN n na ON na.row_id = a JOIN n nb ON nb.row_id = b GROUP BY a, b, na.n, nb.n HAVING count(*) * 100 >= 85 * greatest(na.n, nb.n)",
     "p8_found": r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
 dw AS (SELECT doc_id, list_aggregate(w[i:i + 13], 'string_agg', ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 12)) AS i FROM w)),
 ew AS (SELECT item_id, list_aggregate(w[i:i + 13], 'string_agg', ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 12)) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items)))
