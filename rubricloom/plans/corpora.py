@@ -127,6 +127,28 @@ def evals_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.lanes(table(spark, sf_dir, "criteria"), table(spark, sf_dir, "findings"))
 
 
+def evals_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as routing cases of their workspace: those of its commonest domain should trigger it."""
+    d = table(spark, sf_dir, "documents").where("workspace IS NOT NULL AND domain IS NOT NULL")
+    own = d.groupBy("workspace", "domain").agg(F.count(F.lit(1)).alias("n")).groupBy("workspace").agg(F.min_by("domain", F.struct(-F.col("n"), "domain")).alias("own_domain"))
+    return evals.triggers(d.join(own, "workspace").withColumn("expected", F.col("domain") == F.col("own_domain")), "workspace")
+
+
+def evals_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evals.long_quotes(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def evals_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evals.lengths(table(spark, sf_dir, "documents"), "doc_id", "text", 30)
+
+
+def evals_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against a generated copy in which one language is missing, another changed and one is new."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text", "lang")
+    made = d.where("lang IS DISTINCT FROM 'fr'").withColumn("text", F.when(F.col("lang") == "de", F.concat(F.coalesce("text", F.lit("")), F.lit("."))).otherwise(F.col("text")))
+    return evals.drift(d.where("lang IS DISTINCT FROM 'es'"), made).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
 def evals_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "artifacts").select("artifact_id", "domain")
     s = a.select("domain").distinct().withColumn("skill", F.concat(F.lit("critique-"), "domain"))
@@ -147,7 +169,7 @@ def text_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("section_id", T.normal_heading(F.col("heading")).alias("normal"), T.slug(F.col("heading")).alias("slug"))
 
 
-QUERIES = {"check_" + c.lower().replace("-", "_").replace(".", "_"): partial(_rule, criterion=c) for c in RULES} | {f.__name__: f for f in (places_html, places_items, check_nng_h3_deadend, check_nng_h4_control_naming, check_nng_h6_labeled, check_usability, usability_states, html_nodes, html_checks, html_labels, corpus_round_trip, corpus_verify, leak_descriptions, leak_paths, evals_examples, evals_modal, evals_lanes, evals_grid, evals_totals, evals_versions, text_normal)}
+QUERIES = {"check_" + c.lower().replace("-", "_").replace(".", "_"): partial(_rule, criterion=c) for c in RULES} | {f.__name__: f for f in (places_html, places_items, check_nng_h3_deadend, check_nng_h4_control_naming, check_nng_h6_labeled, check_usability, usability_states, html_nodes, html_checks, html_labels, corpus_round_trip, corpus_verify, leak_descriptions, leak_paths, evals_examples, evals_modal, evals_lanes, evals_grid, evals_triggers, evals_quotes, evals_lengths, evals_drift, evals_totals, evals_versions, text_normal)}
 
 _TAGS = r"""WITH p AS (SELECT doc_id, regexp_replace(text, '(?s)<!--.*?-->', '', 'g') AS t FROM documents WHERE ltrim(text) LIKE '<%'), g AS (SELECT doc_id, unnest(regexp_extract_all(t, '<[a-zA-Z][a-zA-Z0-9]*\b[^<>]*>')) AS x FROM p)"""
 SQL = {
@@ -188,3 +210,9 @@ e AS (SELECT doc_id, sec, heading, n, trim(l[n]) AS x, lower(trim(regexp_replace
 q AS (SELECT *, count(*) OVER w = count(*) FILTER (bare) OVER w AS every FROM e WINDOW w AS (PARTITION BY doc_id, sec))
 SELECT doc_id, 'NNG-H6-LABELED' AS criterion, CASE WHEN every THEN 3 ELSE 2 END AS severity, 'the ' || heading || ' list, item ' || n AS location, x AS evidence FROM q WHERE bare"""
 SQL["evals_examples"] = "WITH e AS (" + RECORDS["p6_examples"] + "), g AS (SELECT feed, count(*) FILTER (kind = 'golden') AS n_golden, count(*) FILTER (kind = 'anti') AS n_anti, count(*) FILTER (kind = 'golden' AND length(note) < 40) AS n_short_notes FROM e JOIN golden_records USING (record_id) GROUP BY feed) SELECT *, n_golden >= 3 AND n_anti >= 1 AND n_short_notes = 0 AS passes FROM g"
+SQL["evals_triggers"] = """WITH d AS (SELECT * FROM documents WHERE workspace IS NOT NULL AND domain IS NOT NULL), o AS (SELECT workspace, first(domain ORDER BY n DESC, domain) AS own FROM (SELECT workspace, domain, count(*) AS n FROM d GROUP BY ALL) GROUP BY workspace),
+g AS (SELECT workspace, count(*) AS n_cases, count(*) FILTER (domain = own) AS n_positive, count(*) FILTER (domain <> own) AS n_negative, count(*) FILTER (domain <> own) AS n_cross FROM d JOIN o USING (workspace) GROUP BY workspace)
+SELECT *, n_cases >= 20 AND n_positive >= 1 AND n_negative >= 3 AND n_cross >= 3 AS passes FROM g"""
+SQL["evals_quotes"] = r"""WITH s AS (SELECT doc_id, list_concat(regexp_extract_all(text, '“([^”\n]*)”', 1), regexp_extract_all(text, '"([^"\n]*)"', 1)) AS l FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, i - 1 AS "at", len(regexp_extract_all(l[i], '\S+')) AS n_words FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM s)) SELECT * FROM e WHERE n_words > 25"""
+SQL["evals_lengths"] = r"""WITH n AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(regexp_extract_all(regexp_replace(text, '\n\z', ''), '\n')) + 1 END AS n_lines FROM documents) SELECT doc_id, n_lines, n_lines <= 30 AS passes FROM n"""
+SQL["evals_drift"] = "SELECT CASE WHEN lang = 'fr' THEN 'untracked' WHEN lang = 'es' THEN 'missing' WHEN lang = 'de' THEN 'stale' ELSE 'same' END AS status, count(*) AS n FROM documents GROUP BY ALL"

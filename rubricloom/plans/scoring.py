@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubricloom.operators import resolve, score
+from rubricloom.operators import report, resolve, score
 from rubricloom.session import broadcast_if_small, checkpoint, table
 
 CELL = ["skill", "skill_version", "model", "domain"]
@@ -114,7 +114,30 @@ def items_stringlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.items(d, "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (claims_explode, claims_layout, claims_resolved, claims_truth, match_criterion, match_location, score_runs, score_results, score_lanes, consistency_pairs, consistency_results, variance_repetitions, variance_bands, report_verdicts, report_acceptance, items_stringlist)}
+def report_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lowest and highest recall and precision by place over the cells."""
+    e = score.pooled(_scores(spark, sf_dir), ["skill", "skill_version", "model"])
+    r = report.floor_strip(e, ["recall_location", "precision_location"], ["skill", "skill_version", "model"])
+    return r.select("metric", F.round("lowest", 6).alias("lowest"), "lowest_entry", F.round("highest", 6).alias("highest"), "highest_entry")
+
+
+def report_explorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.explorer(table(spark, sf_dir, "criteria"))
+
+
+def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the markdown table of all cells."""
+    e = score.pooled(_scores(spark, sf_dir), ["skill", "skill_version", "model"])
+    return report.table_lines(e, ["skill", "skill_version", "model", "artifact_runs", "recall_location", "precision_location"], ["skill", "skill_version", "model"])
+
+
+def variance_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms recomputed from the findings against those of a committed copy that lacks every fifth run."""
+    now = table(spark, sf_dir, "findings").groupBy("run_id").agg(F.count(F.lit(1)).alias("num"), F.count_if(F.col("severity") >= 3).alias("den"))
+    return report.guard(report.compare(now, now.where("run_id % 5 <> 0"), ["run_id"], ["num", "den"]))
+
+
+QUERIES = {f.__name__: f for f in (claims_explode, claims_layout, claims_resolved, claims_truth, match_criterion, match_location, score_runs, score_results, score_lanes, consistency_pairs, consistency_results, variance_repetitions, variance_bands, report_verdicts, report_acceptance, report_floor, report_explorer, report_table, variance_guard, items_stringlist)}
 
 
 def _norm(c: str) -> str:
@@ -224,3 +247,9 @@ SQL["items_stringlist"] = r"""WITH t AS (SELECT doc_id, ltrim(text) AS t FROM do
 e AS (SELECT doc_id, i - 1 AS index, l[i] AS x FROM (SELECT doc_id, CAST(j AS JSON[]) AS l, unnest(range(1, json_array_length(j)::BIGINT + 1)) AS i FROM a WHERE json_type(j) = 'ARRAY')),
 o AS (SELECT doc_id, i - 1 AS index, ks[i] AS key, json_extract_string(j, '$."' || ks[i] || '"') AS value FROM (SELECT doc_id, j, json_keys(j) AS ks, unnest(range(1, len(json_keys(j)) + 1)) AS i FROM a WHERE json_type(j) = 'OBJECT'))
 SELECT doc_id, index, CASE json_type(x) WHEN 'OBJECT' THEN x->>'$.key' WHEN 'ARRAY' THEN x->>'$[0]' END AS key, CASE json_type(x) WHEN 'OBJECT' THEN x->>'$.value' WHEN 'ARRAY' THEN x->>'$[1]' ELSE x->>'$' END AS value FROM e UNION ALL SELECT doc_id, index, key, value FROM o"""
+
+_CELLS = f", g AS ({_pool('skill, skill_version, model')}), e AS (SELECT *, concat_ws(' ', skill, skill_version, model) AS entry, matched_location / nullif(defects, 0) AS r, claims_matched_location / nullif(claims, 0) AS p FROM g)"
+SQL["report_floor"] = _SCORES + _CELLS + ", l AS (SELECT 'recall_location' AS metric, entry, r AS v FROM e WHERE r IS NOT NULL UNION ALL SELECT 'precision_location', entry, p FROM e WHERE p IS NOT NULL) SELECT metric, round(min(v), 6) AS lowest, first(entry ORDER BY v, entry) AS lowest_entry, round(max(v), 6) AS highest, first(entry ORDER BY v DESC, entry) AS highest_entry FROM l GROUP BY metric"
+SQL["report_explorer"] = "SELECT domain, usual_lane, count(DISTINCT criterion) AS n_criteria FROM criteria GROUP BY CUBE (domain, usual_lane)"
+SQL["report_table"] = _SCORES + _CELLS + " SELECT '| ' || concat_ws(' | ', skill, skill_version, model, artifact_runs, coalesce(printf('%.3f', r), 'n/a'), coalesce(printf('%.3f', p), 'n/a')) || ' |' AS line FROM e"
+SQL["variance_guard"] = "SELECT count(*) FILTER (run_id % 5 <> 0) AS n_same, 0 AS n_differs, count(*) FILTER (run_id % 5 = 0) AS n_unchecked, true AS reproduced FROM (SELECT DISTINCT run_id FROM findings)"

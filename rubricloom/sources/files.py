@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,36 @@ def frontmatter(text: Column) -> Column:
     return F.map_from_entries(F.transform(first, lambda p: F.struct(p["key"], p["value"])))
 
 
+#: Top folders whose runs are kept out of scores, and files that are results themselves.
+STEERING, RESULTS = ["steering"], ["results.json", "variance.json"]
+
+
+def scoring_view(df: DataFrame, path: str = "path") -> DataFrame:
+    """``df`` with ``scored``: whether a file counts in scores, by its top folder and its name."""
+    p = F.split(path, "/")
+    return df.withColumn("scored", ~(F.element_at(p, 1).isin(STEERING) & (F.size(p) > 1)) & ~F.element_at(p, -1).isin(RESULTS))
+
+
+def findings(doc: Column) -> Column:
+    """The findings of a JSON document, as an array of JSON texts: ``{"findings": [...]}`` or a bare list; else null."""
+    t = F.ltrim(doc)
+    bare = F.from_json(F.when(F.startswith(t, F.lit("[")), t), "array<string>")
+    return F.coalesce(bare, F.from_json(F.when(F.startswith(t, F.lit("{")), F.get_json_object(t, "$.findings")), "array<string>"))
+
+
+def components(doc: Column) -> Column:
+    """Names of the skills a registry lists under components.skills, as objects with a name or as bare names."""
+    each = F.from_json(F.get_json_object(doc, "$.components.skills"), "array<string>")
+    return F.filter(F.transform(each, lambda x: F.when(F.startswith(F.ltrim(x), F.lit("{")), F.get_json_object(x, "$.name")).otherwise(x)), lambda x: x.isNotNull())
+
+
+def write_text(text: str, path: str) -> None:
+    """One page in UTF-8: composed characters, LF line ends, one final line feed."""
+    t = unicodedata.normalize("NFC", text).replace("\r\n", "\n").replace("\r", "\n").rstrip("\n") + "\n"
+    with open(path, "wb") as f:
+        f.write(t.encode())
+
+
 def write_json(value: object, path: str) -> None:
     """One document: sorted keys, two blanks of indent, other scripts kept, a final line feed; never over a JSON file."""
     if os.path.exists(path):
