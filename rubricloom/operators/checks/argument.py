@@ -37,5 +37,5 @@ def claim_marker(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 def hedge_density(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """More than 0.35 of the sentences hedge; severity 3 above 0.50."""
     hedged = F.size(F.filter("sentences", lambda s: T.has(s, T.lexicon(L.HEDGES))))
-    d = _documents(df, key, text).withColumns({"h": hedged, "k": F.size("sentences")}).where("k > 0 AND h / k > 0.35")
-    return d.select("doc_id", F.lit("TOULMIN-HEDGE-DENSITY").alias("criterion"), F.when(F.expr("h / k > 0.5"), 3).otherwise(2).alias("severity"), "location", F.concat(F.col("h").cast("string"), F.lit(" of "), F.col("k").cast("string"), F.lit(" sentences hedge")).alias("evidence"))
+    d = _documents(df, key, text).withColumns({"h": hedged, "k": F.size("sentences")}).where("h > 0.35 * k")
+    return d.select("doc_id", F.lit("TOULMIN-HEDGE-DENSITY").alias("criterion"), F.when(F.expr("h > 0.5 * k"), 3).otherwise(2).alias("severity"), "location", F.concat(F.col("h").cast("string"), F.lit(" of "), F.col("k").cast("string"), F.lit(" sentences hedge")).alias("evidence"))

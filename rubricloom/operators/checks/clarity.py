@@ -55,7 +55,7 @@ def _measures(r: DataFrame) -> DataFrame:
     first = F.when(F.col("at") == 0, F.array_distinct(_content(F.col("s"))))
     rest = F.when(F.col("at") == 0, _content(F.array_join(F.slice("sentences", 2, F.size("sentences")), " ")))
     m3 = F.size("sentences") >= 3
-    alone = m3 & (F.size(first) > 0) & (F.size(F.array_intersect(first, rest)) / F.size(first) < 0.15)
+    alone = m3 & (F.size(first) > 0) & (F.try_divide(F.size(F.array_intersect(first, rest)), F.size(first)) < 0.15)
     left = F.length(F.substring_index(F.left("marks", F.col("n")), "T", -1))
     right = F.length(F.substring_index(F.expr("substring(marks, n)"), "T", 1))
     return r.withColumns({"alone": F.coalesce(alone, F.lit(False)), "k": F.when(F.col("at") == 0, T.words(F.col("text"))), "run": left + right - 1})
@@ -68,7 +68,7 @@ def _rules() -> dict[str, list[tuple[Column, Column, Column]]]:
 
     def dense(pattern: str, share: float) -> list[tuple[Column, Column, Column]]:
         hits = F.size(F.filter("sentences", lambda x: T.has(x, pattern)))
-        return [(T.has(s, pattern), hard((n_all >= 3) & (hits / n_all >= share)), s)]
+        return [(T.has(s, pattern), hard((n_all >= 3) & (F.try_divide(hits, n_all) >= share)), s)]
 
     wordy, jargon = T.lexicon(L.WORDY), T.lexicon(L.JARGON)
     defined = lambda x, next_: reduce(lambda a, b: a | b, [F.contains(F.lower(F.concat_ws(" ", x, next_)), F.lit(d)) for d in L.DEFINITIONS]) | F.contains(x, F.lit("("))

@@ -43,6 +43,39 @@ def location(heading: str = "heading", n: str = "n"):
     return F.when(F.coalesce(F.col(heading), F.lit("")) != "", F.concat(F.col(heading), F.lit(", "), where)).otherwise(where)
 
 
+def heading_paths(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, at (from 0), level, heading and path (the headings above it, outermost first, and itself) of each heading.
+
+    A heading above is one with no heading of its own or a higher level between; read off the row's array of headings.
+    """
+    h = F.regexp_extract_all(T.unix_lines(F.col(text)), F.lit(HEADING), 1)
+    hs = F.transform(h, lambda x: F.struct(F.length(F.regexp_extract(x, "^#+", 0)).alias("level"), T.strip(F.regexp_extract(x, r"^#{1,6}[ \t]+([^\n]*)", 1)).alias("title")))
+    d = df.select(F.col(key).alias("doc_id"), hs.alias("h")).select("doc_id", "h", F.posexplode("h").alias("at", "x"))
+    above = F.filter(F.transform(F.slice("h", 1, F.col("at")), lambda y, j: F.when(~F.exists(F.slice("h", j + 2, F.col("at") - j), lambda z: z["level"] <= y["level"]), y["title"])), lambda t: t.isNotNull())
+    return d.select("doc_id", "at", F.col("x.level").alias("level"), F.col("x.title").alias("heading"), F.concat(above, F.array("x.title")).alias("path"))
+
+
+def pipe_tables(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, row (from 0 over the page) and cells of each line between pipes; rules of dashes are left out."""
+    lines = F.regexp_extract_all(T.unix_lines(F.col(text)), F.lit(r"(?m)^[^\S\n]*(\|[^\n]*\|)[^\S\n]*$"), 1)
+    rows = F.filter(lines, lambda x: ~F.rlike(x, F.lit(r"^\|[\s:|-]*\|\z")))
+    cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|\z", ""), r"(?<!\\)\|"), T.strip)
+    return df.select(F.col(key).alias("doc_id"), F.posexplode(rows).alias("row", "line")).select("doc_id", "row", cells.alias("cells"))
+
+
+def section_texts(df: DataFrame, title: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The text under each heading that reads ``title`` (ignoring case), up to the next one of its own or a higher level."""
+    t = F.concat(F.lit("\n"), T.unix_lines(F.col(text)))
+    parts = F.split(F.regexp_replace(t, r"\n(#{1,6}[ \t]+[^\n]*)", "\x01$1"), "\x01")
+    level = lambda x: F.length(F.regexp_extract(x, "^(#{1,6})[ \t]", 1))
+    d = df.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.slice(parts, 2, F.size(parts)).alias("p")).select("doc_id", "p", F.posexplode("p").alias("at", "x"))
+    d = d.where(T.normal_loose(F.regexp_extract("x", r"^#{1,6}[ \t]+([^\n]*)", 1)) == title.lower())
+    later = F.slice("p", F.col("at") + 2, F.size("p"))
+    end = F.coalesce(F.array_min(F.filter(F.transform(later, lambda y, j: F.when(level(y) <= level(F.col("x")), j)), lambda j: j.isNotNull())), F.size(later))
+    body = F.concat(F.regexp_replace("x", r"^[^\n]*", ""), F.array_join(F.transform(F.slice(later, 1, end), lambda y: F.concat(F.lit("\n"), y)), ""))
+    return d.select("doc_id", "at", T.strip(body).alias("body"))
+
+
 _FENCE = r" {0,3}(?:```|~~~)"
 _LINE = r"[^\S\n]*\S[^\n]*"
 #: A fenced block up to its closing fence (any fence line, or the end of the text), else a run of lines that are not blank.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rubricloom.functions import text as T
-from rubricloom.operators import prose
+from rubricloom.operators import lanes, prose
 from rubricloom.operators.checks import argument, clarity, toy
 from rubricloom.operators.checks import lexicons as L
 from rubricloom.session import table
@@ -45,6 +45,23 @@ def blocks_normative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.blocks(table(spark, sf_dir, "documents")).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("n_lines").alias("n_lines"))
 
 
+def blocks_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path of headings to each heading."""
+    h = prose.heading_paths(table(spark, sf_dir, "documents"))
+    return h.select("doc_id", "at", "level", F.array_join("path", " > ").alias("path"))
+
+
+def blocks_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = prose.pipe_tables(table(spark, sf_dir, "documents"))
+    return t.select("doc_id", "row", F.size("cells").alias("n_cells"), F.array_join("cells", "|").alias("cells"))
+
+
+def lane_scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emitted findings of the argument skill's scripted lane."""
+    e = lanes.envelopes(table(spark, sf_dir, "documents"), "critique-argument")
+    return e.select("doc_id", "id", "criterion", "severity", "lane", "confidence", "suppressed_count")
+
+
 def check_toy_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toy.first_sentences(table(spark, sf_dir, "documents"))
 
@@ -58,7 +75,7 @@ def check_clarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clarity.check(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {_name(c): partial(_clarity, criterion=c) for c in clarity.CRITERIA} | {f.__name__: f for f in (check_clarity, check_toulmin_claim_marker, check_toulmin_hedge_density, blocks_sections, blocks_paragraphs, blocks_normative, check_toy_first, check_toy_orphan)}
+QUERIES = {_name(c): partial(_clarity, criterion=c) for c in clarity.CRITERIA} | {f.__name__: f for f in (check_clarity, check_toulmin_claim_marker, check_toulmin_hedge_density, blocks_sections, blocks_paragraphs, blocks_normative, blocks_paths, blocks_tables, lane_scripted, check_toy_first, check_toy_orphan)}
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 BLOCKS = r"""WITH t AS (SELECT doc_id, regexp_replace(text, '\r\n?|[\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]', chr(10), 'g') AS u, text FROM documents WHERE text IS NOT NULL),
@@ -148,3 +165,8 @@ SQL["check_toy_orphan"] = BLOCKS + r""", w AS (SELECT *, len(regexp_extract_all(
 SELECT doc_id, sec, 'TOY-ORPHAN' AS criterion, 3 AS severity, 'the ' || heading || ' heading' AS location FROM w x WHERE level > 1 AND (SELECT sum(k) FROM w y WHERE y.doc_id = x.doc_id AND y.sec >= x.sec AND y.sec < coalesce((SELECT min(z.sec) FROM w z WHERE z.doc_id = x.doc_id AND z.sec > x.sec AND z.level <= x.level), 1000000000)) = 0"""
 _ALL = "doc_id, sec, n, criterion, severity, location, evidence"
 SQL["check_clarity"] = " UNION ALL ".join(f"SELECT {_ALL} FROM ({SQL[_name(c)]})" for c in clarity.CRITERIA)
+SQL["blocks_paths"] = BLOCKS + """, h AS (SELECT doc_id, level, heading, row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS i FROM secs WHERE heading IS NOT NULL)
+SELECT doc_id, i AS "at", level, (SELECT string_agg(a.heading, ' > ' ORDER BY a.i) FROM h a WHERE a.doc_id = x.doc_id AND a.i <= x.i AND NOT EXISTS (SELECT 1 FROM h z WHERE z.doc_id = x.doc_id AND z.i > a.i AND z.i <= x.i AND z.level <= a.level)) AS path FROM h x"""
+SQL["blocks_tables"] = r"""WITH l AS (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(text, '\r\n?', chr(10), 'g'), '(?m)^[ \t\f\r]*(\|[^\n]*\|)[ \t\f\r]*$', 1), lambda x: NOT regexp_full_match(x, '\|[\s:|-]*\|')) AS l FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, i - 1 AS row, [trim(x) FOR x IN string_split(l[i][2:-2], '|')] AS c FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM l)) SELECT doc_id, row, len(c) AS n_cells, array_to_string(c, '|') AS cells FROM r"""
+SQL["lane_scripted"] = "WITH f AS (SELECT doc_id, criterion, severity, evidence FROM (" + SQL["check_toulmin_claim_marker"] + ") UNION ALL SELECT doc_id, criterion, severity, evidence FROM (" + SQL["check_toulmin_hedge_density"] + ")) SELECT doc_id, 'F-' || lpad((row_number() OVER (PARTITION BY doc_id ORDER BY severity DESC, criterion, evidence))::VARCHAR, 3, '0') AS id, criterion, severity, 'scripted' AS lane, 'high' AS confidence, 0 AS suppressed_count FROM f"

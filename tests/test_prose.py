@@ -1,8 +1,8 @@
 from pyspark.sql import functions as F
 
 from rubricloom.functions import text as T
-from rubricloom.operators import prose
-from rubricloom.operators.checks import argument, clarity
+from rubricloom.operators import lanes, prose
+from rubricloom.operators.checks import argument, clarity, microcopy
 
 
 def docs(spark, *texts):
@@ -77,3 +77,34 @@ def test_toy(spark):
     d = docs(spark, "# A\n\n## B\n\nIt is filed. ok\n\n# C\n\n## D\n\n# E\n\nIt may possibly be the case that so.")
     assert sorted((r.criterion, r.location) for r in toy.first_sentences(d).collect()) == [("TOY-ACTIVE", "B, paragraph 1, first sentence"), ("TOY-HEDGE", "E, paragraph 2, first sentence")]
     assert sorted((r.location, r.severity) for r in toy.orphans(d).collect()) == [("the D heading", 3)]
+
+
+def test_rules_that_the_tables_lack(spark):
+    assert fired(spark, "PLAIN-CONCISE", "Wait in order to go. We left due to the fact that a number of us ran.") == [(0, 3, "paragraph 1")] * 2
+    assert fired(spark, "PLAIN-NOMINALIZATION", "We make a decision on it. It rains.") == [(0, 2, "paragraph 1")]
+    m = microcopy.check(docs(spark, "You failed to sign again. Add a name."))
+    assert ("NNG-EM-NEUTRAL-TONE", 3) in {(r.criterion, r.severity) for r in m.collect()}
+
+
+def test_paths_tables_and_sections(spark):
+    d = docs(spark, "# A\n\nx\n\n### B\n\n## C\n\n| a | b |\n|---|:-:|\n| 1 \\| 2 | |\n\n### D\n\ny\n\n## c\n\nz")
+    assert [r.path for r in prose.heading_paths(d).orderBy("at").collect()] == [["A"], ["A", "B"], ["A", "C"], ["A", "C", "D"], ["A", "c"]]
+    assert [r.cells for r in prose.pipe_tables(d).orderBy("row").collect()] == [["a", "b"], ["1 \\| 2", ""]]
+    got = [r.body for r in prose.section_texts(d, "C").orderBy("at").collect()]
+    assert got[0].endswith("### D\n\ny") and got[1] == "z"
+
+
+def test_lanes(spark):
+    import pytest
+
+    d = docs(spark, "The form was signed by it.", None)
+    got = lanes.envelopes(d, "critique-clarity").collect()
+    assert {(r.id, r.criterion, r.lane, r.confidence) for r in got} == {("F-001", "PLAIN-ACTIVE", "scripted", "high")}
+    for skill in lanes.SKILLS:
+        assert lanes.run_checks(d, skill).columns == ["doc_id", "criterion", "severity", "location", "evidence", "lane", "confidence"]
+    with pytest.raises(ValueError):
+        lanes.run_checks(d, "critique-nothing")
+    e = spark.createDataFrame([(1, ("claimed", "m"))], "run_id int, run struct<skill:string,model:string>")
+    from pyspark.sql import functions as F
+
+    assert lanes.own_run(e, {"skill": F.lit("known")}).first().run == ("known", "m")
