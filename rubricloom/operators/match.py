@@ -6,10 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def taken(candidates: Column, pair: str) -> Column:
-    """The (l, r) pairs taken from sorted candidates when each side may be used once; ``pair`` is the type of a pair."""
-    one = lambda x: F.struct(x["l"].alias("l"), x["r"].alias("r"))
-    return F.aggregate(candidates, F.array().cast(f"array<{pair}>"), lambda s, x: F.when(F.exists(s, lambda y: (y["l"] == x["l"]) | (y["r"] == x["r"])), s).otherwise(F.array_append(s, one(x))))
+def taken(candidates: Column, left: str, right: str) -> Column:
+    """The (l, r) pairs taken from sorted candidates when each side may be used once; ``left`` and ``right`` are the types.
+
+    The fold keeps the used ones of each side, so a candidate costs two look-ups in native arrays.
+    """
+    none = F.struct(F.array().cast(f"array<{left}>").alias("ls"), F.array().cast(f"array<{right}>").alias("rs"))
+    used = lambda s, x: F.array_contains(s["ls"], x["l"]) | F.array_contains(s["rs"], x["r"])
+    more = lambda s, x: F.struct(F.array_append(s["ls"], x["l"]).alias("ls"), F.array_append(s["rs"], x["r"]).alias("rs"))
+    pairs = lambda s: F.zip_with(s["ls"], s["rs"], lambda l, r: F.struct(l.alias("l"), r.alias("r")))
+    return F.aggregate(candidates, none, lambda s, x: F.when(used(s, x), s).otherwise(more(s, x)), pairs)
 
 
 def greedy(df: DataFrame, group: list[str], left: Column, right: Column, order: list[Column]) -> DataFrame:
@@ -22,7 +28,7 @@ def greedy(df: DataFrame, group: list[str], left: Column, right: Column, order:
     flat = df.select(*group, F.struct(*keys, left.alias("l"), right.alias("r")).alias("_x"))
     kinds = {f.name: f.dataType.simpleString() for f in flat.schema["_x"].dataType.fields}
     g = flat.groupBy(*group).agg(F.array_sort(F.collect_list("_x")).alias("_c"))
-    return g.select(*group, F.inline(taken(F.col("_c"), f"struct<l:{kinds['l']},r:{kinds['r']}>")))
+    return g.select(*group, F.inline(taken(F.col("_c"), kinds["l"], kinds["r"])))
 
 
 def jaccard(matched: Column, a: Column, b: Column) -> Column:

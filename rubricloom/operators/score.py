@@ -65,10 +65,10 @@ def scores(runs: DataFrame, claims: DataFrame, truths: DataFrame, lane: bool = F
     d = truths.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n_defects"))
     c = candidates(claims, truths).select(*group, "same", F.struct("criterion", *_ORDER, F.col("cid").alias("l"), F.col("defect_id").alias("r")).alias("x"))
     kinds = {f.name: f.dataType.simpleString() for f in c.schema["x"].dataType.fields}
-    pair = f"struct<l:{kinds['l']},r:{kinds['r']}>"
+    n_taken = lambda c: F.size(match.taken(F.col(c), kinds["l"], kinds["r"]))
     by = F.array_sort(F.collect_list(F.when(F.col("same"), F.col("x"))))
     place = F.array_sort(F.collect_list(F.col("x").dropFields("criterion")))
-    m = c.groupBy(*group).agg(by.alias("by"), place.alias("place")).select(*group, F.size(match.taken(F.col("by"), pair)).alias("n_matched"), F.size(match.taken(F.col("place"), pair)).alias("n_matched_location"))
+    m = c.groupBy(*group).agg(by.alias("by"), place.alias("place")).select(*group, n_taken("by").alias("n_matched"), n_taken("place").alias("n_matched_location"))
     if lane:
         runs = runs.withColumn("lane", F.explode(F.array(F.lit("scripted"), F.lit("judged"))))
     out = runs.join(n, group, "left").join(m, group, "left").join(d, "artifact_id", "left")

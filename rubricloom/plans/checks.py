@@ -11,11 +11,15 @@ from rubricloom.functions import text as T
 from rubricloom.operators import lanes, prose
 from rubricloom.operators.checks import argument, clarity, toy
 from rubricloom.operators.checks import lexicons as L
-from rubricloom.session import table
+from rubricloom.session import spread, table
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def _clarity(spark: SparkSession, sf_dir: str, criterion: str) -> DataFrame:
-    return clarity.run(table(spark, sf_dir, "documents"), criterion)
+    return clarity.run(_documents(spark, sf_dir), criterion)
 
 
 def _name(criterion: str) -> str:
@@ -23,56 +27,56 @@ def _name(criterion: str) -> str:
 
 
 def check_toulmin_claim_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return argument.claim_marker(table(spark, sf_dir, "documents"))
+    return argument.claim_marker(_documents(spark, sf_dir))
 
 
 def check_toulmin_hedge_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return argument.hedge_density(table(spark, sf_dir, "documents"))
+    return argument.hedge_density(_documents(spark, sf_dir))
 
 
 def blocks_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = prose.sections(table(spark, sf_dir, "documents"))
+    s = prose.sections(_documents(spark, sf_dir))
     return s.select("doc_id", "sec", "level", "heading", T.words(F.col("body")).alias("n_words"))
 
 
 def blocks_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = prose.paragraphs(table(spark, sf_dir, "documents"))
+    p = prose.paragraphs(_documents(spark, sf_dir))
     return p.select("doc_id", "sec", "heading", "n", "text", F.size("sentences").alias("n_sentences"))
 
 
 def blocks_normative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of the scoring grammar by document and kind."""
-    return prose.blocks(table(spark, sf_dir, "documents")).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("n_lines").alias("n_lines"))
+    return prose.blocks(_documents(spark, sf_dir)).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("n_lines").alias("n_lines"))
 
 
 def blocks_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path of headings to each heading."""
-    h = prose.heading_paths(table(spark, sf_dir, "documents"))
+    h = prose.heading_paths(_documents(spark, sf_dir))
     return h.select("doc_id", "at", "level", F.array_join("path", " > ").alias("path"))
 
 
 def blocks_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = prose.pipe_tables(table(spark, sf_dir, "documents"))
+    t = prose.pipe_tables(_documents(spark, sf_dir))
     return t.select("doc_id", "row", F.size("cells").alias("n_cells"), F.array_join("cells", "|").alias("cells"))
 
 
 def lane_scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emitted findings of the argument skill's scripted lane."""
-    e = lanes.envelopes(table(spark, sf_dir, "documents"), "critique-argument")
+    e = lanes.envelopes(_documents(spark, sf_dir), "critique-argument")
     return e.select("doc_id", "id", "criterion", "severity", "lane", "confidence", "suppressed_count")
 
 
 def check_toy_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toy.first_sentences(table(spark, sf_dir, "documents"))
+    return toy.first_sentences(_documents(spark, sf_dir))
 
 
 def check_toy_orphan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toy.orphans(table(spark, sf_dir, "documents"))
+    return toy.orphans(_documents(spark, sf_dir))
 
 
 def check_clarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fifteen clarity rules from one parse."""
-    return clarity.check(table(spark, sf_dir, "documents"))
+    return clarity.check(_documents(spark, sf_dir))
 
 
 QUERIES = {_name(c): partial(_clarity, criterion=c) for c in clarity.CRITERIA} | {f.__name__: f for f in (check_clarity, check_toulmin_claim_marker, check_toulmin_hedge_density, blocks_sections, blocks_paragraphs, blocks_normative, blocks_paths, blocks_tables, lane_scripted, check_toy_first, check_toy_orphan)}

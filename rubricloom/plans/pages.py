@@ -8,34 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rubricloom.functions import text as T
 from rubricloom.operators.checks import docs, microcopy
-from rubricloom.plans.checks import BLOCKS, _q
-from rubricloom.session import table
+from rubricloom.plans.checks import BLOCKS, _documents, _q
 
 
 def _microcopy(spark: SparkSession, sf_dir: str, criterion: str) -> DataFrame:
-    return microcopy.run(microcopy.messages(table(spark, sf_dir, "documents")), criterion)
+    return microcopy.run(microcopy.messages(_documents(spark, sf_dir)), criterion)
 
 
 def blocks_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = microcopy.messages(table(spark, sf_dir, "documents")).where("annotated")
+    m = microcopy.messages(_documents(spark, sf_dir)).where("annotated")
     return m.select("doc_id", "sec", "heading", "n", "text", "signal", "fires", "suggested_fix", "total")
 
 
 def check_diataxis_heading_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs.heading_depth(table(spark, sf_dir, "documents"))
+    return docs.heading_depth(_documents(spark, sf_dir))
 
 
 def check_diataxis_nav_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs.nav_length(table(spark, sf_dir, "documents"))
+    return docs.nav_length(_documents(spark, sf_dir))
 
 
 def check_diataxis_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs.mode(table(spark, sf_dir, "documents"))
+    return docs.mode(_documents(spark, sf_dir))
 
 
 def check_microcopy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All six microcopy rules from one reading of the messages."""
-    return microcopy.check(table(spark, sf_dir, "documents"))
+    return microcopy.check(_documents(spark, sf_dir))
 
 
 QUERIES = {"check_" + c.lower().replace("-", "_"): partial(_microcopy, criterion=c) for c in microcopy.CRITERIA} | {f.__name__: f for f in (check_microcopy, blocks_messages, check_diataxis_heading_depth, check_diataxis_nav_length, check_diataxis_mode)}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rubricloom.operators import report, resolve, score
-from rubricloom.session import broadcast_if_small, checkpoint, table
+from rubricloom.session import broadcast_if_small, checkpoint, spread, table
 
 CELL = ["skill", "skill_version", "model", "domain"]
 
@@ -17,7 +17,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _claims(spark: SparkSession, sf_dir: str, lay: DataFrame | None = None) -> DataFrame:
-    return score.resolved_claims(table(spark, sf_dir, "findings"), resolve.laid_out(table(spark, sf_dir, "sections")) if lay is None else lay)
+    return score.resolved_claims(spread(table(spark, sf_dir, "findings"), "row_id"), resolve.laid_out(table(spark, sf_dir, "sections")) if lay is None else lay)
 
 
 def _truth(spark: SparkSession, sf_dir: str, lay: DataFrame | None = None) -> DataFrame:
