@@ -216,3 +216,4 @@ SELECT *, n_cases >= 20 AND n_positive >= 1 AND n_negative >= 3 AND n_cross >= 3
 SQL["evals_quotes"] = r"""WITH s AS (SELECT doc_id, list_concat(regexp_extract_all(text, '“([^”\n]*)”', 1), regexp_extract_all(text, '"([^"\n]*)"', 1)) AS l FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, i - 1 AS "at", len(regexp_extract_all(l[i], '\S+')) AS n_words FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM s)) SELECT * FROM e WHERE n_words > 25"""
 SQL["evals_lengths"] = r"""WITH n AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(regexp_extract_all(regexp_replace(text, '\n\z', ''), '\n')) + 1 END AS n_lines FROM documents) SELECT doc_id, n_lines, n_lines <= 30 AS passes FROM n"""
 SQL["evals_drift"] = "SELECT CASE WHEN lang = 'fr' THEN 'untracked' WHEN lang = 'es' THEN 'missing' WHEN lang = 'de' THEN 'stale' ELSE 'same' END AS status, count(*) AS n FROM documents GROUP BY ALL"
+SQL["check_usability"] = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT * FROM ({SQL[c]})" for c in ("check_nng_h3_deadend", "check_nng_h4_control_naming", "check_nng_h6_labeled")) + ") WHERE doc_id IN (SELECT doc_id FROM documents WHERE NOT starts_with(ltrim(text), '<'))"
