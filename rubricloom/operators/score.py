@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rubricloom.operators import match, resolve
+from rubricloom.operators import match, pairs, resolve
 
 METRICS = ["recall", "precision", "recall_location", "precision_location"]
 CELL = ["skill", "skill_version", "model"]
@@ -90,29 +90,18 @@ def pooled(scores_: DataFrame, cell: list[str]) -> DataFrame:
 
 def run_pairs(claims: DataFrame, runs: DataFrame, cell: list[str]) -> DataFrame:
     """Each unordered pair of runs of one cell and artifact, with tolerant and exact Jaccard similarity of their claims."""
-    r = runs.select("run_id", "artifact_id", *cell)
-    a, b = r.select([F.col(x).alias(f"{x}_a") for x in r.columns]), r.select([F.col(x).alias(f"{x}_b") for x in r.columns])
-    same = (a["artifact_id_a"] == b["artifact_id_b"]) & (a["run_id_a"] < b["run_id_b"])
-    for x in cell:
-        same = same & a[f"{x}_a"].eqNullSafe(b[f"{x}_b"])
-    pairs = a.join(b, same).select("run_id_a", "run_id_b", F.col("artifact_id_a").alias("artifact_id"), *[F.col(f"{x}_a").alias(x) for x in cell])
-    part = F.struct("exact", "lo", "hi", "title", "resolvable", "canonical", "criterion", "cid")
-    ca = claims.select(F.col("run_id").alias("run_id_a"), part.alias("a"), F.col("criterion").alias("_c"))
-    cb = claims.select(F.col("run_id").alias("run_id_b"), part.alias("b"), F.col("criterion").alias("_d"))
-    cand = pairs.join(ca, "run_id_a").join(cb, (pairs["run_id_b"] == cb["run_id_b"]) & (ca["_c"] == cb["_d"])).drop(cb["run_id_b"]).where(resolve.self_match())
-    cand = cand.select("run_id_a", "run_id_b", F.col("a.criterion").alias("criterion"), F.least("a.canonical", "b.canonical").alias("k1"), F.greatest("a.canonical", "b.canonical").alias("k2"), F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b"))
-    m = match.greedy(cand, ["run_id_a", "run_id_b"], F.col("cid_a"), F.col("cid_b"), [F.col("criterion"), F.col("k1"), F.col("k2")]).groupBy("run_id_a", "run_id_b").agg(F.count(F.lit(1)).alias("m"))
-    own = claims.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.concat_ws("\x01", "criterion", "canonical")).alias("s"))
-    j = pairs.join(m, ["run_id_a", "run_id_b"], "left").join(own.withColumnsRenamed({"run_id": "run_id_a", "n": "n_a", "s": "s_a"}), "run_id_a", "left").join(own.withColumnsRenamed({"run_id": "run_id_b", "n": "n_b", "s": "s_b"}), "run_id_b", "left")
-    zero, none = lambda c: F.coalesce(c, F.lit(0)), lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    inter, union = F.size(F.array_intersect(none("s_a"), none("s_b"))), F.size(F.array_union(none("s_a"), none("s_b")))
-    return j.select(*cell, "artifact_id", "run_id_a", "run_id_b", match.jaccard(zero("m"), zero("n_a"), zero("n_b")).alias("tolerant"), F.when(union == 0, 1.0).otherwise(inter / union).alias("exact"))
-
-
-def consistency(pairs: DataFrame, cell: list[str]) -> DataFrame:
-    """Mean similarity of the pairs of each artifact, then the equal-weight mean over artifacts."""
-    a = pairs.groupBy(*cell, "artifact_id").agg(F.avg("tolerant").alias("t"), F.avg("exact").alias("e"), F.count(F.lit(1)).alias("k"))
-    return a.groupBy(*cell).agg(F.avg("t").alias("consistency"), F.avg("e").alias("consistency_exact"), F.count(F.lit(1)).alias("artifacts_with_pairs"), F.sum("k").alias("total_pairs"))
+    u = pairs.units(claims, runs, cell)
+    return u.groupBy("of", "i", "j").applyInArrow(pairs.compared(cell, False), "run_id_a bigint, run_id_b bigint, tolerant double, exact double")
+
+
+def consistency(claims: DataFrame, runs: DataFrame, cell: list[str]) -> DataFrame:
+    """Mean similarity of the pairs of each artifact, then the equal-weight mean over artifacts; pairs are summed where
+    they are compared."""
+    kinds = dict(runs.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*cell, "artifact_id"]) + ", tolerant double, exact double, pairs bigint"
+    g = pairs.units(claims, runs, cell).groupBy("of", "i", "j").applyInArrow(pairs.compared(cell, True), schema)
+    a = g.groupBy(*cell, "artifact_id").agg(F.sum("pairs").alias("k"), *[(F.sum(c) / F.sum("pairs")).alias(c) for c in ("tolerant", "exact")])
+    return a.groupBy(*cell).agg(F.avg("tolerant").alias("consistency"), F.avg("exact").alias("consistency_exact"), F.count(F.lit(1)).alias("artifacts_with_pairs"), F.sum("k").alias("total_pairs"))
 
 
 def repetitions(scores_: DataFrame, cell: list[str], rep: str = "rep") -> DataFrame:

@@ -75,11 +75,11 @@ def score_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consistency_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.run_pairs(_both(spark, sf_dir)[0], _runs(spark, sf_dir), CELL).select("run_id_a", "run_id_b", F.round("tolerant", 6).alias("tolerant"), F.round("exact", 6).alias("exact"))
+    return score.run_pairs(_claims(spark, sf_dir), _runs(spark, sf_dir), CELL).select("run_id_a", "run_id_b", F.round("tolerant", 6).alias("tolerant"), F.round("exact", 6).alias("exact"))
 
 
 def consistency_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = score.consistency(score.run_pairs(_both(spark, sf_dir)[0], _runs(spark, sf_dir), CELL), CELL)
+    c = score.consistency(_claims(spark, sf_dir), _runs(spark, sf_dir), CELL)
     return c.select(*CELL, F.round("consistency", 6).alias("consistency"), F.round("consistency_exact", 6).alias("consistency_exact"), "artifacts_with_pairs", "total_pairs")
 
 

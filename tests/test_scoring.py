@@ -93,3 +93,45 @@ def test_items(spark):
     df = spark.createDataFrame([(1, '["a", "b"]'), (2, '[{"key": "k", "value": "v"}]'), (3, '[["k", "v"]]'), (4, '{"z": "1", "a": "2"}'), (5, "text"), (6, None)], "doc_id int, text string")
     got = [tuple(r) for r in resolve.items(df, "doc_id", "text").orderBy("doc_id", "index").collect()]
     assert got == [(1, 0, None, "a"), (1, 1, None, "b"), (2, 0, "k", "v"), (3, 0, "k", "v"), (4, 0, "z", "1"), (4, 1, "a", "2")]
+
+
+def test_pairs_of_runs_by_blocks_against_brute_force(spark, monkeypatch):
+    from rubricloom.operators import pairs
+
+    rng = random.Random(11)
+    runs = [(i, 1 + (i % 5 == 4), "s", rng.choice([None, "v"])) for i in range(40)] + [(99, None, "s", "v")]
+    claims = []
+    for row in range(300):
+        ok, at = rng.random() < 0.7, rng.randint(1, 5)
+        exact = at if ok and rng.random() < 0.6 else None
+        title = rng.choice(["a", "b"]) if ok and exact is None else None
+        claims.append((rng.randint(0, 37), row // 2, row % 2, rng.choice(["A", "B", None]), str(exact) if exact else f"H:{title}" if ok else rng.choice(["?:x", "?:é"]), exact, at - 1 if ok else None, at + 1 if ok else None, title, ok))
+    c = spark.createDataFrame(claims, "run_id long, row_id long, claim int, criterion string, canonical string, exact int, lo int, hi int, title string, resolvable boolean")
+    r = spark.createDataFrame(runs, "run_id long, artifact_id long, skill string, skill_version string")
+    inside = lambda x, y: x[5] is not None and y[6] is not None and y[6] <= x[5] <= y[7]
+    meet = lambda x, y: x[3] is not None and x[3] == y[3] and (inside(x, y) or inside(y, x) or x[8] is not None and x[8] == y[8] or not x[9] and not y[9] and x[4] == y[4])
+    want = {}
+    for a in runs:
+        for b in runs:
+            if a[0] < b[0] and a[1:] == b[1:] and a[1] is not None:
+                ca, cb = [x for x in claims if x[0] == a[0]], [x for x in claims if x[0] == b[0]]
+                m, used_a, used_b = 0, set(), set()
+                for _, i, j in sorted(((x[3], *sorted((x[4].encode(), y[4].encode()))), x[1:3], y[1:3]) for x in ca for y in cb if meet(x, y)):
+                    if i not in used_a and j not in used_b:
+                        used_a.add(i), used_b.add(j)
+                        m += 1
+                sa, sb = ({"\x01".join(k for k in x[3:5] if k is not None) for x in z} for z in (ca, cb))
+                want[a[0], b[0]] = (round(m / (len(ca) + len(cb) - m), 9) if ca or cb else 1.0, round(len(sa & sb) / len(sa | sb), 9) if sa or sb else 1.0, *a[1:])
+    for block, step in ((512, 1_000_000), (4, 7)):
+        monkeypatch.setattr(pairs, "BLOCK", block)
+        monkeypatch.setattr(pairs, "STEP", step)
+        got = {(x.run_id_a, x.run_id_b): (round(x.tolerant, 9), round(x.exact, 9)) for x in score.run_pairs(c, r, ["skill", "skill_version"]).collect()}
+        assert got == {k: v[:2] for k, v in want.items()}
+        cells = {}
+        for v in want.values():
+            cells.setdefault(v[3:], {}).setdefault(v[2], []).append(v)
+        for x in score.consistency(c, r, ["skill", "skill_version"]).collect():
+            arts = cells.pop((x.skill, x.skill_version))
+            mean = lambda k: sum(sum(v[k] for v in vs) / len(vs) for vs in arts.values()) / len(arts)  # noqa: B023, E731
+            assert abs(x.consistency - mean(0)) < 1e-6 and abs(x.consistency_exact - mean(1)) < 1e-6 and (x.artifacts_with_pairs, x.total_pairs) == (len(arts), sum(map(len, arts.values())))
+        assert not cells
