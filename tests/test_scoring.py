@@ -135,3 +135,11 @@ def test_pairs_of_runs_by_blocks_against_brute_force(spark, monkeypatch):
             mean = lambda k: sum(sum(v[k] for v in vs) / len(vs) for vs in arts.values()) / len(arts)  # noqa: B023, E731
             assert abs(x.consistency - mean(0)) < 1e-6 and abs(x.consistency_exact - mean(1)) < 1e-6 and (x.artifacts_with_pairs, x.total_pairs) == (len(arts), sum(map(len, arts.values())))
         assert not cells
+
+
+def test_no_pair_of_runs_is_shuffled(spark):
+    c = spark.createDataFrame([(i, i, 0, "A", "1", 1, 1, 2, None, True) for i in range(60)], "run_id long, row_id long, claim int, criterion string, canonical string, exact int, lo int, hi int, title string, resolvable boolean")
+    r = spark.range(60).select(F.col("id").alias("run_id"), F.lit(1).cast("long").alias("artifact_id"), F.lit("s").alias("skill"))
+    df = score.run_pairs(c, r, ["skill"])
+    assert df.count() == 60 * 59 // 2 and "Join" not in df._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    assert score.pairs.units(c, r, ["skill"]).count() == 60
