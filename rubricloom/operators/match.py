@@ -18,6 +18,18 @@ def taken(candidates: Column, left: str, right: str) -> Column:
     return F.aggregate(candidates, none, lambda s, x: F.when(used(s, x), s).otherwise(more(s, x)), pairs)
 
 
+def taken_of_classes(candidates: Column, left: str, name: str) -> Column:
+    """The (l, c, k) taken from sorted candidates (g, j, l, c, n): ``l`` takes the first free one of the ``n`` alike of
+    class ``c``, its ``k``-th from 0. Each l is used once; a candidate that occurs twice changes nothing. ``left`` and
+    ``name`` are the types of l and c."""
+    none = F.struct(F.array().cast(f"array<{left}>").alias("ls"), F.array().cast(f"array<{name}>").alias("cs"))
+    n_used = lambda cs, c: F.size(F.filter(cs, lambda v: v == c))
+    free = lambda s, x: ~F.array_contains(s["ls"], x["l"]) & ((F.size(s["cs"]) < x["n"]) | (n_used(s["cs"], x["c"]) < x["n"]))
+    more = lambda s, x: F.struct(F.array_append(s["ls"], x["l"]).alias("ls"), F.array_append(s["cs"], x["c"]).alias("cs"))
+    out = lambda s: F.transform(F.arrays_zip(s["ls"], s["cs"]), lambda y, i: F.struct(y["ls"].alias("l"), y["cs"].alias("c"), n_used(F.slice(s["cs"], 1, i), y["cs"]).alias("k")))
+    return F.aggregate(candidates, none, lambda s, x: F.when(free(s, x), more(s, x)).otherwise(s), out)
+
+
 def greedy(df: DataFrame, group: list[str], left: Column, right: Column, order: list[Column]) -> DataFrame:
     """The pairs (l, r) taken when a group's candidates are tried in ``order`` and each side may be used once.
 

@@ -16,9 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rubricloom.operators import match, pairs, resolve
+from rubricloom.session import broadcast_if_small
 
 METRICS = ["recall", "precision", "recall_location", "precision_location"]
 CELL = ["skill", "skill_version", "model"]
+#: Rows of places of classes of defects that are told to every task; more are joined.
+MAX_CLASSES = 400_000
 
 
 def ratio(n: Column, d: Column) -> Column:
@@ -31,47 +34,72 @@ def resolved_claims(findings: DataFrame, lay: DataFrame) -> DataFrame:
     return resolve.resolve(c, lay).withColumn("cid", F.struct("row_id", "claim"))
 
 
-def candidates(claims: DataFrame, truths: DataFrame) -> DataFrame:
-    """(run_id, lane, cid, defect_id) of each claim and defect that meet at a place, whether they name one criterion
-    (``same``), and the keys of the matching order.
+def classes(truths: DataFrame) -> DataFrame:
+    """The defects of each artifact in classes of equal ones: by place, and (``same``) by criterion ``t`` and place.
 
-    Both sides are exploded to their places, so they meet by equality of artifact and place.
+    Defects of one class differ in their id alone, so a run's claims take them in the order of ids, and a claim has to
+    meet a class only once, however many defects it holds. ``g`` numbers an artifact's anchors in the matching order, ``c``
+    names a class, ``k`` is a defect's number in it. Where one anchor has several sets of places, or an id occurs twice,
+    each defect is a class of its own.
     """
-    a = claims.select("run_id", "lane", "cid", "artifact_id", "criterion", "canonical", F.coalesce("finding_id", F.lit("")).alias("fid"), F.explode(resolve.claim_places()).alias("p"))
-    b = truths.select("artifact_id", "defect_id", F.col("criterion").alias("t"), "anchor", F.explode(resolve.truth_places()).alias("p"))
-    part = lambda d: d.withColumns({"pn": F.coalesce("p.n", F.lit(-1)), "pt": F.coalesce("p.title", F.lit(""))}).drop("p")
-    met = part(a).join(part(b), ["artifact_id", "pn", "pt"])
-    return met.select("run_id", "lane", "cid", "defect_id", F.coalesce(F.col("criterion") == F.col("t"), F.lit(False)).alias("same"), "criterion", "anchor", "canonical", "fid").distinct()
-
-
-_ORDER = ["anchor", "canonical", "fid"]
+    d = truths.withColumn("ps", resolve.truth_places()).where((F.size("ps") > 0) & F.col("artifact_id").isNotNull() & F.col("defect_id").isNotNull())
+    kinds = F.array(F.struct(F.lit(False).alias("same"), F.lit("").alias("t")), F.struct(F.lit(True).alias("same"), F.col("criterion").alias("t")))
+    d = d.select("artifact_id", "defect_id", "anchor", "ps", F.inline(kinds)).where("t IS NOT NULL").distinct()
+    d = d.withColumn("twice", F.count(F.lit(1)).over(Window.partitionBy("same", "defect_id")) > 1)
+    of, anchor = ["artifact_id", "same"], Window.partitionBy("artifact_id", "same", "t", "anchor")
+    d = d.withColumn("g", F.dense_rank().over(Window.partitionBy(*of).orderBy("t", "anchor")))
+    d = d.withColumn("alone", F.when(F.max("twice").over(anchor) | (F.min("ps").over(anchor) != F.max("ps").over(anchor)), F.col("defect_id")))
+    own = Window.partitionBy(*of, "t", "anchor", "ps", "alone")
+    return d.select(*of, "t", "ps", "g", "defect_id", F.min("defect_id").over(own).alias("c"), (F.row_number().over(own.orderBy("defect_id")) - 1).alias("k"))
+
+
+def _of_runs(claims: DataFrame, truth_classes: DataFrame, group: list[str], kinds: list[bool]) -> DataFrame:
+    """One row for each run (and lane): ``n_claims``, ``n_unresolvable`` and for each kind of ``same`` (by, place) the
+    classes that its claims meet, sorted in the matching order.
+
+    A run's claims are shuffled once, in narrow form; they meet classes where they lie, if the classes are few.
+    """
+    x = F.struct("canonical", F.coalesce("finding_id", F.lit("")).alias("fid"), "row_id", "claim", "artifact_id", "criterion", "lo", "hi", "title")
+    runs = claims.groupBy(*group).agg(F.array_sort(F.collect_list(x)).alias("xs"), F.count_if(~F.col("resolvable")).alias("n_unresolvable"))
+    keep = [*group, F.size("xs").cast("long").alias("n_claims"), "n_unresolvable"]
+    a = runs.select(*keep, F.posexplode("xs").alias("j", "x")).select(*group, "n_claims", "n_unresolvable", "j", "x.*")
+    at = F.explode_outer(resolve.claim_places()).alias("p")
+    a = a.select(*group, "n_claims", "n_unresolvable", "artifact_id", "j", F.struct("row_id", "claim").alias("l"), "criterion", at)
+    a = a.withColumns({"pn": F.coalesce("p.n", F.lit(-1)), "pt": F.coalesce("p.title", F.lit(""))}).drop("p")
+    ways = [F.struct(F.lit(k).alias("same"), (F.col("criterion") if k else F.lit("")).alias("t")) for k in kinds]
+    a = a.select("*", F.inline(F.array(*ways))).drop("criterion")
+    b = truth_classes.where(F.col("same").isin(kinds)).groupBy("artifact_id", "same", "t", "g", "c", "ps").agg(F.count(F.lit(1)).alias("n"))
+    b = b.select("artifact_id", "same", "t", "g", "c", "n", F.explode("ps").alias("p")).withColumns({"pn": F.coalesce("p.n", F.lit(-1)), "pt": F.coalesce("p.title", F.lit(""))}).drop("p")
+    met = a.join(broadcast_if_small(b, MAX_CLASSES), ["artifact_id", "same", "t", "pn", "pt"], "left")
+    one = lambda k: F.array_sort(F.collect_list(F.when(F.col("c").isNotNull() & (F.col("same") == k), F.struct("g", "j", "l", "c", "n"))))
+    return met.groupBy(*group, "n_claims", "n_unresolvable").agg(*[one(k).alias("by" if k else "place") for k in kinds])
+
+
+def _taken(of_runs: DataFrame, c: str) -> Column:
+    kinds = {f.name: f.dataType.simpleString() for f in of_runs.schema[c].dataType.elementType.fields}
+    return match.taken_of_classes(F.col(c), kinds["l"], kinds["c"])
 
 
 def matches(claims: DataFrame, truths: DataFrame, by_criterion: bool = True) -> DataFrame:
     """(run_id, row_id, claim, defect_id) of the greedy matching of claims with defects; by place alone if
     ``by_criterion`` is off."""
-    c = candidates(claims, truths)
-    c = c.where("same") if by_criterion else c
-    order = [F.col("criterion") if by_criterion else F.lit(""), *map(F.col, _ORDER)]
-    m = match.greedy(c, ["run_id"], F.col("cid"), F.col("defect_id"), order)
-    return m.select("run_id", "l.row_id", "l.claim", F.col("r").alias("defect_id"))
+    c = classes(truths)
+    m = _of_runs(claims.where("run_id IS NOT NULL"), c, ["run_id"], [by_criterion])
+    m = m.select("run_id", F.inline(_taken(m, "by" if by_criterion else "place")))
+    ids = c.where(F.col("same") == by_criterion).select("c", F.col("k").cast("int").alias("k"), "defect_id").distinct()
+    return m.join(ids, ["c", "k"]).select("run_id", "l.row_id", "l.claim", "defect_id")
 
 
 def scores(runs: DataFrame, claims: DataFrame, truths: DataFrame, lane: bool = False) -> DataFrame:
     """One row for each run (and lane of its claims): claims, defects, matches by criterion and by place, unresolvable
-    claims, whether it is clean. Both matchings fold one list of candidates."""
+    claims, whether it is clean. Both matchings are folds over a run's one row."""
     group = ["run_id", "lane"] if lane else ["run_id"]
-    n = claims.groupBy(*group).agg(F.count(F.lit(1)).alias("n_claims"), F.count_if(~F.col("resolvable")).alias("n_unresolvable"))
     d = truths.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n_defects"))
-    c = candidates(claims, truths).select(*group, "same", F.struct("criterion", *_ORDER, F.col("cid").alias("l"), F.col("defect_id").alias("r")).alias("x"))
-    kinds = {f.name: f.dataType.simpleString() for f in c.schema["x"].dataType.fields}
-    n_taken = lambda c: F.size(match.taken(F.col(c), kinds["l"], kinds["r"]))
-    by = F.array_sort(F.collect_list(F.when(F.col("same"), F.col("x"))))
-    place = F.array_sort(F.collect_list(F.col("x").dropFields("criterion")))
-    m = c.groupBy(*group).agg(by.alias("by"), place.alias("place")).select(*group, n_taken("by").alias("n_matched"), n_taken("place").alias("n_matched_location"))
+    m = _of_runs(claims, classes(truths), group, [True, False])
+    m = m.select(*group, "n_claims", "n_unresolvable", F.size(_taken(m, "by")).alias("n_matched"), F.size(_taken(m, "place")).alias("n_matched_location"))
     if lane:
         runs = runs.withColumn("lane", F.explode(F.array(F.lit("scripted"), F.lit("judged"))))
-    out = runs.join(n, group, "left").join(m, group, "left").join(d, "artifact_id", "left")
+    out = runs.join(m, group, "left").join(d, "artifact_id", "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_claims", "n_unresolvable", "n_defects", "n_matched", "n_matched_location")})
     return out.withColumn("clean", F.col("n_defects") == 0)
 

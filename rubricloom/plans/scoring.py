@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rubricloom.operators import report, resolve, score
-from rubricloom.session import broadcast_if_small, checkpoint, spread, table
+from rubricloom.session import broadcast_if_small, spread, table
 
 CELL = ["skill", "skill_version", "model", "domain"]
 
@@ -25,9 +25,9 @@ def _truth(spark: SparkSession, sf_dir: str, lay: DataFrame | None = None) -> Da
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Claims, resolved once and written to the shared checkpoint folder, and planted truth."""
+    """Resolved claims and planted truth over one layout."""
     lay = resolve.laid_out(table(spark, sf_dir, "sections"))
-    return checkpoint(_claims(spark, sf_dir, lay)), _truth(spark, sf_dir, lay)
+    return _claims(spark, sf_dir, lay), _truth(spark, sf_dir, lay)
 
 
 def claims_explode(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,65 @@ def test_items(spark):
     assert got == [(1, 0, None, "a"), (1, 1, None, "b"), (2, 0, "k", "v"), (3, 0, "k", "v"), (4, 0, "z", "1"), (4, 1, "a", "2")]
 
 
+def _planted(spark):
+    """Runs over one artifact whose defects are many and alike, and the pairs that trying every candidate in order takes."""
+    rng = random.Random(7)
+    heads = ["h one", "h two"]
+    claims = []
+    for row in range(60):
+        lo = rng.choice([None, 1, 2, 3])
+        claims.append((row % 6, row, 0, 1, f"F-{rng.randint(0, 2)}", rng.choice("AB"), rng.choice(["scripted", "judged"]), lo, lo and lo + rng.randint(0, 2), rng.choice([None, *heads]), rng.choice("xyz"), True))
+    paths = [["h one"], ["h two"], ["a/h one"], ["a", "h one"]]
+    truths = []
+    for i in range(120):
+        at, path = rng.randint(0, 4), rng.choice(paths)
+        if rng.random() < 0.5:
+            truths.append((i, 1, rng.choice("AB"), "paragraph", at, path[-1], [], f"p:{at:012}"))
+        else:
+            truths.append((i, 1, rng.choice("AB"), "heading-path", None, path[-1], [0, 1] if path[-1] == "h one" else [2, 3], "h:" + "/".join(path)))
+    truths += [truths[5], (7, 1, "A", "paragraph", 2, "h one", [], f"p:{2:012}")]
+    c = spark.createDataFrame(claims, "run_id long, row_id long, claim int, artifact_id long, finding_id string, criterion string, lane string, lo int, hi int, title string, canonical string, resolvable boolean").withColumn("cid", F.struct("row_id", "claim"))
+    t = spark.createDataFrame(truths, "defect_id long, artifact_id long, criterion string, kind string, at int, head string, near array<int>, anchor string")
+
+    def meet(x, y):
+        inside = lambda n: x[7] is not None and x[7] <= n <= x[8]
+        return inside(y[4]) if y[3] == "paragraph" else x[9] == y[5] or any(map(inside, y[6]))
+
+    def want(same):
+        out = set()
+        for run in range(6):
+            used_l, used_r = set(), set()
+            for key in sorted({((x[5] if same else ""), y[7], x[10], x[4], x[1], y[0]) for x in claims if x[0] == run for y in truths if meet(x, y) and (not same or x[5] == y[2])}):
+                if key[4] not in used_l and key[5] not in used_r:
+                    used_l.add(key[4]), used_r.add(key[5]), out.add((run, key[4], 0, key[5]))
+        return out
+
+    return c, t, want
+
+
+def test_matching_over_classes_of_defects_against_brute_force(spark):
+    c, t, want = _planted(spark)
+    for same in (True, False):
+        assert {tuple(r) for r in score.matches(c, t, same).collect()} == want(same) != set()
+    runs = spark.createDataFrame([(i, 1) for i in range(7)], "run_id long, artifact_id long")
+    for few in (score.MAX_CLASSES, 0):
+        old, score.MAX_CLASSES = score.MAX_CLASSES, few
+        try:
+            got = {r.run_id: (r.n_claims, r.n_matched, r.n_matched_location) for r in score.scores(runs, c, t).collect()}
+        finally:
+            score.MAX_CLASSES = old
+        assert got == {i: (10 * (i < 6), *[sum(x[0] == i for x in want(s)) for s in (True, False)]) for i in range(7)}
+
+
+def test_equal_defects_do_not_multiply_candidates(spark):
+    claims = [(r, r, 0, 1, "F", "A", "judged", 1, 3, None, "2", True) for r in range(20)]
+    c = spark.createDataFrame(claims, "run_id long, row_id long, claim int, artifact_id long, finding_id string, criterion string, lane string, lo int, hi int, title string, canonical string, resolvable boolean").withColumn("cid", F.struct("row_id", "claim"))
+    t = spark.range(500).select(F.col("id").alias("defect_id"), F.lit(1).cast("long").alias("artifact_id"), F.lit("A").alias("criterion"), F.lit("paragraph").alias("kind"), F.lit(2).alias("at"), F.lit(None).cast("string").alias("head"), F.array().cast("array<int>").alias("near"), F.lit("p:2").alias("anchor"))
+    r = score._of_runs(c, score.classes(t), ["run_id"], [True, False]).select(F.max(F.size("by")), F.max(F.size("place"))).first()
+    assert tuple(r) == (1, 1)
+    assert {tuple(x) for x in score.matches(c, t).collect()} == {(i, i, 0, 0) for i in range(20)}
+
+
 def test_pairs_of_runs_by_blocks_against_brute_force(spark, monkeypatch):
     from rubricloom.operators import pairs
 
