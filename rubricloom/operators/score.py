@@ -12,16 +12,18 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rubricloom.operators import match, pairs, resolve
+from rubricloom.operators import match, meeting, pairs, resolve
 from rubricloom.session import broadcast_if_small
 
 METRICS = ["recall", "precision", "recall_location", "precision_location"]
 CELL = ["skill", "skill_version", "model"]
 #: Rows of places of classes of defects that are told to every task; more are joined.
-MAX_CLASSES = 400_000
+MAX_CLASSES = 1_000_000
 
 
 def ratio(n: Column, d: Column) -> Column:
@@ -53,26 +55,46 @@ def classes(truths: DataFrame) -> DataFrame:
     return d.select(*of, "t", "ps", "g", "defect_id", F.min("defect_id").over(own).alias("c"), (F.row_number().over(own.orderBy("defect_id")) - 1).alias("k"))
 
 
+def _by_run(claims: DataFrame, group: list[str]) -> DataFrame:
+    """One row for each run (and lane) with its claims ``xs`` in the matching order, ``n_claims`` and ``n_unresolvable``.
+
+    A run's claims are shuffled once, in narrow form.
+    """
+    x = F.struct("canonical", F.coalesce("finding_id", F.lit("")).alias("fid"), "row_id", "claim", "artifact_id", "criterion", "lo", "hi", "title")
+    runs = claims.groupBy(*group).agg(F.array_sort(F.collect_list(x)).alias("xs"), F.count_if(~F.col("resolvable")).alias("n_unresolvable"))
+    return runs.select(*group, F.size("xs").cast("long").alias("n_claims"), "n_unresolvable", "xs")
+
+
+def _class_places(truth_classes: DataFrame, kinds: list[bool]) -> DataFrame:
+    """Each class at each of its places, with the number ``n`` of its defects."""
+    b = truth_classes.where(F.col("same").isin(kinds)).groupBy("artifact_id", "same", "t", "g", "c", "ps").agg(F.count(F.lit(1)).alias("n"))
+    return b.select("artifact_id", "same", "t", "g", "c", "n", F.explode("ps").alias("p")).select("artifact_id", "same", "t", "g", "c", "n", F.col("p.n").alias("pn"), F.col("p.title").alias("pt"))
+
+
 def _of_runs(claims: DataFrame, truth_classes: DataFrame, group: list[str], kinds: list[bool]) -> DataFrame:
     """One row for each run (and lane): ``n_claims``, ``n_unresolvable`` and for each kind of ``same`` (by, place) the
     classes that its claims meet, sorted in the matching order.
 
-    A run's claims are shuffled once, in narrow form; they meet classes where they lie, if the classes are few.
+    Of a place's classes a claim meets those before which fewer defects lie than its run has claims: it is matched with
+    one of these at the latest.
     """
-    x = F.struct("canonical", F.coalesce("finding_id", F.lit("")).alias("fid"), "row_id", "claim", "artifact_id", "criterion", "lo", "hi", "title")
-    runs = claims.groupBy(*group).agg(F.array_sort(F.collect_list(x)).alias("xs"), F.count_if(~F.col("resolvable")).alias("n_unresolvable"))
-    keep = [*group, F.size("xs").cast("long").alias("n_claims"), "n_unresolvable"]
-    a = runs.select(*keep, F.posexplode("xs").alias("j", "x")).select(*group, "n_claims", "n_unresolvable", "j", "x.*")
+    runs = _by_run(claims, group)
+    keep = [*group, "n_claims", "n_unresolvable"]
+    a = runs.select(*keep, F.posexplode("xs").alias("j", "x")).select(*keep, "j", "x.*")
     at = F.explode_outer(resolve.claim_places()).alias("p")
-    a = a.select(*group, "n_claims", "n_unresolvable", "artifact_id", "j", F.struct("row_id", "claim").alias("l"), "criterion", at)
+    a = a.select(*keep, "artifact_id", "j", F.struct("row_id", "claim").alias("l"), "criterion", at)
     a = a.withColumns({"pn": F.coalesce("p.n", F.lit(-1)), "pt": F.coalesce("p.title", F.lit(""))}).drop("p")
     ways = [F.struct(F.lit(k).alias("same"), (F.col("criterion") if k else F.lit("")).alias("t")) for k in kinds]
     a = a.select("*", F.inline(F.array(*ways))).drop("criterion")
-    b = truth_classes.where(F.col("same").isin(kinds)).groupBy("artifact_id", "same", "t", "g", "c", "ps").agg(F.count(F.lit(1)).alias("n"))
-    b = b.select("artifact_id", "same", "t", "g", "c", "n", F.explode("ps").alias("p")).withColumns({"pn": F.coalesce("p.n", F.lit(-1)), "pt": F.coalesce("p.title", F.lit(""))}).drop("p")
-    met = a.join(broadcast_if_small(b, MAX_CLASSES), ["artifact_id", "same", "t", "pn", "pt"], "left")
+    on = ["artifact_id", "same", "t", "pn", "pt"]
+    b = _class_places(truth_classes, kinds).withColumns({"pn": F.coalesce("pn", F.lit(-1)), "pt": F.coalesce("pt", F.lit(""))})
+    # a class that a place holds twice, under another anchor, counts once
+    b = b.groupBy(*on, "c").agg(F.min_by(F.struct("g", "n"), "g").alias("x")).select(*on, "c", "x.*")
+    b = b.withColumn("before", F.sum("n").over(Window.partitionBy(*on).orderBy("g", "c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    b = broadcast_if_small(b, MAX_CLASSES)
+    met = a.join(b, [*[a[k].eqNullSafe(b[k]) if k == "same" else a[k] == b[k] for k in on], b["before"] < a["n_claims"]], "left").select(*keep, a["same"], "j", "l", "g", "c", "n")
     one = lambda k: F.array_sort(F.collect_list(F.when(F.col("c").isNotNull() & (F.col("same") == k), F.struct("g", "j", "l", "c", "n"))))
-    return met.groupBy(*group, "n_claims", "n_unresolvable").agg(*[one(k).alias("by" if k else "place") for k in kinds])
+    return met.groupBy(*keep).agg(*[one(k).alias("by" if k else "place") for k in kinds])
 
 
 def _taken(of_runs: DataFrame, c: str) -> Column:
@@ -80,23 +102,43 @@ def _taken(of_runs: DataFrame, c: str) -> Column:
     return match.taken_of_classes(F.col(c), kinds["l"], kinds["c"])
 
 
+def _told(truth_classes: DataFrame, kinds: list[bool]) -> Broadcast | None:
+    """The index of the classes' places for every task, or none where they are too many."""
+    b = _class_places(truth_classes, kinds)
+    if b.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+        return None
+    t = b.toArrow()
+    return b.sparkSession.sparkContext.broadcast({k: meeting.Index(t.filter(pc.equal(t.column("same"), k))) for k in kinds})
+
+
 def matches(claims: DataFrame, truths: DataFrame, by_criterion: bool = True) -> DataFrame:
     """(run_id, row_id, claim, defect_id) of the greedy matching of claims with defects; by place alone if
     ``by_criterion`` is off."""
-    c = classes(truths)
-    m = _of_runs(claims.where("run_id IS NOT NULL"), c, ["run_id"], [by_criterion])
-    m = m.select("run_id", F.inline(_taken(m, "by" if by_criterion else "place")))
+    c, claims = classes(truths), claims.where("run_id IS NOT NULL")
     ids = c.where(F.col("same") == by_criterion).select("c", F.col("k").cast("int").alias("k"), "defect_id").distinct()
+    if told := _told(c, [by_criterion]):
+        kinds = dict(claims.dtypes) | dict(c.dtypes)
+        schema = ", ".join(f"{k} {kinds[k]}" for k in ("run_id", "row_id", "claim", "c")) + ", k int"
+        m = _by_run(claims, ["run_id"]).select("run_id", "xs").mapInArrow(meeting.listed(told, by_criterion), schema)
+        return m.join(ids, ["c", "k"]).select("run_id", "row_id", "claim", "defect_id")
+    m = _of_runs(claims, c, ["run_id"], [by_criterion])
+    m = m.select("run_id", F.inline(_taken(m, "by" if by_criterion else "place")))
     return m.join(ids, ["c", "k"]).select("run_id", "l.row_id", "l.claim", "defect_id")
 
 
 def scores(runs: DataFrame, claims: DataFrame, truths: DataFrame, lane: bool = False) -> DataFrame:
     """One row for each run (and lane of its claims): claims, defects, matches by criterion and by place, unresolvable
-    claims, whether it is clean. Both matchings are folds over a run's one row."""
+    claims, whether it is clean. Both matchings are made over a run's one row."""
     group = ["run_id", "lane"] if lane else ["run_id"]
     d = truths.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n_defects"))
-    m = _of_runs(claims, classes(truths), group, [True, False])
-    m = m.select(*group, "n_claims", "n_unresolvable", F.size(_taken(m, "by")).alias("n_matched"), F.size(_taken(m, "place")).alias("n_matched_location"))
+    c, claims = classes(truths), claims.where("run_id IS NOT NULL")
+    if told := _told(c, [True, False]):
+        keep, kinds = [*group, "n_claims", "n_unresolvable"], dict(claims.dtypes) | {"n_claims": "bigint", "n_unresolvable": "bigint"}
+        schema = ", ".join(f"{k} {kinds[k]}" for k in keep) + ", n_matched int, n_matched_location int"
+        m = _by_run(claims, group).mapInArrow(meeting.counted(told, {True: "n_matched", False: "n_matched_location"}, keep), schema)
+    else:
+        m = _of_runs(claims, c, group, [True, False])
+        m = m.select(*group, "n_claims", "n_unresolvable", F.size(_taken(m, "by")).alias("n_matched"), F.size(_taken(m, "place")).alias("n_matched_location"))
     if lane:
         runs = runs.withColumn("lane", F.explode(F.array(F.lit("scripted"), F.lit("judged"))))
     out = runs.join(m, group, "left").join(d, "artifact_id", "left")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rubricloom.operators import contract, envelope, graph, match, resolve, score
@@ -202,3 +203,22 @@ def test_no_pair_of_runs_is_shuffled(spark):
     df = score.run_pairs(c, r, ["skill"])
     assert df.count() == 60 * 59 // 2 and "Join" not in df._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
     assert score.pairs.units(c, r, ["skill"]).count() == 60
+
+
+def test_classes_a_run_cannot_reach_are_no_candidates(spark):
+    from rubricloom.operators import meeting
+
+    claims = [(r, 2 * r + i, 0, 1, "F", "A", "judged", None, None, "h", "H:h", True) for r in range(20) for i in range(2)]
+    c = spark.createDataFrame(claims, "run_id long, row_id long, claim int, artifact_id long, finding_id string, criterion string, lane string, lo int, hi int, title string, canonical string, resolvable boolean").withColumn("cid", F.struct("row_id", "claim"))
+    truths = [(i, 1, "A", "heading-path", None, "h", [], f"h:{i:03}/h") for i in range(500)]
+    t = spark.createDataFrame(truths, "defect_id long, artifact_id long, criterion string, kind string, at int, head string, near array<int>, anchor string")
+    k = score.classes(t)
+    r = score._of_runs(c, k, ["run_id"], [True, False]).select(F.max(F.size("by")), F.max(F.size("place"))).first()
+    assert tuple(r) == (4, 4)
+    told = score._told(k, [True, False]).value
+    x = score._by_run(c, ["run_id"]).select("xs").toArrow().column("xs").combine_chunks().flatten()
+    for same in (True, False):
+        assert told[same].ranges(x, np.full(len(x), 2), same)[2].tolist() == [2] * 40
+        got = {tuple(v) for v in score.matches(c, t, same).collect()}
+        assert got == {(i // 2, i, 0, i % 2) for i in range(40)}
+    assert not list(meeting.matched(score._by_run(c, ["run_id"]).select("xs").toArrow().column("xs").combine_chunks(), meeting.Index(score._class_places(k.where("false"), [True]).toArrow()), True))[0][0].size
