@@ -34,7 +34,7 @@ L2 = 1.0
 #: The most rounds, and the change of every annotator's reliability below which they end.
 ROUNDS, STILL = 8, 1e-3
 #: Confusion cells that are told to every task instead of being joined by a shuffle.
-BROADCAST_CELLS = 2_000_000
+BROADCAST_CELLS = 100_000
 FEATURES = ["own", "near", "share"]
 _VOTE = ["f", "item_id", "k", "annotator_id", "l", *FEATURES, "cell", "total"]
 

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("rubricloom.llm")
 
@@ -313,6 +314,13 @@ def test_consensus_follows_reliable_annotators(spark):
     assert empty.labels().count() == 0 and empty.reliability.count() == 0
 
 
+def test_many_confusion_cells_do_not_go_through_the_driver(spark):
+    v = spark.range(60_000).select(F.lit("criterion").alias("field"), F.expr("id div 2").alias("item_id"), F.col("id").alias("annotator_id"), F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("label"))
+    c = consensus.Consensus(v, spark.createDataFrame([], "field string, item_id long, own string"), {"criterion": 4.0}, rounds=1)
+    assert c.counted.count() == 120_000 and not c.few
+    assert c.labels().where("n_votes = 2 AND agreement = 0").count() == 30_000
+
+
 def test_latest(spark):
     df = spark.createDataFrame([(1, 1, 1, "a", 1), (1, 1, 2, "b", 2), (1, 1, 2, "b", 2), (1, None, 3, "c", 3)], "item int, who int, t int, label string, id int")
     assert [tuple(r) for r in consensus.latest(df, "item", "who", ["t", "id"], ["label"]).collect()] == [(1, 1, "b")]
