@@ -321,6 +321,14 @@ def test_many_confusion_cells_do_not_go_through_the_driver(spark):
     assert c.labels().where("n_votes = 2 AND agreement = 0").count() == 30_000
 
 
+def test_votes_do_not_come_to_the_driver_and_are_shuffled_narrow(spark):
+    v = spark.range(3_000).select(F.lit("criterion").alias("field"), F.expr("id div 30").alias("item_id"), F.expr("id % 30").alias("annotator_id"), F.when(F.col("id") % 3 == 0, "A").otherwise("B").alias("label"))
+    c = consensus.Consensus(v, spark.createDataFrame([("criterion", 5, "a")], "field string, item_id long, own string"), {"criterion": 4.0}, rounds=1)
+    assert c.votes.count() == 6_000 and {len(x) for x in c.fit_on.values()} == {200}
+    assert [tuple(float(c.fit_on[n][i]) for n in ("item_id", "k", "own", "near")) for i in (9, 10, 11)] == [(4, 1, 0, 0), (5, 0, 1, 1), (5, 1, 0, 0)]
+    assert "share" not in c.votes.columns and abs(np.exp(c.fit_on["share"][:2]).sum() - 1) < 1e-9
+
+
 def test_latest(spark):
     df = spark.createDataFrame([(1, 1, 1, "a", 1), (1, 1, 2, "b", 2), (1, 1, 2, "b", 2), (1, None, 3, "c", 3)], "item int, who int, t int, label string, id int")
     assert [tuple(r) for r in consensus.latest(df, "item", "who", ["t", "id"], ["label"]).collect()] == [(1, 1, "b")]
