@@ -6,9 +6,10 @@ Ratios keep numerator and denominator until the last projection; a ratio over no
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from itertools import accumulate
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +17,18 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from rubricloom.operators import match, meeting, pairs, resolve
+from rubricloom.operators import meeting, pairs, resolve
 from rubricloom.session import broadcast_if_small
 
 METRICS = ["recall", "precision", "recall_location", "precision_location"]
 CELL = ["skill", "skill_version", "model"]
-#: Rows of places of classes of defects that are told to every task; more are joined.
+#: Rows of places of classes of defects that are told to every task; more go to shards of runs.
 MAX_CLASSES = 1_000_000
+#: About so many claims lie in a shard.
+SHARD = 200_000
 
 
 def ratio(n: Column, d: Column) -> Column:
@@ -72,8 +77,8 @@ def _class_places(truth_classes: DataFrame, kinds: list[bool]) -> DataFrame:
 
 
 def _of_runs(claims: DataFrame, truth_classes: DataFrame, group: list[str], kinds: list[bool]) -> DataFrame:
-    """One row for each run (and lane): ``n_claims``, ``n_unresolvable`` and for each kind of ``same`` (by, place) the
-    classes that its claims meet, sorted in the matching order.
+    """The same in plain joins, to compare with: one row for each run (and lane) with ``n_claims``, ``n_unresolvable`` and
+    for each kind of ``same`` (by, place) the classes that its claims meet, sorted in the matching order.
 
     Of a place's classes a claim meets those before which fewer defects lie than its run has claims: it is matched with
     one of these at the latest.
@@ -97,11 +102,6 @@ def _of_runs(claims: DataFrame, truth_classes: DataFrame, group: list[str], kind
     return met.groupBy(*keep).agg(*[one(k).alias("by" if k else "place") for k in kinds])
 
 
-def _taken(of_runs: DataFrame, c: str) -> Column:
-    kinds = {f.name: f.dataType.simpleString() for f in of_runs.schema[c].dataType.elementType.fields}
-    return match.taken_of_classes(F.col(c), kinds["l"], kinds["c"])
-
-
 def _told(truth_classes: DataFrame, kinds: list[bool]) -> Broadcast | None:
     """The index of the classes' places for every task, or none where they are too many."""
     b = _class_places(truth_classes, kinds)
@@ -111,19 +111,50 @@ def _told(truth_classes: DataFrame, kinds: list[bool]) -> Broadcast | None:
     return b.sparkSession.sparkContext.broadcast({k: meeting.Index(t.filter(pc.equal(t.column("same"), k))) for k in kinds})
 
 
+def _sharded(claims: DataFrame, truth_classes: DataFrame, group: list[str], kinds: list[bool], work: Callable, schema: str) -> DataFrame:
+    """``work`` over runs in shards, each with an index of the classes of its own artifacts alone.
+
+    A run goes to a shard of its first artifact, whose runs are spread over several where they hold many claims; a shard
+    gets the classes of all artifacts of its runs. Runs travel once more and classes once for each shard that needs
+    them; candidates stay within a shard's batch.
+    """
+    n = claims.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n"))
+    total = n.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_shards = max(int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
+    # no more rows than shards
+    heavy = F.broadcast(n.where(F.col("n") > SHARD).select(F.col("artifact_id").alias("home"), F.ceil(F.col("n") / SHARD).alias("parts")))
+
+    def placed(df: DataFrame) -> DataFrame:
+        part = F.pmod(F.xxhash64(*group), F.coalesce("parts", F.lit(1)))
+        return df.join(heavy, "home", "left").withColumn("shard", F.pmod(F.xxhash64("home", part), F.lit(n_shards))).drop("home", "parts")
+
+    needed = placed(claims.groupBy(*group).agg(F.min("artifact_id").alias("home"), F.collect_set("artifact_id").alias("of")))
+    needed = needed.select("shard", F.explode("of").alias("artifact_id")).distinct()
+    b = _class_places(truth_classes, kinds).join(needed, "artifact_id")
+    runs = placed(_by_run(claims, group).withColumn("home", F.array_min(F.transform("xs", lambda x: x["artifact_id"]))))
+    empty = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = SimpleNamespace(value={k: meeting.Index(right.filter(pc.equal(right.column("same"), k))) for k in kinds})
+        out = [x.cast(empty) for x in work(held)(iter(left.combine_chunks().to_batches()))]
+        return pa.Table.from_batches(out, empty)
+
+    return runs.groupBy("shard").cogroup(b.groupBy("shard")).applyInArrow(run, schema)
+
+
 def matches(claims: DataFrame, truths: DataFrame, by_criterion: bool = True) -> DataFrame:
     """(run_id, row_id, claim, defect_id) of the greedy matching of claims with defects; by place alone if
     ``by_criterion`` is off."""
     c, claims = classes(truths), claims.where("run_id IS NOT NULL")
     ids = c.where(F.col("same") == by_criterion).select("c", F.col("k").cast("int").alias("k"), "defect_id").distinct()
+    kinds = dict(claims.dtypes) | dict(c.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in ("run_id", "row_id", "claim", "c")) + ", k int"
+    work = lambda index: meeting.listed(index, by_criterion)
     if told := _told(c, [by_criterion]):
-        kinds = dict(claims.dtypes) | dict(c.dtypes)
-        schema = ", ".join(f"{k} {kinds[k]}" for k in ("run_id", "row_id", "claim", "c")) + ", k int"
-        m = _by_run(claims, ["run_id"]).select("run_id", "xs").mapInArrow(meeting.listed(told, by_criterion), schema)
-        return m.join(ids, ["c", "k"]).select("run_id", "row_id", "claim", "defect_id")
-    m = _of_runs(claims, c, ["run_id"], [by_criterion])
-    m = m.select("run_id", F.inline(_taken(m, "by" if by_criterion else "place")))
-    return m.join(ids, ["c", "k"]).select("run_id", "l.row_id", "l.claim", "defect_id")
+        m = _by_run(claims, ["run_id"]).select("run_id", "xs").mapInArrow(work(told), schema)
+    else:
+        m = _sharded(claims, c, ["run_id"], [by_criterion], work, schema)
+    return m.join(ids, ["c", "k"]).select("run_id", "row_id", "claim", "defect_id")
 
 
 def scores(runs: DataFrame, claims: DataFrame, truths: DataFrame, lane: bool = False) -> DataFrame:
@@ -132,13 +163,13 @@ def scores(runs: DataFrame, claims: DataFrame, truths: DataFrame, lane: bool = F
     group = ["run_id", "lane"] if lane else ["run_id"]
     d = truths.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n_defects"))
     c, claims = classes(truths), claims.where("run_id IS NOT NULL")
+    keep, kinds = [*group, "n_claims", "n_unresolvable"], dict(claims.dtypes) | {"n_claims": "bigint", "n_unresolvable": "bigint"}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keep) + ", n_matched int, n_matched_location int"
+    work = lambda index: meeting.counted(index, {True: "n_matched", False: "n_matched_location"}, keep)
     if told := _told(c, [True, False]):
-        keep, kinds = [*group, "n_claims", "n_unresolvable"], dict(claims.dtypes) | {"n_claims": "bigint", "n_unresolvable": "bigint"}
-        schema = ", ".join(f"{k} {kinds[k]}" for k in keep) + ", n_matched int, n_matched_location int"
-        m = _by_run(claims, group).mapInArrow(meeting.counted(told, {True: "n_matched", False: "n_matched_location"}, keep), schema)
+        m = _by_run(claims, group).mapInArrow(work(told), schema)
     else:
-        m = _of_runs(claims, c, group, [True, False])
-        m = m.select(*group, "n_claims", "n_unresolvable", F.size(_taken(m, "by")).alias("n_matched"), F.size(_taken(m, "place")).alias("n_matched_location"))
+        m = _sharded(claims, c, group, [True, False], work, schema)
     if lane:
         runs = runs.withColumn("lane", F.explode(F.array(F.lit("scripted"), F.lit("judged"))))
     out = runs.join(m, group, "left").join(d, "artifact_id", "left")

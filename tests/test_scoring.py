@@ -222,3 +222,19 @@ def test_classes_a_run_cannot_reach_are_no_candidates(spark):
         got = {tuple(v) for v in score.matches(c, t, same).collect()}
         assert got == {(i // 2, i, 0, i % 2) for i in range(40)}
     assert not list(meeting.matched(score._by_run(c, ["run_id"]).select("xs").toArrow().column("xs").combine_chunks(), meeting.Index(score._class_places(k.where("false"), [True]).toArrow()), True))[0][0].size
+
+
+def test_many_classes_go_to_shards_and_no_candidate_is_a_row(spark, monkeypatch):
+    c, t, _ = _planted(spark)
+    c = c.withColumn("artifact_id", F.when(F.col("row_id") % 7 < 2, F.col("row_id") % 7).otherwise(1)).withColumn("artifact_id", F.when(F.col("row_id") == 3, None).otherwise(F.col("artifact_id")))
+    t = t.where("defect_id <> 5").withColumn("artifact_id", F.when(F.col("defect_id") % 5 == 0, 0).otherwise(1).cast("long"))
+    runs = spark.createDataFrame([(i, i % 2) for i in range(7)], "run_id long, artifact_id long")
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = [rows(score.matches(c, t, s)) for s in (True, False)] + [rows(score.scores(runs, c, t, lane)) for lane in (True, False)]
+    monkeypatch.setattr(score, "MAX_CLASSES", 0)
+    monkeypatch.setattr(score, "SHARD", 10)
+    got = [score.matches(c, t, s) for s in (True, False)] + [score.scores(runs, c, t, lane) for lane in (True, False)]
+    assert all(want) and [rows(x) for x in got] == want
+    for x in got:
+        plan = x._jdf.queryExecution().optimizedPlan().toString()
+        assert "CoGroupsInArrow" in plan and "posexplode" not in plan
