@@ -238,3 +238,15 @@ def test_many_classes_go_to_shards_and_no_candidate_is_a_row(spark, monkeypatch)
     for x in got:
         plan = x._jdf.queryExecution().optimizedPlan().toString()
         assert "CoGroupsInArrow" in plan and "posexplode" not in plan
+
+
+def test_few_classes_are_told_and_no_candidate_is_a_row(spark):
+    c, t, want = _planted(spark)
+    runs = spark.createDataFrame([(i, 1) for i in range(7)], "run_id long, artifact_id long")
+    for lane in (False, True):
+        x = score.scores(runs, c, t, lane)
+        plan = x._jdf.queryExecution().optimizedPlan().toString()
+        # each run's claims are matched in its one row: beside the runs and the counts of defects nothing is joined
+        assert plan.count("MapInArrow") == 1 and "posexplode" not in plan and plan.count("Join ") == 2
+    got = {r.run_id: (r.n_matched, r.n_matched_location) for r in score.scores(runs, c, t).collect()}
+    assert got == {i: tuple(sum(v[0] == i for v in want(s)) for s in (True, False)) for i in range(7)}
